@@ -137,7 +137,8 @@ def likely_contains_secrets(c: Column) -> Column:
 def redaction_report(df: DataFrame, col: str) -> DataFrame:
     """Rows touched per pattern over a whole corpus, and the secrets in those rows."""
     hits = redact(df.select(col), col, count="redactions", triggered="triggered")
-    return (hits.select(F.explode("triggered").alias("pattern"), "redactions")
-            .groupBy("pattern")
+    # The outer form keeps the optimizer from redacting once more to test for empty lists.
+    return (hits.select(F.explode_outer("triggered").alias("pattern"), "redactions")
+            .where("pattern IS NOT NULL").groupBy("pattern")
             .agg(F.count("*").alias("rows_hit"),
                  F.sum("redactions").alias("secrets_in_rows")))

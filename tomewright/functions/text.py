@@ -11,14 +11,14 @@ from tomewright import constants as K
 from tomewright.functions.regex import jvm
 
 # The white space of ``regex.WS``, as characters.
-_SPACES = "\t\n\x0b\x0c\r " + "".join(
+SPACES = "\t\n\x0b\x0c\r " + "".join(
     chr(n) for n in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
                      0x3000, 0xFEFF))
 
 
 def trim(c: Column) -> Column:
     """Strip every kind of white space at both ends (Spark's ``trim`` strips spaces only)."""
-    return F.btrim(c, F.lit(_SPACES))
+    return F.btrim(c, F.lit(SPACES))
 
 
 def utf16_length(c: Column) -> Column:
@@ -26,9 +26,21 @@ def utf16_length(c: Column) -> Column:
     return F.floor(F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("long")
 
 
+def utf16_prefix(c: Column, units: int) -> Column:
+    """The first ``units`` UTF-16 units; a character cut in half becomes U+FFFD."""
+    raw = F.encode(c, "UTF-16BE")
+    last = F.hex(F.substring(raw, 2 * units - 1, 1))
+    exact = F.when(
+        last.between("D8", "DB"),
+        F.concat(F.decode(F.substring(raw, 1, 2 * units - 2), "UTF-16BE"), F.lit("\ufffd")),
+    ).otherwise(F.decode(F.substring(raw, 1, 2 * units), "UTF-16BE"))
+    # Units and characters are the same thing for nearly every text.
+    return F.when(utf16_length(c) == F.length(c), F.substring(c, 1, units)).otherwise(exact)
+
+
 def cut(c: Column, limit: int, marker: str = "...") -> Column:
     """Text longer than ``limit`` is cut so that it ends in ``marker`` and fits the limit."""
-    kept = F.substring(c, 1, limit - len(marker))
+    kept = utf16_prefix(c, limit - len(marker))
     return F.when(utf16_length(c) > limit, F.concat(kept, F.lit(marker))).otherwise(c)
 
 

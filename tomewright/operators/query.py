@@ -12,9 +12,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tomewright import constants as K
-from tomewright.functions.text import utf16_length
+from tomewright.functions.text import utf16_length, utf16_prefix
 from tomewright.operators.documents import StoredKb
 from tomewright.operators.ordering import with_ordinal
 from tomewright.operators.tables import KnowledgeBase
@@ -120,7 +121,6 @@ def _opening(kb: StoredKb, chars: int) -> DataFrame:
     if kb.large is None:
         return rows
     # Every piece holds at least one character, so the first chars + 1 pieces are enough.
-    from pyspark.sql.window import Window
     first = Window.partitionBy("filename").orderBy("part", "pos", "key")
     head = (kb.large.body.withColumn("__n", F.row_number().over(first))
             .where(F.col("__n") <= chars + 1).groupBy("filename")
@@ -133,7 +133,7 @@ def render_hits(kb: StoredKb, hits: DataFrame) -> DataFrame:
     """Adds ``rendered``, the text shown for a hit; its body is cut at 2,000 characters."""
     limit = K.HIT_BODY_CHARS
     body = _opening(kb, limit).join(F.broadcast(hits.select("filename")), "filename")
-    shown = F.concat(F.substring("content", 1, limit), F.when(
+    shown = F.concat(utf16_prefix(F.col("content"), limit), F.when(
         utf16_length(F.col("content")) > limit, F.lit("\n...(truncated)")).otherwise(F.lit("")))
     text = F.concat(
         F.lit("### "), F.col("title"), F.lit("\nCategory: "), F.col("category"),
@@ -148,7 +148,6 @@ def query_suggestions(kb: KnowledgeBase) -> DataFrame:
     All categories in the order they first occur, the first 20 tags, the first 15 titles.
     """
     def ranked(df: DataFrame, kind: str, limit: int | None) -> DataFrame:
-        from pyspark.sql.window import Window
         if limit is not None:
             df = df.orderBy("first").limit(limit)
         # At most ``limit`` rows, or one per category.

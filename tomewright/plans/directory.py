@@ -18,8 +18,8 @@ def plan_by_directory(files: DataFrame) -> Plans:
     directory = paths.dirname(F.col("path"))
     lines = F.col("lines") if "lines" in files.columns else F.lit(None).cast("int")
     sources = files.select(directory.alias("plan_id"),
-                           paths.entry_filename(directory).alias("filename"), F.lit(0).cast("long").alias("pos"),
-                           "path", lines.alias("lines"))
+                           paths.entry_filename(directory).alias("filename"),
+                           F.lit(0).cast("long").alias("pos"), "path", lines.alias("lines"))
     plans = (files.groupBy(directory.alias("plan_id"))
              .agg(F.min("path").alias("first_path"), F.count("*").alias("n_sources"))
              .select("plan_id",
