@@ -27,6 +27,13 @@ def re2(pattern: str, flags: str = "") -> str:
     return ("(?i)" if "i" in flags else "") + "".join(out)
 
 
+def re2_lines(pattern: str, flags: str = "") -> str:
+    """For patterns bound to a line start: the line end in front becomes group 1."""
+    if "m" not in flags:
+        return re2(pattern, flags)
+    return f"(^|[{EOL}])" + re2(pattern.removeprefix("^").removesuffix("$"), flags)
+
+
 def secret_steps() -> list[tuple[str, str, str]]:
     """(name, pattern, replacement) as RE2 reads them.
 
@@ -235,3 +242,34 @@ def sql(final: str, *needed: str) -> str:
     if not done:
         return final
     return "WITH " + ",\n".join(CTES[n][1] for n in done) + "\n" + final
+
+
+# --- snapshots: the corpus before and after ---------------------------------------------------
+
+CTES["prev"] = ([], f"prev_read AS ({readable(view_sql('snapshot_prev'))}),\n"
+                + prepared("prev_read", "prev"))
+CTES["now"] = ([], f"now_walked AS (SELECT path FROM ({view_sql('snapshot_now')}) "
+               f"WHERE NOT {ignored('path')}),\n"
+               f"now_read AS ({readable(view_sql('snapshot_now'))}),\n"
+               + prepared("now_read", "now"))
+CTES["changes"] = (["prev", "now"], """changes AS (
+  SELECT w.path, 'added' AS status FROM now_walked w WHERE w.path NOT IN (SELECT path FROM prev)
+  UNION ALL SELECT n.path, 'changed' FROM now n JOIN prev p ON n.path = p.path AND n.hash <> p.hash
+  UNION ALL SELECT p.path, 'removed' FROM prev p WHERE p.path NOT IN (SELECT path FROM now_walked))""")
+
+
+def planned(files: str, out: str) -> str:
+    """CTEs ``{out}`` (filename, n_sources) and ``{out}_src`` of a directory plan."""
+    return f"""{out}_all AS (SELECT dir, CASE WHEN flat = '_' THEN 'general.md' ELSE flat || '.md' END AS filename,
+    n_sources, first_path FROM (SELECT dir, count(*) AS n_sources, min(path) AS first_path,
+    regexp_replace(regexp_replace(dir, '[:/\\\\]', '_', 'g'), '_+', '_', 'g') AS flat
+    FROM (SELECT path, {dirname('path')} AS dir FROM {files}) GROUP BY dir)),
+{out} AS (SELECT * FROM {out}_all QUALIFY row_number() OVER (PARTITION BY filename ORDER BY first_path DESC) = 1),
+{out}_src AS (SELECT filename, path FROM (SELECT path, {dirname('path')} AS dir FROM {files}) JOIN {out} USING (dir))"""
+
+
+CTES["prev_plan"] = (["prev"], planned("prev", "prev_plan"))
+CTES["now_plan"] = (["now"], planned("now", "now_plan"))
+CTES["stale"] = (["changes", "prev_plan"], """stale AS (SELECT DISTINCT filename FROM (
+  SELECT filename FROM prev_plan_src WHERE path IN (SELECT path FROM changes)
+  UNION ALL SELECT 'assistant-note.md'))""")

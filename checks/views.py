@@ -89,6 +89,56 @@ SNAPSHOT_NOW = {
                f"CASE WHEN doc_id % 7 = 0 THEN concat(chr(10), 'one more line') ELSE '' END)",
 }
 
+NL = "chr(10)"
+
+
+def _text(*parts: str) -> str:
+    """Lines of a template: ``{id}`` becomes the document's number."""
+    pieces = []
+    for line in parts:
+        for n, piece in enumerate(line.split("{id}")):
+            if n:
+                pieces.append("doc_id")
+            pieces.append("'" + piece.replace("'", "''") + "'")
+        pieces.append(NL)
+    return f"concat({', '.join(pieces)}, text)"
+
+
+_SCRIPT = (
+    "/** Service {id} does its work. More text.", " * @param x - input value",
+    " * @returns the result", " */",
+    "export async function run{id}(x: number, y = 2, z?: string, w) { return new Thing(); }",
+    "export interface Item{id} extends Base { id: string; size?: number }",
+    "type Pair = { a: 1 }", "enum Kind { One = 1, Two, Three }",
+    "import { a as b, c } from 'lib{id}';", "import def from 'other';",
+    "import local from './near';", "class Bad{id} extends TypeError {}",
+    "const f = async (p: string, q) => p;", "const _g = () => 1;",
+    "x?.a; x?.b; x?.c; x?.d", "assert.ok(x); assert.strict.equal(x, 1)",
+    "function isItem(v: any): v is Item { return typeof v === 'object' }",
+    "try { y } catch (err) { console.log(err); throw err }",
+    "const APP_CONFIG = { depth: 1, 'name': { inner: 2 }, list: [] }",
+    "emitter.on('x', next())")
+
+CODE = {
+    "doc_id": "doc_id",
+    "path": f"concat(source, '/', lang, '/f', doc_id, {_choose('doc_id % 8', [chr(39) + e + chr(39) for e in ('.ts', '.py', '.md', '.js', '.yaml', '.toml', '.go', '.yml')])})",
+    "content": _choose("doc_id % 8", [
+        _text(*_SCRIPT),
+        _text('"""Module {id} loads things. Second sentence."""', "import os.path", "from sys import x",
+              "@dataclass", "class Foo{id}(Bar, Baz):", "    @staticmethod",
+              "    def run(self, a: int, b=1) -> int:", '        """Run it now.', '        More."""',
+              "        raise ValueError(a)", "    try: pass", "    except KeyError: pass"),
+        _text("# Guide {id}", "", "Opening paragraph of the guide. Then more.", "", "## Use of it",
+              "### ab", "```python", "x", "```", "```sh", "```", ""),
+        _text("// Script {id} reads input", "// and writes output", "", "const Value{id} = 1;",
+              "class Plain {}", "function* gen() { yield 1 }"),
+        _text("name: x", "version-no: {id}", "  nested: 2", "list:", "  - a"),
+        _text("[main]", "a = {id}", "[section.x{id}]", " [not.this]"),
+        _text("// Package f{id} does things. Well", "", "package f", "// not this"),
+        _text("top{id}: 1", "- item", "other_key: {id}"),
+    ]),
+}
+
 _WORD = "substr(text, 1, strpos(concat(text, ' '), ' ') - 1)"
 QUERIES = {
     "query_id": "item_id",
@@ -105,6 +155,7 @@ VIEWS = {
     "files_raw": ("documents", FILES, "true"),
     "snapshot_prev": ("documents", SNAPSHOT_PREV, "doc_id % 10 <> 0"),
     "snapshot_now": ("documents", SNAPSHOT_NOW, "doc_id % 10 <> 1"),
+    "code_files": ("documents", CODE, "true"),
     "queries": ("benchmark", QUERIES, "true"),
 }
 

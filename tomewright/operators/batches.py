@@ -35,7 +35,7 @@ def _next_start(at: np.ndarray, total: np.ndarray, breaks: np.ndarray, budget: i
     """For batches that start at ``at``, where the next one starts (or the end)."""
     full = np.searchsorted(total, total[at] + budget, side="right") - 1
     stop = breaks[np.searchsorted(breaks, at, side="right")]
-    return np.minimum(full, stop)
+    return np.minimum(np.maximum(full, at + 1), stop)
 
 
 def _shard_starts(shards: np.ndarray, previous: str) -> np.ndarray:

@@ -116,12 +116,15 @@ _TITLE, _OVERVIEW, _LANGUAGES, _MODULES, _AREAS, _NAVIGATION, _CATEGORY, _TAGS =
 
 
 def index_pieces(kb: KnowledgeBase, as_of: str) -> DataFrame:
-    """The index as ordered pieces ``section, k1, k2, n, text``; their concatenation is it.
+    """The index as pieces, in the order of ``INDEX_ORDER``; their concatenation is the document.
 
     An index names every entry, and a tag may be on most of them, so it is never one row.
     """
     def piece(df: DataFrame, section: int, text: Column, k1=None, k2=None, n: int = 0) -> DataFrame:
+        # Tags are in dictionary order, those that compare equal in order of their characters.
+        by_word = k1 if section == _TAGS and k1 is not None else lit("")
         return df.select(F.lit(section).alias("section"),
+                         F.collate(by_word, "UNICODE").alias("word"),
                          (F.lit("") if k1 is None else k1).alias("k1"),
                          (F.lit("") if k2 is None else k2).alias("k2"),
                          F.lit(n).alias("n"), text.alias("text"))
@@ -144,9 +147,6 @@ def index_pieces(kb: KnowledgeBase, as_of: str) -> DataFrame:
     tags = tag_index(kb)
     first_use = tags.groupBy("tag").agg(F.min("filename").alias("first"))
     uses = tags.join(first_use, "tag")
-    # Tags in dictionary order, those that compare equal by their characters.
-    sort_key = F.concat(F.hex(F.call_function("collation_key", F.collate(col("tag"), "UNICODE"))),
-                        lit(" "), col("tag"))
     link = F.concat(lit("["), col("filename"), lit("](./"), col("filename"), lit(")"))
     opening = F.when(col("filename") == col("first"),
                      F.concat(lit("- `"), col("tag"), lit("`: "))).otherwise(lit(", "))
@@ -169,8 +169,8 @@ def index_pieces(kb: KnowledgeBase, as_of: str) -> DataFrame:
         piece(nav, _CATEGORY, line, col("first"), col("filename"), n=1),
         piece(first_in_category, _CATEGORY, lit("\n"), col("first"), lit("\U0010ffff"), n=2),
         piece(any_tags, _TAGS, lit("## Tags\n\n")),
-        piece(uses, _TAGS, F.concat(opening, link), sort_key, col("filename"), n=1),
-        piece(first_use, _TAGS, lit("\n"), sort_key, lit("\U0010ffff"), n=2),
+        piece(uses, _TAGS, F.concat(opening, link), col("tag"), col("filename"), n=1),
+        piece(first_use, _TAGS, lit("\n"), col("tag"), lit("\U0010ffff"), n=2),
     ]
     out = pieces[0]
     for p in pieces[1:]:
@@ -178,7 +178,7 @@ def index_pieces(kb: KnowledgeBase, as_of: str) -> DataFrame:
     return out
 
 
-INDEX_ORDER = ["section", "k1", "k2", "n"]
+INDEX_ORDER = ["section", "word", "k1", "k2", "n"]
 
 
 def write_index(kb: KnowledgeBase, as_of: str, path: str) -> None:
