@@ -225,23 +225,17 @@ def resolve_collisions(spark, sf):
     return assemble.count_collisions(directory.plan_by_directory(files(spark, sf)))
 
 
-@register("SELECT filename, content FROM entries", "entries")
+@register("SELECT filename, CAST(0 AS BIGINT) AS block, content AS text FROM entries", "entries")
 def fallback_content(spark, sf):
-    pieces = kb_tables(spark, sf).body
-    # Entries are small here; see operators.documents for those that may not be.
-    return pieces.groupBy("filename").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("part", "pos", "key", "text"))),
-        lambda p: p.text), "").alias("content"))
+    return gather.gather_text(kb_tables(spark, sf).body, "filename", ["part", "pos", "key"])
 
 
-@register("SELECT e.filename, title, description, category, n_sources, tag, "
-          "row_number() OVER (PARTITION BY e.filename ORDER BY t.pos) AS pos "
+@register("SELECT e.filename, title, description, category, n_sources, tag, pos AS first_path "
           "FROM entries e JOIN entry_tags t ON e.filename = t.filename", "entries")
 def assemble_entries(spark, sf):
-    from pyspark.sql.window import Window
     kb = kb_tables(spark, sf)
-    place = F.row_number().over(Window.partitionBy("filename").orderBy("at")).cast("long")
-    tags = kb.tags.select("filename", F.col("value").alias("tag"), place.alias("pos"))
+    tags = kb.tags.select("filename", F.col("value").alias("tag"),
+                          F.col("at.key").alias("first_path"))
     return kb.entries.join(tags, "filename").drop("updated_at")
 
 
@@ -593,14 +587,14 @@ def render_hits(spark, sf):
     return query.render_hits(stored, query.kb_query(stored, "src")).select("filename", "rendered")
 
 
-@register("""SELECT 'category' AS kind, row_number() OVER (ORDER BY min(filename)) AS pos, category AS value
-  FROM ent GROUP BY category
-UNION ALL SELECT * FROM (SELECT 'tag', row_number() OVER (ORDER BY min(filename), min(filename || pos)) AS n, tag
-  FROM ent_tags GROUP BY tag) WHERE n <= 20
-UNION ALL SELECT * FROM (SELECT 'title', row_number() OVER (ORDER BY filename) AS n, title FROM ent)
-  WHERE n <= 15""", "ent_tags")
+@register("""SELECT 'category' AS kind, min(filename) AS first, category AS value FROM ent GROUP BY category
+UNION ALL SELECT * FROM (SELECT 'tag', min(filename) AS f, tag FROM ent_tags GROUP BY tag
+  ORDER BY f, min(filename || pos) LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'title', filename, title FROM ent ORDER BY filename LIMIT 15)""",
+          "ent_tags")
 def query_suggestions(spark, sf):
-    return query.query_suggestions(planned_kb(spark, sf)).withColumn("pos", F.col("pos").cast("long"))
+    return query.query_suggestions(planned_kb(spark, sf)).select(
+        "kind", F.col("first.filename").alias("first"), "value")
 
 
 _Q = "lower(q.query)"

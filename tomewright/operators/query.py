@@ -18,7 +18,7 @@ from tomewright import constants as K
 from tomewright.functions.text import utf16_length, utf16_prefix
 from tomewright.operators.documents import StoredKb
 from tomewright.operators.ordering import with_ordinal
-from tomewright.operators.tables import KnowledgeBase
+from tomewright.operators.tables import AT, KnowledgeBase
 
 # --- Fixed values: what a match in each field is worth ---------------------------------------
 WEIGHTS = {"title": 10, "category": 5, "tags": 3, "sources": 4, "description": 6, "body": 2,
@@ -64,9 +64,9 @@ def score_tables(kb: KnowledgeBase, query: str, category: str | None = None) ->
     very many sources costs no more per task than any other.
     """
     q = query.lower()
-    body_hits = kb.body.where(_hit(F.col("text"), q)).select("filename")
-    if "\n" in query:
-        body_hits = _hits_across_pieces(kb.body, q)
+    # Every piece ends its line, so only a query of several lines can reach over pieces.
+    body = joined_pieces(kb.body, query.count("\n") + 1) if "\n" in query else kb.body
+    body_hits = body.where(_hit(F.col("text"), q)).select("filename")
     flag = F.lit(0).alias("body_hit")
     parts = [kb.entries.select("filename", reduce(lambda a, b: a + b, [
         *[_points(_hit(F.col(c), q), WEIGHTS[c]) for c in ("title", "category", "description")],
@@ -81,21 +81,20 @@ def score_tables(kb: KnowledgeBase, query: str, category: str | None = None) ->
     return kb.entries.join(total, "filename").select(*DETAILS, "score")
 
 
-def _hits_across_pieces(body: DataFrame, q: str) -> DataFrame:
-    """Entries whose body holds a query that runs over line ends.
+def joined_pieces(body: DataFrame, lines: int) -> DataFrame:
+    """``filename, text``: stretches of bodies such that any ``lines`` lines are within one.
 
-    Pieces are numbered, then gathered into overlapping blocks: a piece that begins a block is
-    also added to the one before, as often as the query has lines, so no place is missed.
+    Pieces are numbered, then gathered into blocks; those that begin a block are also added to
+    the one before, as many as a match can reach over.
     """
     block = 4096
-    lines = q.count("\n") + 1
     numbered = with_ordinal(body, "filename", "part", "pos", "key")
     home = F.floor(F.col("ordinal") / block)
     reach = F.sequence(F.floor(F.greatest(F.col("ordinal") - lines, F.lit(0)) / block), home)
     blocks = numbered.withColumn("__block", F.explode(reach)).groupBy("filename", "__block").agg(
         F.sort_array(F.collect_list(F.struct("ordinal", "text"))).alias("p"))
-    joined = F.array_join(F.transform("p", lambda x: x.text), "")
-    return blocks.where(_hit(joined, q)).select("filename").distinct()
+    return blocks.select("filename", F.array_join(F.transform("p", lambda x: x.text), "")
+                         .alias("text"))
 
 
 def gate(scored: DataFrame, category: str | None) -> DataFrame:
@@ -115,16 +114,18 @@ def kb_query(kb: StoredKb, query: str, category: str | None = None) -> DataFrame
     return top_hits(gate(rows, category))
 
 
-def _opening(kb: StoredKb, chars: int) -> DataFrame:
-    """``filename, content``: at least the first ``chars`` of each body."""
-    rows = kb.rows.select("filename", "content")
+def _opening(kb: StoredKb, hits: DataFrame, chars: int) -> DataFrame:
+    """``filename, content``: at least the first ``chars`` of the bodies of the hits."""
+    named = F.broadcast(hits.select("filename"))  # five at most
+    rows = kb.rows.select("filename", "content").join(named, "filename", "left_semi")
     if kb.large is None:
         return rows
     # Every piece holds at least one character, so the first chars + 1 pieces are enough.
     first = Window.partitionBy("filename").orderBy("part", "pos", "key")
-    head = (kb.large.body.withColumn("__n", F.row_number().over(first))
-            .where(F.col("__n") <= chars + 1).groupBy("filename")
-            .agg(F.sort_array(F.collect_list(F.struct("__n", "text"))).alias("p")))
+    body = kb.large.body.join(named, "filename", "left_semi")
+    head = (body.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= chars + 1)
+            .groupBy("filename").agg(F.sort_array(F.collect_list(F.struct("__n", "text")))
+                                     .alias("p")))
     return rows.unionByName(head.select("filename", F.array_join(
         F.transform("p", lambda x: x.text), "").alias("content")))
 
@@ -132,7 +133,7 @@ def _opening(kb: StoredKb, chars: int) -> DataFrame:
 def render_hits(kb: StoredKb, hits: DataFrame) -> DataFrame:
     """Adds ``rendered``, the text shown for a hit; its body is cut at 2,000 characters."""
     limit = K.HIT_BODY_CHARS
-    body = _opening(kb, limit).join(F.broadcast(hits.select("filename")), "filename")
+    body = _opening(kb, hits, limit)
     shown = F.concat(utf16_prefix(F.col("content"), limit), F.when(
         utf16_length(F.col("content")) > limit, F.lit("\n...(truncated)")).otherwise(F.lit("")))
     text = F.concat(
@@ -143,24 +144,23 @@ def render_hits(kb: StoredKb, hits: DataFrame) -> DataFrame:
 
 
 def query_suggestions(kb: KnowledgeBase) -> DataFrame:
-    """What to try when nothing matched, as rows ``kind, pos, value``.
+    """What to try when nothing matched: ``kind, first, value``, to be read in order of ``first``.
 
-    All categories in the order they first occur, the first 20 tags, the first 15 titles.
+    All categories, by the first entry that has them, the first 20 tags, the first 15 titles.
     """
-    def ranked(df: DataFrame, kind: str, limit: int | None) -> DataFrame:
-        if limit is not None:
-            df = df.orderBy("first").limit(limit)
-        # At most ``limit`` rows, or one per category.
-        place = F.row_number().over(Window.orderBy("first"))
-        return df.select(F.lit(kind).alias("kind"), place.alias("pos"), "value")
+    none = F.lit(None).cast(AT)
+
+    def named(df: DataFrame, kind: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), "first", "value")
 
     categories = kb.entries.groupBy(F.col("category").alias("value")).agg(
-        F.min(F.struct("filename")).alias("first"))
+        F.min(F.struct("filename", none.alias("at"))).alias("first"))
     tags = kb.tags.groupBy("value").agg(F.min(F.struct("filename", "at")).alias("first"))
-    titles = kb.entries.select(F.col("title").alias("value"), F.struct("filename").alias("first"))
-    return (ranked(categories, "category", None)
-            .unionByName(ranked(tags, "tag", K.SUGGESTED_TAGS))
-            .unionByName(ranked(titles, "title", K.SUGGESTED_TITLES)))
+    titles = kb.entries.select(F.col("title").alias("value"),
+                               F.struct("filename", none.alias("at")).alias("first"))
+    return (named(categories, "category")
+            .unionByName(named(tags.orderBy("first").limit(K.SUGGESTED_TAGS), "tag"))
+            .unionByName(named(titles.orderBy("first").limit(K.SUGGESTED_TITLES), "title")))
 
 
 def query_status(kb: KnowledgeBase | None, hits: DataFrame | None = None) -> str:

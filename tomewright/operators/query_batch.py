@@ -1,110 +1,152 @@
 """Many keyword queries in one pass over the knowledge base.
 
 Comparing every query with every entry would cost their product. Instead the texts of the
-entries are read once, by an automaton that holds all queries and reports only those it meets. A
-query that matches fewer than five entries is filled up with those that sort first, and of these
-only five are needed, whatever the number of entries.
+entries are read once, by an automaton that holds all queries and reports only those it meets.
+Of the entries a task reads, it passes on the best five for each query and category, which is all
+that can be among the best five in the end. A query that matches fewer is filled up with the
+entries that sort first, and of those only five are needed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tomewright import constants as K
 from tomewright.operators.documents import StoredKb
-from tomewright.operators.query import CATEGORY_BONUS, WEIGHTS
+from tomewright.operators.query import CATEGORY_BONUS, WEIGHTS, joined_pieces
+from tomewright.operators.tables import KnowledgeBase
 
 # Query characters one automaton may hold; it needs some hundred bytes for each.
 MAX_AUTOMATON_CHARS = 2_000_000
 # Characters of entries that meet one block of queries in a task, where queries are many.
 _SHARD_CHARS = 64_000_000
 
+_SCORES = "query string, filename string, category string, score bigint"
 _HITS = "query string, filename string, points bigint, body_hit int"
+_ROW = ["filename", "category", "texts", "points"]
+_PIECE = ["filename", "points", "body", "text"]
 
 
-def searched_texts(kb: StoredKb) -> DataFrame:
-    """``filename, points, body, text``: every text a query is compared with, in lower case."""
-    def field(name: str, text, body: int = 0):
-        return F.struct(F.lit(0 if body else WEIGHTS[name]).cast("long").alias("points"),
-                        F.lit(body).alias("body"), F.lower(text).alias("text"))
-
-    def each(name: str, column: str):
-        return F.transform(column, lambda x: field(name, x))
-
-    rows = kb.rows.select("filename", F.explode_outer(F.concat(
-        F.array(*[field(c, F.col(c)) for c in ("title", "category", "description")],
-                field("body", F.col("content"), 1)),
-        each("tags", "tags"), each("sources", "source_files"), each("related", "related"))
-    ).alias("t")).select("filename", "t.*")
-    if kb.large is None:
-        return rows
-    big = kb.large
-    parts = [big.entries.select("filename", F.explode(F.array(
-        *[field(c, F.col(c)) for c in ("title", "category", "description")])).alias("t"))]
-    parts += [getattr(big, n).select("filename", field(n, F.col("value")).alias("t"))
-              for n in ("tags", "sources", "related")]
-    parts.append(big.body.select("filename", field("body", F.col("text"), 1).alias("t")))
-    for p in parts:
-        rows = rows.unionByName(p.select("filename", "t.*"))
-    return rows
+def searched_rows(kb: StoredKb) -> DataFrame:
+    """``filename, category, texts, points``: what queries are compared with, in lower case."""
+    single = ["title", "category", "description"]
+    lists = {"tags": "tags", "sources": "source_files", "related": "related"}
+    texts = [F.array(*[F.lower(c) for c in single], F.lower("content"))]
+    points = [F.array(*[F.lit(WEIGHTS[c]) for c in single], F.lit(WEIGHTS["body"]))]
+    for field, column in lists.items():
+        texts.append(F.transform(column, F.lower))
+        points.append(F.array_repeat(F.lit(WEIGHTS[field]), F.size(column)))
+    return kb.rows.select("filename", "category", F.concat(*texts).alias("texts"),
+                          F.concat(*points).alias("points"))
+
+
+def searched_pieces(kb: KnowledgeBase, lines: int) -> DataFrame:
+    """``filename, points, body, text`` of entries kept as tables, a row for each text."""
+    def texts(df: DataFrame, name: str, column: str, body: int = 0) -> DataFrame:
+        return df.select("filename", F.lit(0 if body else WEIGHTS[name]).alias("points"),
+                         F.lit(body).alias("body"), F.lower(column).alias("text"))
+
+    parts = [texts(kb.entries, c, c) for c in ("title", "category", "description")]
+    parts += [texts(getattr(kb, n), n, "value") for n in ("tags", "sources", "related")]
+    body = joined_pieces(kb.body, lines) if lines > 1 else kb.body
+    parts.append(texts(body, "body", "text", 1))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _automaton(queries: list[str]):
     import ahocorasick
     automaton = ahocorasick.Automaton()
     for q in queries:
-        automaton.add_word(q, q)
-    if queries:
+        if q:
+            automaton.add_word(q, q)
+    if len(automaton):
         automaton.make_automaton()
     return automaton
 
 
-def _matches(automaton, texts: pd.DataFrame) -> pd.DataFrame:
-    """Points each query earns in a set of texts, summed up per entry."""
+def _met(automaton, asks_all: bool, text: str) -> set[str]:
+    """Queries found in a text; the empty one is found in any."""
+    met = {q for _, q in automaton.iter(text)} if len(automaton) else set()
+    return met | {""} if asks_all else met
+
+
+def _score_rows(automaton, asks_all: bool, rows: pd.DataFrame) -> pd.DataFrame:
+    """Scores of the queries met in some entries, the best five for each query and category."""
     found = []
-    if len(automaton):
-        for filename, points, body, text in texts.itertuples(index=False):
-            for q in {q for _, q in automaton.iter(text)}:
-                found.append((q, filename, points, body))
-    hits = pd.DataFrame(found, columns=["query", "filename", "points", "body_hit"])
-    return hits.groupby(["query", "filename"], as_index=False).agg(
+    for filename, category, texts, points in rows[_ROW].itertuples(index=False):
+        scores: dict[str, int] = {}
+        for text, worth in zip(texts, points):
+            for q in _met(automaton, asks_all, text):
+                scores[q] = scores.get(q, 0) + int(worth)
+        found.extend((q, filename, category, s) for q, s in scores.items())
+    table = pd.DataFrame(found, columns=["query", "filename", "category", "score"])
+    return (table.sort_values(["score", "filename"], ascending=[False, True])
+            .groupby(["query", "category"], sort=False).head(K.QUERY_HITS))
+
+
+def _hit_pieces(automaton, asks_all: bool, rows: pd.DataFrame) -> pd.DataFrame:
+    """Points of the queries met in some texts, summed up per entry."""
+    found = [(q, filename, points, body)
+             for filename, points, body, text in rows[_PIECE].itertuples(index=False)
+             for q in _met(automaton, asks_all, text)]
+    table = pd.DataFrame(found, columns=["query", "filename", "points", "body_hit"])
+    return table.groupby(["query", "filename"], as_index=False).agg(
         {"points": "sum", "body_hit": "max"})
 
 
-def _hits_broadcast(texts: DataFrame, queries: list[str]) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(queries)
+@dataclass(frozen=True)
+class _Asked:
+    """The distinct queries, and whether one automaton can hold them."""
+
+    queries: DataFrame
+    chars: int
+    limit: int
+
+    def meet(self, rows: DataFrame, chars: Column, match: Callable, schema: str) -> DataFrame:
+        if self.chars <= self.limit:
+            return self._broadcast(rows, match, schema)
+        total = rows.agg(F.coalesce(F.sum(chars), F.lit(0))).first()[0]
+        return self._blocked(rows, match, schema, self.chars // self.limit + 1,
+                             total // _SHARD_CHARS + 1)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(shared.value)
-        for b in batches:
-            yield _matches(automaton, b)
+    def _broadcast(self, rows: DataFrame, match: Callable, schema: str) -> DataFrame:
+        few = [r[0] for r in self.queries.collect()]
+        shared = rows.sparkSession.sparkContext.broadcast(few)
 
-    return texts.mapInPandas(scan, _HITS)
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            automaton = _automaton(shared.value)
+            for b in batches:
+                yield match(automaton, "" in shared.value, b)
 
+        return rows.mapInPandas(scan, schema)
 
-def _hits_blocked(texts: DataFrame, queries: DataFrame, query_chars: int,
-                  text_chars: int, max_chars: int) -> DataFrame:
-    """For query tables too large to hand to every task: blocks of queries meet shards of texts."""
-    blocks = query_chars // max_chars + 1
-    shards = text_chars // _SHARD_CHARS + 1
-    q = queries.select("query", F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"),
-                       F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    t = texts.select("filename", "points", "body", "text",
-                     F.pmod(F.xxhash64("filename", "text"), F.lit(shards)).cast("int").alias("shard"),
-                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-                     .alias("block"))
+    def _blocked(self, rows: DataFrame, match: Callable, schema: str, blocks: int,
+                 shards: int) -> DataFrame:
+        """Blocks of queries meet shards of rows, each small enough for a task."""
+        def part(c: Column, n: int) -> Column:
+            return F.pmod(c, F.lit(n)).cast("int")
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        automaton = _automaton(left["query"].tolist())
-        return _matches(automaton, right[["filename", "points", "body", "text"]])
+        def each(n: int) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    return (q.groupBy("block", "shard").cogroup(t.groupBy("block", "shard"))
-            .applyInPandas(meet, _HITS))
+        q = self.queries.select("query", part(F.xxhash64("query"), blocks).alias("block"),
+                                each(shards).alias("shard"))
+        r = rows.select("*", part(F.xxhash64(*[c for c in rows.columns if c in (
+            "filename", "text")]), shards).alias("shard"), each(blocks).alias("block"))
+
+        def together(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            asked = left["query"].tolist()
+            return match(_automaton(asked), "" in asked, right)
+
+        return (q.groupBy("block", "shard").cogroup(r.groupBy("block", "shard"))
+                .applyInPandas(together, schema))
 
 
 def kb_query_batch(kb: StoredKb, queries: DataFrame, *,
@@ -116,39 +158,32 @@ def kb_query_batch(kb: StoredKb, queries: DataFrame, *,
     """
     asked = queries.select("query_id", F.lower("query").alias("query"),
                            F.nullif(F.lower("category"), F.lit("")).alias("category"))
-    texts = searched_texts(kb)
+    distinct = asked.select("query").distinct()
+    breaks = F.length("query") - F.length(F.replace("query", F.lit("\n"), F.lit("")))
+    size, lines = distinct.agg(F.coalesce(F.sum(F.length("query") + 1), F.lit(0)),
+                               F.coalesce(F.max(breaks), F.lit(0)) + 1).first()
+    known = _Asked(distinct, size, max_automaton_chars)
+    chars = F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.length(t))
+    found = known.meet(searched_rows(kb), chars, _score_rows, _SCORES)
     entries = kb.rows.select("filename", "category")
     if kb.large is not None:
-        entries = entries.unionByName(kb.large.entries.select("filename", "category"))
-    distinct = asked.where("query <> ''").select("query").distinct()
-    size = distinct.agg(F.coalesce(F.sum(F.length("query")), F.lit(0))).first()[0]
-    if size <= max_automaton_chars:
-        found = _hits_broadcast(texts, [r[0] for r in distinct.collect()])
-    else:
-        text_chars = texts.agg(F.sum(F.length("text"))).first()[0]
-        found = _hits_blocked(texts, distinct, size, text_chars, max_automaton_chars)
-    # An empty query is found in every field of every entry.
-    everything = texts.groupBy("filename").agg(
-        F.sum("points").alias("points"), F.max("body").alias("body_hit")).select(
-        F.lit("").alias("query"), "filename", "points", "body_hit")
-    wanted = asked.where("query = ''").select("query").distinct()
-    found = found.unionByName(everything.join(wanted, "query", "left_semi").select(
-        "query", "filename", "points", "body_hit"))
-    text_score = (found.groupBy("query", "filename")
-                  .agg((F.sum("points") + F.max("body_hit") * WEIGHTS["body"]).alias("score")))
-    scored = text_score.join(entries, "filename")
+        large = kb.large.entries.select("filename", "category")
+        hits = known.meet(searched_pieces(kb.large, lines), F.length("text"), _hit_pieces, _HITS)
+        total = hits.groupBy("query", "filename").agg(
+            (F.sum("points") + F.max("body_hit") * WEIGHTS["body"]).alias("score"))
+        found = found.unionByName(total.join(large, "filename").select(
+            "query", "filename", "category", F.col("score").cast("long").alias("score")))
+        entries = entries.unionByName(large)
 
     bonus = F.when(F.col("e.category") == F.col("a.category"), F.lit(CATEGORY_BONUS)).otherwise(0)
-    hits = scored.alias("e").join(asked.alias("a"), F.col("e.query") == F.col("a.query")).select(
+    hits = found.alias("e").join(asked.alias("a"), F.col("e.query") == F.col("a.query")).select(
         "a.query_id", "e.filename", (F.col("e.score") + bonus).cast("long").alias("score"))
 
     # Entries without a text match: with the right category they score the bonus, and without a
     # category asked for they score nothing but still count. The first five of each are enough.
-    def first_five(by: list[str]) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(*by).orderBy("filename"))
-        return (entries.withColumn("n", place).where(F.col("n") <= K.QUERY_HITS))
-
-    in_category = asked.join(first_five(["category"]), "category").select(
+    place = F.row_number().over(Window.partitionBy("category").orderBy("filename"))
+    first_five = entries.withColumn("n", place).where(F.col("n") <= K.QUERY_HITS)
+    in_category = asked.join(first_five, "category").select(
         "query_id", "filename", F.lit(CATEGORY_BONUS).cast("long").alias("score"))
     names = [r[0] for r in entries.select("filename").orderBy("filename")
              .limit(K.QUERY_HITS).collect()]

@@ -24,11 +24,13 @@ def resolve_collisions(plans: Plans, on_collision: str = "last") -> Plans:
         kept = rows.join(last, "filename").withColumn("filename", F.when(
             F.col("plan_order") == F.col("__last"), F.col("filename")).otherwise(renamed))
         kept = kept.select(rows.columns)
-    else:
-        kept = (rows.groupBy("filename")
-                .agg(F.max_by(F.struct(*rows.columns), "plan_order").alias("p")).select("p.*"))
-    named = plans.sources.drop("filename").join(kept.select("plan_id", "filename"), "plan_id")
-    return Plans(kept, named.select(plans.sources.columns))
+        named = plans.sources.drop("filename").join(kept.select("plan_id", "filename"), "plan_id")
+        return Plans(kept, named.select(plans.sources.columns))
+    kept = (rows.groupBy("filename")
+            .agg(F.max_by(F.struct(*rows.columns), "plan_order").alias("p")).select("p.*"))
+    # Losing plans are few, so the sources, by far the larger table, need not be shuffled.
+    lost = rows.select("plan_id").join(kept.select("plan_id"), "plan_id", "left_anti")
+    return Plans(kept, plans.sources.join(lost, "plan_id", "left_anti"))
 
 
 def count_collisions(plans: Plans) -> DataFrame:

@@ -75,10 +75,17 @@ def scan_corpus(spark: SparkSession, root: str, cfg: KbConfig = DEFAULT) -> Data
                          F.col("modificationTime").alias("modified"))
 
 
-def readable_files(files: DataFrame, cfg: KbConfig = DEFAULT) -> DataFrame:
-    """Files whose text is used: walked, not sensitive, not too large, and readable."""
-    return filter_size(drop_sensitive(files.where(is_walked(F.col("path"), cfg))),
-                       cfg.max_file_bytes).where(F.col("content").isNotNull())
+def is_readable(cfg: KbConfig = DEFAULT) -> Column:
+    """Files whose text is used: not sensitive by name, not too large, and there to be read."""
+    return (~secrets.is_sensitive_path(F.col("path")) & (F.col("size") <= cfg.max_file_bytes)
+            & F.col("content").isNotNull())
+
+
+def _derived() -> list[Column]:
+    content = F.col("content")
+    return [text.count_lines(content).alias("lines"),
+            text.estimate_tokens(content).alias("tokens"),
+            text.content_hash(content).alias("hash")]
 
 
 def prepare_files(files: DataFrame, cfg: KbConfig = DEFAULT) -> DataFrame:
@@ -87,20 +94,24 @@ def prepare_files(files: DataFrame, cfg: KbConfig = DEFAULT) -> DataFrame:
     Narrow from end to end: one pass over the corpus, no shuffle. Columns that are not asked for
     later are pruned, down to not redacting at all when only paths are used.
     """
-    kept = secrets.redact(readable_files(files, cfg).select("path", "size", "content"), "content")
-    content = F.col("content")
-    return kept.select(
-        "path", paths.extension(F.col("path")).alias("extension"), "size",
-        text.count_lines(content).alias("lines"),
-        text.estimate_tokens(content).alias("tokens"),
-        text.content_hash(content).alias("hash"), "content")
+    read = files.where(is_walked(F.col("path"), cfg) & is_readable(cfg))
+    kept = secrets.redact(read.select("path", "size", "content"), "content")
+    return kept.select("path", paths.extension(F.col("path")).alias("extension"), "size",
+                       *_derived(), "content")
 
 
-def fingerprints(files: DataFrame, cfg: KbConfig = DEFAULT) -> DataFrame:
-    """Every walked path with the hash of its redacted text, null where it is not read."""
+def inspect_files(files: DataFrame, cfg: KbConfig = DEFAULT) -> DataFrame:
+    """Every walked file without its text; what derives from the text is null if it is not read.
+
+    Columns other than ``content`` are kept.
+    """
     walked = files.where(is_walked(F.col("path"), cfg))
-    readable = (~secrets.is_sensitive_path(F.col("path"))
-                & (F.col("size") <= cfg.max_file_bytes))
-    read = walked.select("path", F.when(readable, F.col("content")).alias("content"))
+    read = walked.withColumn("content", F.when(is_readable(cfg), F.col("content")))
+    kept = [c for c in files.columns if c != "content"]
     return secrets.redact(read, "content").select(
-        "path", text.content_hash(F.col("content")).alias("hash"))
+        *kept, paths.extension(F.col("path")).alias("extension"), *_derived())
+
+
+def fingerprints(files: DataFrame, cfg: KbConfig = DEFAULT) -> DataFrame:
+    """Every walked path with the hash of its redacted text, null where it is not read."""
+    return inspect_files(files.select("path", "size", "content"), cfg).select("path", "hash")

@@ -9,13 +9,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tomewright.config import KbConfig
 from tomewright.operators import changes as ch
 from tomewright.operators.tables import KnowledgeBase, read_kb, write_kb
 from tomewright.plans.assemble import assemble_entries, resolve_collisions
 from tomewright.plans.directory import plan_by_directory
-from tomewright.sources.files import DEFAULT, fingerprints, prepare_files
+from tomewright.sources.files import DEFAULT, inspect_files
 
 FILES = "path string, extension string, size bigint, lines int, tokens bigint, hash string"
 
@@ -61,43 +62,43 @@ def refresh_batch(store: KbStore, arrived: DataFrame, batch: int, as_of: str,
                   cfg: KbConfig = DEFAULT, keep_manual: bool = False) -> None:
     """Bring the store up to date with ``arrived(path, content, size, modified[, deleted])``.
 
-    The newest row of a path counts. Files are redacted and hashed once, when they arrive; the
-    stored table of files holds no text, so planning reads little however large the corpus is.
+    The newest row of a path counts. Files are redacted and hashed where they arrive and their
+    text goes no further: no shuffle moves it and no table holds it, so planning reads little
+    however large the corpus is.
     """
-    if "deleted" not in arrived.columns:
-        arrived = arrived.withColumn("deleted", F.lit(False))
-    newest = arrived.groupBy("path").agg(F.max_by(
-        F.struct("content", "size", "deleted"), "modified").alias("f")).select("path", "f.*")
+    gone = F.col("deleted") if "deleted" in arrived.columns else F.lit(False)
+    arrived = arrived.select("path", "content", "size", "modified", gone.alias("deleted"))
+    seen = inspect_files(arrived, cfg)
+    newest = seen.groupBy("path").agg(F.max_by(
+        F.struct(*[c for c in seen.columns if c not in ("path", "modified")]), "modified")
+        .alias("f")).select("path", "f.*")
+    last, folder = store.latest(before=batch), store.folder(batch)
+    newest.write.mode("overwrite").parquet(f"{folder}/arrived")
+    newest = store.spark.read.schema(newest.schema).parquet(f"{folder}/arrived")
     live = newest.where(~F.col("deleted"))
-    last = store.latest(before=batch)
-    folder = store.folder(batch)
+    prepared = live.where("hash IS NOT NULL").select(*StructType.fromDDL(FILES).names)
 
-    prepared = prepare_files(live, cfg).drop("content")
-    if last is None:
-        prepared.write.mode("overwrite").parquet(f"{folder}/files")
-        files = store.files(batch)
-        new = assemble_entries(resolve_collisions(plan_by_directory(files)), as_of)
-        write_kb(new, folder, "overwrite")
-        ch.init_counts(new, files).write.mode("overwrite").parquet(f"{folder}/report")
-        store.commit(batch)
-        return
-
-    prior = store.files(last)
-    (prior.join(newest.select("path"), "path", "left_anti").unionByName(prepared)
-     .write.mode("overwrite").parquet(f"{folder}/files"))
+    if last is not None:
+        prior = store.files(last)
+        prepared = prior.join(newest.select("path"), "path", "left_anti").unionByName(prepared)
+    prepared.write.mode("overwrite").parquet(f"{folder}/files")
     files = store.files(batch)
-    # Files that arrived but are not read are walked all the same.
-    unread = (fingerprints(live, cfg).where("hash IS NULL"))
-    found = ch.detect_changes(files.select("path", "hash").unionByName(unread),
-                              ch.file_state(prior))
-    found.write.mode("overwrite").parquet(f"{folder}/changes")
-    found = store.spark.read.parquet(f"{folder}/changes")
-    existing = store.kb(last)
     new = assemble_entries(resolve_collisions(plan_by_directory(files)), as_of)
-    stale = ch.stale_entries(existing, found, keep_manual=keep_manual)
-    write_kb(ch.upsert_entries(existing, stale, new), folder, "overwrite")
-    ch.refresh_report(existing, stale, new, files).write.mode("overwrite").parquet(
-        f"{folder}/report")
+    if last is None:
+        write_kb(new, folder, "overwrite")
+        report = ch.init_counts(new, files)
+    else:
+        # Files that arrived but are not read are walked all the same.
+        unread = live.where("hash IS NULL").select("path", "hash")
+        walked = files.select("path", "hash").unionByName(unread)
+        ch.detect_changes(walked, ch.file_state(prior)).write.mode("overwrite").parquet(
+            f"{folder}/changes")
+        found = store.spark.read.schema("path string, status string").parquet(f"{folder}/changes")
+        existing = store.kb(last)
+        stale = ch.stale_entries(existing, found, keep_manual=keep_manual)
+        write_kb(ch.upsert_entries(existing, stale, new), folder, "overwrite")
+        report = ch.refresh_report(existing, stale, new, files)
+    report.write.mode("overwrite").parquet(f"{folder}/report")
     store.commit(batch)
 
 
