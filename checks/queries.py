@@ -42,10 +42,16 @@ def raw_files(spark: SparkSession, sf: str, name: str = "files_raw") -> DataFram
     return sources.files_from_table(view(spark, sf, name))
 
 
-def files(spark: SparkSession, sf: str) -> DataFrame:
+def prepared(spark: SparkSession, sf: str) -> DataFrame:
     return sources.prepare_files(raw_files(spark, sf))
 
 
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    """What is known of each file, written once: redacted and hashed a single time, no text."""
+    return spark.read.parquet(written(spark, sf, "files", lambda p: prepared(spark, sf).drop(
+        "content").write.parquet(p)))
+
+
 def plans(spark: SparkSession, sf: str):
     return assemble.resolve_collisions(directory.plan_by_directory(files(spark, sf)))
 
@@ -60,11 +66,10 @@ def kb(spark: SparkSession, sf: str) -> KnowledgeBase:
 
 
 def stored_kb(spark: SparkSession, sf: str) -> documents.StoredKb:
-    """What queries read: the entries as their documents read back."""
-    def write(path: str) -> None:
-        documents.read_back(kb(spark, sf), AS_OF).rows.write.parquet(path)
-
-    return documents.StoredKb(spark.read.parquet(written(spark, sf, "stored", write)))
+    """What queries read: the entries as their documents read back, written once."""
+    return documents.read_stored(spark, written(
+        spark, sf, "stored", lambda p: documents.write_stored(
+            documents.read_back(kb(spark, sf), AS_OF), p)))
 
 
 # --- sources ---------------------------------------------------------------------------------
@@ -100,7 +105,7 @@ def sensitive_paths(spark, sf):
 
 @register("SELECT path, size, lines, tokens, hash, extension FROM files", "files")
 def prepare_files(spark, sf):
-    return files(spark, sf).select("path", "size", "lines", "tokens", "hash", "extension")
+    return prepared(spark, sf).select("path", "size", "lines", "tokens", "hash", "extension")
 
 
 @register(f"SELECT page_id, substr(sha256(html), 1, 16) AS hash, {S.line_count('html')} AS lines "
@@ -295,11 +300,17 @@ def prior_state(spark, sf) -> DataFrame:
         sources.prepare_files(snapshot(spark, sf, "prev"))).write.parquet(p)))
 
 
-def current_changes(spark, sf) -> DataFrame:
+def detected(spark, sf) -> DataFrame:
     return changes.detect_changes(sources.fingerprints(snapshot(spark, sf, "now")),
                                   prior_state(spark, sf))
 
 
+def current_changes(spark, sf) -> DataFrame:
+    """The changes as a written table, which several steps of an update read."""
+    return spark.read.parquet(written(spark, sf, "changes", lambda p: detected(
+        spark, sf).write.parquet(p)))
+
+
 def kb_before(spark, sf) -> KnowledgeBase:
     """The stored knowledge base of the previous run, with one entry added by hand."""
     def write(path: str) -> None:
@@ -321,7 +332,7 @@ def kb_now(spark, sf) -> KnowledgeBase:
 
 @register("SELECT path, status FROM changes", "changes")
 def detect_changes(spark, sf):
-    return current_changes(spark, sf)
+    return detected(spark, sf)
 
 
 @register("SELECT DISTINCT path FROM (SELECT path FROM changes WHERE status <> 'removed' UNION ALL "
@@ -405,9 +416,8 @@ def pack_batches(spark, sf):
           "'... (truncated)' ELSE content || chr(10) || chr(10) END) AS digest "
           "FROM fold JOIN files f USING (path)", "packed")
 def batch_text(spark, sf):
-    prepared = files(spark, sf)
-    assigned = batches.assign_batches(prepared, _BUDGET)
-    return batches.batch_text(assigned, prepared, _BUDGET).select(
+    assigned = batches.assign_batches(files(spark, sf), _BUDGET)
+    return batches.batch_text(assigned, prepared(spark, sf), _BUDGET).select(
         "batch_id", "path", F.md5("text").alias("digest"))
 
 

@@ -54,8 +54,33 @@ _NEEDS_SHAPE: dict[str, str] = {
 }
 
 
+# How a match begins. Tested first at each place, this spares most places the dearer test for a
+# word boundary that these patterns start with; it does not change what they match.
+_BEGINS: dict[str, str] = {
+    "password-assignment": "[Pp]",
+    "secret-assignment": "[Ss]",
+    "token-assignment": "[AaPp]",
+    "bearer-token": "[Aa]",
+    "aws-access-key": "A",
+    "aws-secret-key": "[A-Za-z0-9/+=]{40}",
+    "github-token": "g",
+    "github-oauth": "g",
+    "slack-token": "x",
+    "stripe-key": "s",
+    "stripe-publishable": "p",
+    "google-api-key": "A",
+    "firebase-key": "A",
+    "heroku-key": "[0-9A-Fa-f]{8}-",
+}
+
+
+def _regex(name: str, pattern: str, flags: str) -> str:
+    begins = f"(?={_BEGINS[name]})" if name in _BEGINS else ""
+    return begins + jvm(pattern, flags)
+
+
 _RULES_JSON = json.dumps([
-    {"name": name, "regex": jvm(pattern, flags), "replacement": replacement,
+    {"name": name, "regex": _regex(name, pattern, flags), "replacement": replacement,
      "needs": _NEEDS.get(name, [])}
     for name, pattern, flags, replacement in K.SECRET_PATTERNS])
 _RULES_TYPE = "array<struct<name:string,regex:string,replacement:string,needs:array<string>>>"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +13,7 @@ from tomewright import constants as K
 from tomewright.functions import frontmatter as fm
 from tomewright.functions import secrets, text
 from tomewright.operators.ordering import freeze
-from tomewright.operators.tables import AT, KnowledgeBase
+from tomewright.operators.tables import AT, KnowledgeBase, read_kb, write_kb
 
 # An entry is put together as one document up to this many characters.
 MAX_DOCUMENT_CHARS = 16_000_000
@@ -155,6 +156,21 @@ def read_back(kb: KnowledgeBase, as_of: str, *, max_chars: int = MAX_DOCUMENT_CH
     return StoredKb(rows, KnowledgeBase(kept.entries, kept.tags, related, kept.sources, body))
 
 
+def write_stored(kb: StoredKb, path: str) -> None:
+    """Write what queries read, so that they need not put documents together again."""
+    kb.rows.write.parquet(f"{path}/rows")
+    if kb.large is not None:
+        write_kb(kb.large, f"{path}/large")
+
+
+def read_stored(spark: SparkSession, path: str) -> StoredKb:
+    rows = spark.read.parquet(f"{path}/rows")
+    try:
+        return StoredKb(rows, read_kb(spark, f"{path}/large"))
+    except AnalysisException:  # no entry was large
+        return StoredKb(rows)
+
+
 def write_documents(kb: KnowledgeBase, path: str) -> None:
     """Markdown below ``path``: a folder per entry, whose files in name order are its document.
 

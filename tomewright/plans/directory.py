@@ -6,20 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.functions import paths
-from tomewright.plans.model import Plans
+from tomewright.plans.model import Plans, shown_lines
 
 
 def plan_by_directory(files: DataFrame) -> Plans:
-    """Plans from ``files(path, lines, content or empty)``.
+    """Plans from ``files(path, size, lines)``.
 
     A directory may hold a large share of all files, so its files are not gathered into one row:
     they stay rows of ``sources``, in path order, and a plan only counts them.
     """
     directory = paths.dirname(F.col("path"))
-    lines = F.col("lines") if "lines" in files.columns else F.lit(None).cast("int")
     sources = files.select(directory.alias("plan_id"),
                            paths.entry_filename(directory).alias("filename"),
-                           F.lit(0).cast("long").alias("pos"), "path", lines.alias("lines"))
+                           F.lit(0).cast("long").alias("pos"), "path", shown_lines().alias("lines"))
     plans = (files.groupBy(directory.alias("plan_id"))
              .agg(F.min("path").alias("first_path"), F.count("*").alias("n_sources"))
              .select("plan_id",

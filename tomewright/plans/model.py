@@ -101,9 +101,14 @@ def plans_from_rows(rows: DataFrame, reply_id: str = "response_id") -> Plans:
     return Plans(plans, sources)
 
 
+def shown_lines() -> Column:
+    """Line count of a file as entries show it: unknown for an empty one."""
+    return F.when(F.col("size") > 0, F.col("lines"))
+
+
 def with_line_counts(plans: Plans, files: DataFrame) -> Plans:
     """Line counts for sources that name their files only by path."""
-    counts = files.select("path", F.col("lines").alias("__lines"))
+    counts = files.select("path", shown_lines().alias("__lines"))
     sources = (plans.sources.join(counts, "path", "left")
                .select("plan_id", "filename", "pos", "path", F.coalesce("lines", "__lines").alias("lines")))
     return Plans(plans.plans, sources)
