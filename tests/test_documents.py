@@ -95,8 +95,7 @@ def test_written_documents_read_back(spark, kb, tmp_path):
     for r in sorted(parts.collect(), key=lambda r: (r.f, r.n)):
         texts.setdefault(r.filename, []).append(r.value)
     want = {r.filename: r.document for r in documents.render_documents(kb).collect()}
-    assert {k: "\n".join(v) for k, v in texts.items()} == {k: v.rstrip("\n") for k, v in want.items()} or {
-        k: "\n".join(v).strip() for k, v in texts.items()} == {k: v.strip() for k, v in want.items()}
+    assert {k: "\n".join(v) + "\n" for k, v in texts.items()} == want
 
 
 def test_update_counts_manual_entries_as_stale(spark, kb):
@@ -134,10 +133,12 @@ def test_folder_scan(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
     got = {r.path: r.content for r in sources.scan_corpus(spark, str(tmp_path)).collect()}
+    assert got == {"a/x.ts": "one\ntwo", "a b/y+z.py": "�� ok", "big.md": None}
+    got = {r.path: r.content for r in sources.walk_corpus(spark, str(tmp_path)).collect()}
     assert got == {"a/x.ts": "one\ntwo", "a b/y+z.py": "�� ok", ".env": None,
                    "big.md": None, "c/d.TXT": ""}
-    only = sources.scan_corpus(spark, str(tmp_path), KbConfig(include_extensions=(".txt",)))
-    assert [r.path for r in only.collect()] == ["c/d.TXT"]
+    only = sources.scan_corpus(spark, str(tmp_path), KbConfig(include_extensions=(".md",)))
+    assert [r.path for r in only.collect()] == ["big.md"]
 
 
 def test_plans_of_replies(spark):

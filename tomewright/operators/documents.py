@@ -179,14 +179,16 @@ def write_documents(kb: KnowledgeBase, path: str) -> None:
     pieces = document_pieces(kb)
     header = pieces.where(F.col("section") < BODY)
     body = secrets.redact(pieces.where(F.col("section") == BODY), "text")
-    gap = kb.entries.select("filename", F.lit(BODY).alias("section"),
-                            F.struct(F.lit(-1).cast("long").alias("part"),
-                                     F.lit(0).cast("long").alias("pos"),
-                                     F.lit("").alias("key")).alias("at"),
-                            F.lit("\n").alias("text"))
+    def at(part: int):
+        return F.struct(F.lit(part).cast("long").alias("part"),
+                        F.lit(0).cast("long").alias("pos"), F.lit("").alias("key"))
+
+    gaps = kb.entries.select("filename", F.lit(BODY).alias("section"),
+                             F.explode(F.array(at(-1), at(2**62))).alias("at"),
+                             F.lit("\n").alias("text"))
     # The text sink ends every row with a line end of its own.
-    lines = header.unionByName(body).unionByName(gap).withColumn(
-        "value", F.regexp_replace("text", "\n$", ""))
+    lines = header.unionByName(body).unionByName(gaps).withColumn(
+        "value", F.regexp_replace("text", r"\n\z", ""))
     order = ["filename", "section", "at"]
     (lines.repartitionByRange(*order).sortWithinPartitions(*order)
      .select("filename", "value").write.partitionBy("filename").text(path))

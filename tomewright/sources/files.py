@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.config import KbConfig
 from tomewright.functions import paths, secrets, text
+from tomewright.operators.ordering import freeze
 
 DEFAULT = KbConfig()
 
@@ -55,7 +61,8 @@ def scan_corpus(spark: SparkSession, root: str, cfg: KbConfig = DEFAULT) -> Data
 
     Names are tested on ``_metadata``, so ignored files are dropped while files are listed and
     are never opened. Sensitive and oversize files stay, with null content: they are part of the
-    walk, which change detection needs, but their bytes are not kept.
+    walk, which change detection needs, but their bytes are not kept. Spark's file source lists
+    no empty files and none whose name starts with a dot or underscore; ``walk_corpus`` does.
     """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
            .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root))
@@ -75,6 +82,69 @@ def scan_corpus(spark: SparkSession, root: str, cfg: KbConfig = DEFAULT) -> Data
                          F.col("modificationTime").alias("modified"))
 
 
+def _list_folders(root: str):
+    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for folder in b["path"]:
+                with os.scandir(os.path.join(root, folder)) as found:
+                    rows = [(os.path.join(folder, e.name), e.is_dir(follow_symlinks=False),
+                             e.stat(follow_symlinks=False))
+                            for e in found if not e.is_symlink()]
+                yield pd.DataFrame({
+                    "path": [r[0] for r in rows], "folder": [r[1] for r in rows],
+                    "size": [r[2].st_size for r in rows],
+                    "micros": [r[2].st_mtime_ns // 1000 for r in rows]})
+
+    return listing
+
+
+def _read_files(root: str, batch_bytes: int = 32 << 20):
+    def reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, paths_, held = [], [], 0
+        for b in batches:
+            for path in b["path"]:
+                try:
+                    with open(os.path.join(root, path), "rb") as f:
+                        data = f.read()
+                except OSError:
+                    continue
+                paths_.append(path)
+                texts.append(data.decode("utf-8", "replace"))
+                held += len(data)
+                if held >= batch_bytes:
+                    yield pd.DataFrame({"path": paths_, "content": texts})
+                    texts, paths_, held = [], [], 0
+        yield pd.DataFrame({"path": paths_, "content": texts})
+
+    return reading
+
+
+def walk_corpus(spark: SparkSession, root: str, cfg: KbConfig = DEFAULT) -> DataFrame:
+    """Like ``scan_corpus`` for a folder mounted on all executors, with every file there is.
+
+    Folders are listed level by level, those of a level in parallel; ignored ones are not entered,
+    and only files that pass the tests on name and size are opened.
+    """
+    columns = "path string, folder boolean, size bigint, micros bigint"
+    level = spark.range(1).select(F.lit("").alias("path"))
+    levels = []
+    while True:
+        found = level.mapInPandas(_list_folders(root), columns).where(
+            ~paths.is_ignored(F.col("path"), cfg.all_ignored))
+        found = freeze(found)
+        levels.append(found.where(~F.col("folder")))
+        folders = found.where("folder").select("path")
+        if folders.isEmpty():
+            break
+        level = folders.repartition("path")
+    walked = reduce(DataFrame.unionByName, levels).where(is_walked(F.col("path"), cfg))
+    readable = walked.where(~secrets.is_sensitive_path(F.col("path"))
+                            & (F.col("size") <= cfg.max_file_bytes)).select("path")
+    texts = readable.repartition("path").mapInPandas(_read_files(root), "path string, content string")
+    return walked.join(texts, "path", "left").select(
+        "path", "content", "size", F.timestamp_micros("micros").alias("modified"))
+
+
 def is_readable(cfg: KbConfig = DEFAULT) -> Column:
     """Files whose text is used: not sensitive by name, not too large, and there to be read."""
     return (~secrets.is_sensitive_path(F.col("path")) & (F.col("size") <= cfg.max_file_bytes)
