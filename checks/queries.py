@@ -126,15 +126,14 @@ _CLASS_PATH = ("CASE doc_id % 9 WHEN 0 THEN concat('Dockerfile.', doc_id) WHEN 1
 def _category_sql() -> str:
     base = f"lower({S.basename('path')})"
     stem = f"substr({base}, 1, length({base}) - length({S.extension('path')}))"
-    by_name = {n.lower(): c for c, ns in K.FILENAME_CATEGORIES.items() for n in ns}
-    by_ext = {n: c for c, ns in K.EXTENSION_CATEGORIES.items() for n in ns}
+    by_name = {n.lower(): c for n, c in K.FILENAME_CATEGORIES.items()}
 
     def case(of: str, values: dict[str, str]) -> str:
         return f"CASE {of} " + " ".join(f"WHEN {S.lit(k)} THEN {S.lit(v)}"
                                         for k, v in values.items()) + " END"
 
     return (f"coalesce({case(base, by_name)}, {case(stem, by_name)}, "
-            f"{case(S.extension('path'), by_ext)}, 'general')")
+            f"{case(S.extension('path'), K.EXTENSION_CATEGORIES)}, 'general')")
 
 
 @register(f"SELECT doc_id, path, {_category_sql()} AS category "
@@ -145,7 +144,7 @@ def classify_files(spark, sf):
 
 
 @register("SELECT path, CASE extension " + " ".join(
-    f"WHEN {S.lit(e)} THEN {S.lit(lang)}" for lang, es in K.LANGUAGE_EXTENSIONS.items() for e in es)
+    f"WHEN {S.lit(e)} THEN {S.lit(lang)}" for e, lang in K.LANGUAGE_EXTENSIONS.items())
     + " ELSE 'unknown' END AS language "
     f"FROM (SELECT path, {S.extension('path')} AS extension FROM files_raw)", "files_raw")
 def detect_language(spark, sf):
@@ -984,13 +983,22 @@ def model_replies(spark, sf) -> DataFrame:
                                                 reply.alias("text"))
 
 
-@register()
+S.CTES["replied"] = ([], """replied AS (SELECT doc_id AS response_id, CAST(0 AS INT) AS pos,
+  'plan_' || doc_id || '.md' AS filename, CASE WHEN doc_id % 3 > 0 THEN source
+  ELSE 'plan_' || doc_id || '.md' END AS title, 'general' AS category,
+  source || '/' || lang || '|b.ts' AS source_files, substr(text, 1, 80) AS brief
+  FROM documents WHERE doc_id % 5 IN (0, 1, 4))""")
+
+
+@register("SELECT * FROM replied", "replied")
 def parse_plans(spark, sf):
     return model.parse_plans(model_replies(spark, sf)).withColumn(
         "source_files", F.array_join("source_files", "|"))
 
 
-@register()
+@register(f"SELECT filename, title, CASE WHEN brief = '' THEN 'general — 2 files' ELSE brief END AS "
+          f"description, category, '{AS_OF}' AS updated_at, CAST(2 AS BIGINT) AS n_sources FROM replied",
+          "replied")
 def choose_plans(spark, sf):
     planned = model.plans_from_rows(model.parse_plans(model_replies(spark, sf)))
     chosen = model.choose_plans(planned, directory.plan_by_directory(files(spark, sf)))
@@ -999,7 +1007,14 @@ def choose_plans(spark, sf):
 
 # --- streaming -------------------------------------------------------------------------------
 
-@register()
+S.CTES["next_plan"] = (["prev", "now"], """next_files AS (SELECT path FROM now UNION ALL
+  SELECT path FROM prev WHERE path NOT IN (SELECT path FROM now_walked)),
+""" + S.planned("next_files", "next_plan"))
+
+
+@register(f"SELECT filename, CASE WHEN dir = '.' THEN 'root' ELSE dir END AS title, 'Files in ' || dir AS "
+          f"description, 'module' AS category, '{AS_OF}' AS updated_at, n_sources FROM next_plan",
+          "next_plan")
 def stream_refresh(spark, sf):
     """The two snapshots arrive one after the other; the entries after the second."""
     import time

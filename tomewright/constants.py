@@ -124,38 +124,42 @@ CATEGORY_META = [
     ("general", "General", "Miscellaneous project files"),
 ]
 EXTENSION_CATEGORIES = {
-    "api": [".route", ".controller", ".resolver", ".handler", ".middleware"],
-    "config": [".env", ".toml", ".yaml", ".yml", ".ini", ".conf"],
-    "data-model": [".model", ".schema", ".entity", ".migration", ".prisma"],
-    "testing": [".test", ".spec"],
-    "build": [".dockerfile", ".dockerignore"],
-    "styles": [".css", ".scss", ".sass", ".less", ".styled"],
+    ".route": "api", ".controller": "api", ".resolver": "api", ".handler": "api",
+    ".middleware": "api",
+    ".env": "config", ".toml": "config", ".yaml": "config", ".yml": "config", ".ini": "config",
+    ".conf": "config",
+    ".model": "data-model", ".schema": "data-model", ".entity": "data-model",
+    ".migration": "data-model", ".prisma": "data-model",
+    ".test": "testing", ".spec": "testing",
+    ".dockerfile": "build", ".dockerignore": "build",
+    ".css": "styles", ".scss": "styles", ".sass": "styles", ".less": "styles",
+    ".styled": "styles",
 }
 FILENAME_CATEGORIES = {
-    "build": ["dockerfile", "makefile", "package.json"],
-    "infrastructure": [
-        "docker-compose", "docker-compose.yml", "docker-compose.yaml", ".github", ".gitlab-ci",
-        ".circleci", "terraform", "serverless", "sam", "cdk",
-    ],
-    "config": [
-        "tsconfig.json", "jsconfig.json", "vite.config", "webpack.config", "rollup.config",
-        "next.config", "nuxt.config", "tailwind.config", "postcss.config", ".eslintrc",
-        ".prettierrc",
-    ],
-    "testing": ["jest.config", "vitest.config", "cypress.config", "playwright.config"],
-    "documentation": ["README", "CHANGELOG", "CONTRIBUTING", "LICENSE"],
+    "dockerfile": "build", "docker-compose": "infrastructure",
+    "docker-compose.yml": "infrastructure", "docker-compose.yaml": "infrastructure",
+    "makefile": "build", "package.json": "build", "tsconfig.json": "config",
+    "jsconfig.json": "config", "vite.config": "config", "webpack.config": "config",
+    "rollup.config": "config", "next.config": "config", "nuxt.config": "config",
+    "tailwind.config": "config", "postcss.config": "config", ".eslintrc": "config",
+    ".prettierrc": "config", "jest.config": "testing", "vitest.config": "testing",
+    "cypress.config": "testing", "playwright.config": "testing", "README": "documentation",
+    "CHANGELOG": "documentation", "CONTRIBUTING": "documentation", "LICENSE": "documentation",
+    ".github": "infrastructure", ".gitlab-ci": "infrastructure", ".circleci": "infrastructure",
+    "terraform": "infrastructure", "serverless": "infrastructure", "sam": "infrastructure",
+    "cdk": "infrastructure",
 }
 
 # --- Fixed values: languages -----------------------------------------------------------------
 LANGUAGE_EXTENSIONS = {
-    "typescript": [".ts", ".tsx"], "javascript": [".js", ".jsx"], "python": [".py"],
-    "ruby": [".rb"], "go": [".go"], "rust": [".rs"], "java": [".java"], "kotlin": [".kt"],
-    "swift": [".swift"], "c": [".c"], "cpp": [".cpp"], "csharp": [".cs"], "php": [".php"],
-    "elixir": [".ex", ".exs"], "erlang": [".erl"], "haskell": [".hs"], "lua": [".lua"],
-    "sql": [".sql"], "shell": [".sh"], "json": [".json"], "yaml": [".yaml", ".yml"],
-    "toml": [".toml"], "markdown": [".md"], "css": [".css"], "scss": [".scss"],
-    "graphql": [".graphql"], "terraform": [".tf"], "dart": [".dart"], "vue": [".vue"],
-    "svelte": [".svelte"], "protobuf": [".proto"], "html": [".html"],
+    ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript",
+    ".py": "python", ".rb": "ruby", ".go": "go", ".rs": "rust", ".java": "java", ".kt": "kotlin",
+    ".swift": "swift", ".c": "c", ".cpp": "cpp", ".cs": "csharp", ".php": "php",
+    ".ex": "elixir", ".exs": "elixir", ".erl": "erlang", ".hs": "haskell", ".lua": "lua",
+    ".sql": "sql", ".sh": "shell", ".json": "json", ".yaml": "yaml", ".yml": "yaml",
+    ".toml": "toml", ".md": "markdown", ".css": "css", ".scss": "scss", ".graphql": "graphql",
+    ".tf": "terraform", ".dart": "dart", ".vue": "vue", ".svelte": "svelte",
+    ".proto": "protobuf", ".html": "html",
 }
 OVERVIEW_LANGUAGES = [
     "typescript", "javascript", "python", "go", "rust", "ruby", "java", "kotlin", "swift", "c",

@@ -47,10 +47,9 @@ def is_ignored(path: Column, patterns: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
-def _lookup(table: dict[str, list[str]], *, lower: bool = False) -> Column:
-    pairs = [F.lit(x) for value, keys in table.items()
-             for key in keys for x in (key.lower() if lower else key, value)]
-    return F.create_map(*pairs)
+def _lookup(table: dict[str, str], *, lower: bool = False) -> Column:
+    return F.create_map(*[F.lit(x) for key, value in table.items()
+                          for x in (key.lower() if lower else key, value)])
 
 
 def classify(path: Column) -> Column:

@@ -59,27 +59,27 @@ def files_from_table(df: DataFrame, path: str = "path", content: str = "content"
 def scan_corpus(spark: SparkSession, root: str, cfg: KbConfig = DEFAULT) -> DataFrame:
     """Files below ``root`` that a walk visits: ``path, content, size, modified``.
 
-    Names are tested on ``_metadata``, so ignored files are dropped while files are listed and
-    are never opened. Sensitive and oversize files stay, with null content: they are part of the
-    walk, which change detection needs, but their bytes are not kept. Spark's file source lists
-    no empty files and none whose name starts with a dot or underscore; ``walk_corpus`` does.
+    Names and sizes are tested on ``_metadata``, which drops files while they are listed: ignored
+    ones are never opened, and neither are sensitive and oversize ones. The latter are part of the
+    walk, which change detection needs, and come with null content. Spark's file source lists no
+    empty files and none whose name starts with a dot or underscore; ``walk_corpus`` does.
     """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
            .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root))
     base = root.split(":", 1)[-1].rstrip("/") + "/"
-
-    def relative(c: Column) -> Column:
-        return F.substring_index(c, base, -1) if base == "/" else F.substring(
-            c, F.locate(base, c) + len(base), F.lit(2147483647))
-
-    listed = raw.where(is_walked(relative(F.url_decode(F.replace(
-        F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))), cfg))
-    path = relative(F.col("path"))
-    readable = ~secrets.is_sensitive_path(path) & (F.col("length") <= cfg.max_file_bytes)
-    return listed.select(path.alias("path"),
-                         F.when(readable, decode_utf8(F.col("content"))).alias("content"),
-                         F.col("length").alias("size"),
-                         F.col("modificationTime").alias("modified"))
+    listed_as = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.substring(listed_as, F.locate(base, listed_as) + len(base), F.lit(2147483647))
+    opened = (~secrets.is_sensitive_path(path)
+              & (F.col("_metadata.file_size") <= cfg.max_file_bytes))
+
+    def rows(which: Column, content: Column) -> DataFrame:
+        return raw.where(is_walked(path, cfg) & which).select(
+            path.alias("path"), content.alias("content"),
+            F.col("_metadata.file_size").alias("size"),
+            F.col("_metadata.file_modification_time").alias("modified"))
+
+    return rows(opened, decode_utf8(F.col("content"))).unionByName(
+        rows(~opened, F.lit(None).cast("string")))
 
 
 def _list_folders(root: str):
