@@ -82,6 +82,17 @@ def all_matches(c: Column, pattern: str, group: int = 0, flags: str = "") -> Col
     return F.regexp_extract_all(c, F.lit(jvm(pattern, flags)), F.lit(group))
 
 
+def match_groups(c: Column, pattern: str, **names: int) -> Column:
+    """One struct per match with the named groups; a group that took no part is empty.
+
+    A long text is searched once, for whole matches; their groups are read from each match. The
+    pattern must not look at what surrounds a match.
+    """
+    regex = jvm(pattern)
+    return F.transform(all_matches(c, pattern), lambda m: F.struct(*[
+        (m if g == 0 else F.regexp_extract(m, regex, g)).alias(n) for n, g in names.items()]))
+
+
 def first_match(c: Column, pattern: str, group: int = 1, flags: str = "") -> Column:
     """The group of the first match, or null where nothing matches."""
     found = F.regexp_substr(c, F.lit(jvm(pattern, flags)))

@@ -40,10 +40,13 @@ def extract_facts(files: DataFrame) -> DataFrame:
             .withColumn("__json", config.json_facts(
                 F.when(fam == "json", F.struct("name", "content"))))
             .withColumn("__braces", braces.brace_facts(F.when(fam == "script", content)))
+            .withColumn("__script", F.when(fam == "script", javascript.parsed(content)))
+            .withColumn("__defs", F.when(fam == "python", python.documented_functions(content)))
             .withColumn("__about", comments.module_description(fam, content)))
     about = F.col("__about")
-    found = (F.when(fam == "script", javascript.facts(content, about, F.col("__braces")))
-             .when(fam == "python", python.facts(content, about))
+    found = (F.when(fam == "script", javascript.facts(
+        content, about, F.col("__script"), F.col("__braces")))
+             .when(fam == "python", python.facts(content, about, F.col("__defs")))
              .when(fam == "json", F.col("__json"))
              .when(fam == "yaml", config.yaml_facts(content))
              .when(fam == "toml", config.toml_facts(content))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tomewright.functions import text
 from tomewright.functions.regex import jvm
-from tomewright.functions.text import (all_matches, collapse_space, first_match, let, matches,
-                                       replace_all, trim)
+from tomewright.functions.text import (all_matches, collapse_space, first_match, let,
+                                       match_groups, matches, replace_all, trim)
 from tomewright.operators.facts.comments import comment_body, parameters, provides
 from tomewright.operators.facts.kinds import Facts, code, filled, listed, strings, when_some
 
@@ -49,9 +49,17 @@ DESIGN_PATTERNS = [
 ]
 
 
-def _groups(content: Column, pattern: str, **names: int) -> Column:
-    """One struct per match, with the named groups; a group that took no part is empty."""
-    return F.arrays_zip(*[all_matches(content, pattern, g).alias(n) for n, g in names.items()])
+def parsed(content: Column) -> Column:
+    """What several kinds of facts are made of, found once: types, functions and classes."""
+    functions = F.transform(
+        match_groups(content, DOCUMENTED_FUNCTION, doc=1, name=2, params=3),
+        lambda f: F.struct(comment_body(f.doc).alias("doc"), f["name"].alias("name"),
+                           trim(f.params).alias("params")))
+    classes = F.transform(
+        match_groups(content, DOCUMENTED_CLASS, doc=1, name=2, parent=3, interfaces=4),
+        lambda c: c.withField("doc", comment_body(c.doc)))
+    return F.struct(match_groups(content, TYPE, name=1, parent=2).alias("types"),
+                    functions.alias("functions"), classes.alias("classes"))
 
 
 def purpose(content: Column, about: Column) -> Column:
@@ -65,8 +73,7 @@ def purpose(content: Column, about: Column) -> Column:
     return F.coalesce(F.when(about.isNotNull(), let(line, sentence)), provides(exported))
 
 
-def type_names(content: Column) -> Column:
-    types = _groups(content, TYPE, name=1, parent=2)
+def type_names(types: Column) -> Column:
     shown = F.transform(types, lambda t: F.when(t.parent != "", F.concat(
         code(t["name"]), F.lit(" extends "), code(t.parent))).otherwise(code(t["name"])))
     return F.when(F.size(types) > 0, strings(
@@ -77,7 +84,7 @@ def enums(content: Column) -> Column:
     def values(body: Column) -> Column:
         return filled(F.transform(F.split(body, ","), lambda v: trim(text.before(trim(v), "="))))
 
-    return F.transform(_groups(content, ENUM, name=1, body=2), lambda e: F.concat(
+    return F.transform(match_groups(content, ENUM, name=1, body=2), lambda e: F.concat(
         code(e["name"]), F.lit(" enum: "), listed(values(e.body), 10)))
 
 
@@ -90,12 +97,8 @@ def _has_description(doc: Column) -> Column:
     return trim(F.split(doc, r"@[A-Za-z0-9_]").getItem(0)) != ""
 
 
-def documented_functions(content: Column) -> tuple[Column, Column, Column]:
+def documented_functions(found: Column) -> tuple[Column, Column, Column]:
     """Responsibilities, data flow and API of functions with a comment right above them."""
-    found = F.transform(
-        _groups(content, DOCUMENTED_FUNCTION, doc=1, name=2, params=3),
-        lambda f: F.struct(comment_body(f.doc).alias("doc"), f["name"].alias("name"),
-                           trim(f.params).alias("params")))
     duties = F.transform(F.filter(found, lambda f: _has_description(f.doc)), lambda f: F.concat(
         _described(f.doc), F.lit(" (via "), code(f["name"]), F.lit(")")))
     flow = F.flatten(F.transform(found, lambda f: filled(F.transform(
@@ -112,17 +115,16 @@ def documented_functions(content: Column) -> tuple[Column, Column, Column]:
 
 
 def arrow_functions(content: Column) -> Column:
-    found = F.filter(_groups(content, ARROW, name=1, params=2),
+    found = F.filter(match_groups(content, ARROW, name=1, params=2),
                      lambda f: ~F.startswith(f["name"], F.lit("_")))
     return F.transform(found, lambda f: F.concat(
         F.lit("`"), f["name"], F.lit("("), parameters(trim(f.params)), F.lit(")`")))
 
 
-def documented_classes(content: Column) -> tuple[Column, Column]:
+def documented_classes(found: Column) -> tuple[Column, Column]:
     """Responsibilities and key concepts of classes with a comment."""
-    found = _groups(content, DOCUMENTED_CLASS, doc=1, name=2, parent=3, interfaces=4)
-    docs = F.transform(found, lambda c: comment_body(c.doc))
-    duties = F.transform(F.filter(docs, _has_description), _described)
+    duties = F.transform(F.filter(found, lambda c: _has_description(c.doc)),
+                         lambda c: _described(c.doc))
     concepts = F.transform(found, lambda c: F.concat(
         code(c["name"]),
         F.when(c.parent != "", F.concat(F.lit(" extends "), code(c.parent))).otherwise(""),
@@ -153,7 +155,7 @@ def imports(content: Column) -> Column:
         single = first_match(line, r"import\s+(\w+)", 1)
         return F.when(braces.isNotNull(), named).when(single.isNotNull(), strings(single))
 
-    lines = F.transform(_groups(content, IMPORT, line=0, module=1), lambda i: F.struct(
+    lines = F.transform(match_groups(content, IMPORT, line=0, module=1), lambda i: F.struct(
         i["module"].alias("module"), names(i.line).alias("names")))
     usable = F.filter(lines, lambda i: i.names.isNotNull())
     return let(usable, lambda all_: F.transform(
@@ -186,12 +188,12 @@ def constraints(content: Column) -> list[Column]:
     ]
 
 
-def facts(content: Column, about: Column, braces: Column) -> Column:
-    duties, flow, api = documented_functions(content)
-    class_duties, class_concepts = documented_classes(content)
+def facts(content: Column, about: Column, seen: Column, braces: Column) -> Column:
+    duties, flow, api = documented_functions(seen.functions)
+    class_duties, class_concepts = documented_classes(seen.classes)
     found = Facts(purpose(content, about))
     found.add("responsibilities", duties, class_duties)
-    found.add("keyConcepts", type_names(content), braces.properties, enums(content),
+    found.add("keyConcepts", type_names(seen.types), braces.properties, enums(content),
               class_concepts)
     found.add("dataFlow", flow)
     found.add("patterns", design_patterns(content))
@@ -202,5 +204,3 @@ def facts(content: Column, about: Column, braces: Column) -> Column:
     found.add("configuration", braces.options)
     found.add("constraints", *constraints(content))
     return found.column()
-
-

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tomewright.functions import text
-from tomewright.functions.text import all_matches, first_match, let, trim
+from tomewright.functions.text import all_matches, first_match, let, match_groups, trim
 from tomewright.operators.facts.comments import first_sentence_or_none, parameters, provides
 from tomewright.operators.facts.kinds import Facts, code, listed, when_some
 
@@ -28,9 +28,7 @@ DECORATOR_PATTERNS = [
 
 
 def classes(content: Column) -> Column:
-    found = F.arrays_zip(all_matches(content, CLASS, 1).alias("name"),
-                         all_matches(content, CLASS, 2).alias("parents"))
-    return F.transform(found, lambda c: F.when(c.parents != "", F.concat(
+    return F.transform(match_groups(content, CLASS, name=1, parents=2), lambda c: F.when(c.parents != "", F.concat(
         code(c["name"]), F.lit(" inherits from "), code(c.parents))).otherwise(code(c["name"])))
 
 
@@ -50,9 +48,11 @@ def exceptions(content: Column) -> Column:
         F.lit("Handles/raises: "), listed(F.transform(n, code), 6))))
 
 
-def facts(content: Column, about: Column) -> Column:
-    functions = F.arrays_zip(*[all_matches(content, DOCUMENTED_DEF, g).alias(n)
-                               for n, g in (("name", 1), ("params", 2), ("doc", 3))])
+def documented_functions(content: Column) -> Column:
+    return match_groups(content, DOCUMENTED_DEF, name=1, params=2, doc=3)
+
+
+def facts(content: Column, about: Column, functions: Column) -> Column:
     duties = F.filter(F.transform(functions, lambda f: let(
         trim(text.before(trim(f.doc), "\n")), lambda line: F.when(line != "", F.concat(
             line, F.lit(" (via "), code(f["name"]), F.lit(")"))))), lambda d: d.isNotNull())
