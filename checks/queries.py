@@ -579,7 +579,31 @@ def kb_hint(spark, sf):
     return index.kb_hint(planned_kb(spark, sf).entries, AS_OF)
 
 
-@register()
+_END = S.lit("\U0010ffff")
+_LINKS = "'[' || filename || '](./' || filename || ')'"
+
+
+@register(f"""SELECT 0 AS section, '' AS k1, '' AS k2, 0 AS n, '# Knowledge Base Index' || chr(10) || chr(10)
+  || '> Auto-generated by **tomewright** — {AS_OF}' || chr(10) || chr(10) || '## Project Overview' || chr(10) || chr(10)
+  || 'This project has **' || n_entries || ' knowledge base entries** covering **' || n_files || ' files** across '
+  || n_categories || ' categories.' || chr(10) || chr(10) AS text FROM ({SQL['overview_totals']})
+UNION ALL SELECT 2, '', '', 0, '**Languages**: ' || string_agg(upper(substr(tag, 1, 1)) || substr(tag, 2), ', ' ORDER BY f) || chr(10)
+  FROM (SELECT tag, min(filename || pos) AS f FROM ent_tags
+    WHERE tag IN ({', '.join(map(S.lit, K.OVERVIEW_LANGUAGES))}) GROUP BY tag)
+UNION ALL SELECT 3, '', '', 0, chr(10) || '**Modules**:' || chr(10)
+UNION ALL SELECT 3, filename, '', 1, line || chr(10) FROM ({SQL['overview_modules']})
+UNION ALL SELECT 4, '', '', 0, chr(10) || '**Other areas**:' || chr(10)
+UNION ALL SELECT 4, first_filename, '', 1, line || chr(10) FROM ({SQL['overview_areas']})
+UNION ALL SELECT 5, '', '', 0, chr(10) || '> 💡 Use `kb_query` to search entries by keyword, category, or tag. Each entry contains extracted knowledge about purpose, responsibilities, API surface, and more.'
+  || chr(10) || chr(10) || '## Quick Navigation' || chr(10) || chr(10)
+UNION ALL SELECT 6, min(filename), '', 0, '### ' || label || chr(10) || chr(10) || '> ' || about || chr(10) || chr(10)
+  FROM ({SQL['category_index']}) GROUP BY category, label, about
+UNION ALL SELECT 6, min(filename) OVER (PARTITION BY category), filename, 1, line || chr(10) FROM ({SQL['category_index']})
+UNION ALL SELECT 6, min(filename), {_END}, 2, chr(10) FROM ent GROUP BY category
+UNION ALL SELECT 7, '', '', 0, '## Tags' || chr(10) || chr(10)
+UNION ALL SELECT 7, tag, filename, 1, CASE WHEN filename = min(filename) OVER (PARTITION BY tag)
+  THEN '- `' || tag || '`: ' ELSE ', ' END || {_LINKS} FROM ent_tags
+UNION ALL SELECT 7, tag, {_END}, 2, chr(10) FROM ent_tags GROUP BY tag""", "ent_tags")
 def render_index(spark, sf):
     return index.index_pieces(planned_kb(spark, sf), AS_OF).drop("word")
 
