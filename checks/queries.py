@@ -921,13 +921,45 @@ def fact_markdown(spark, sf):
         F.max(F.when(F.col("kind") == "purpose", F.col("value"))).alias("purpose"))
 
 
-@register()
+def _each(of: dict[str, str], rest: str) -> str:
+    """Rows ``path, language, kind, ord, value`` of one list of values for each kind."""
+    return " UNION ALL ".join(
+        f"SELECT path, language, kind, ord, value FROM (SELECT path, language, '{kind}' AS kind, "
+        f"unnest(v) AS value, CAST(generate_subscripts(v, 1) - 1 AS INT) AS ord "
+        f"FROM (SELECT *, {values} AS v FROM {rest}))" for kind, values in of.items())
+
+
+# What the planted scripts hold; the prose around them must add nothing to it.
+@register(_each({
+    "keyConcepts": "['Types: `Item' || doc_id || '` extends `Base`, `Pair`', '`Item' || doc_id || "
+                   "'` defines: id, size?', '`Pair` defines: a', '`Kind` enum: One, Two, Three']",
+    "apiSurface": "['`run' || doc_id || '(x, y, z, ...)` → the result', '`f(p, q)`']",
+    "errorHandling": "['logs errors, re-throws', 'Uses optional chaining for null safety', "
+                     "'Defines custom error: `Bad' || doc_id || '`']",
+    "configuration": "['`APP_CONFIG`: depth, name, list']",
+}, "(SELECT *, 'typescript' AS language FROM code WHERE ext = '.ts')"), "code")
 def fact_braces(spark, sf):
     return all_facts(spark, sf).where(F.col("language").isin(_JS) & F.col("kind").isin(
         "apiSurface", "configuration", "errorHandling", "keyConcepts"))
 
 
-@register()
+S.CTES["json_files"] = ([], """json_files AS (SELECT doc_id % 3 AS f, source, lang, quality, 'json' AS language,
+  source || '/' || doc_id || '/' || ['package.json', 'tsconfig.json', 'data.json'][doc_id % 3 + 1] AS path
+  FROM documents LEFT JOIN labels USING (doc_id))""")
+
+
+@register(_each({
+    "purpose": "[CASE f WHEN 0 THEN 'Node.js package manifest for `' || source || '` (v1.2.0).' "
+               "WHEN 1 THEN 'TypeScript compiler configuration.' ELSE 'Configuration file with keys: "
+               "name, version, scripts, compilerOptions, include, text, n_chars' || "
+               "CASE WHEN quality IS NULL THEN '.' ELSE ', quality.' END END]",
+    "configuration": "CASE f WHEN 0 THEN ['Scripts: `build`: ' || lang || ', `a1`: b'] "
+                     "WHEN 1 THEN ['Compiler options: strict: true', 'Includes: ' || lang] "
+                     "ELSE ['`name`: string', '`version`: string', '`scripts`: object', "
+                     "'`compilerOptions`: object', '`include`: array (1 items)', '`text`: string', "
+                     "'`n_chars`: number'] || CASE WHEN quality IS NULL THEN [] ELSE "
+                     "['`quality`: number'] END END",
+}, "json_files"), "json_files")
 def fact_json(spark, sf):
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     name = F.element_at(F.array(F.lit("package.json"), F.lit("tsconfig.json"), F.lit("data.json")),
