@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import decontaminate
+from tomewright.llm import decontaminate, fingerprints, licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,20 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
         (F.size("item_ids") > 0).alias("contaminated"))
+
+
+@register()
+def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def line(labels: F.Column) -> F.Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    found = licenses.scan_licenses(documents(spark, sf_dir, "text"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        line(F.col("base_labels")).alias("base_labels"),
+        line(F.concat("base_labels", "template_labels")).alias("labels"), "score")
+
+
+@register()
+def op9_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(documents(spark, sf_dir, "text"))
