@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import decontaminate, fingerprints, licenses
+from tomewright.llm import decontaminate, fingerprints, language_id, licenses, toxicity
+from tomewright.llm.frames import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +86,20 @@ def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op9_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir, "text"))
+
+
+@register()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "text", "lang")
+    held_out = remainder("doc_id", 5) == 0
+    model = language_id.train(docs.where(~held_out))
+    return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")),
+                                model).drop("text")
+
+
+@register()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "text")
+    held_out = remainder("doc_id", 4) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs.withColumn("held_out", held_out), model).drop("text")
