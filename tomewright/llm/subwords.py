@@ -23,6 +23,11 @@ class Shape:
     dim: int = 16
 
 
+def min_texts(texts: int) -> int:
+    """Texts of a sample that a bucket must occur in: a two-hundredth of them, 2 to 10."""
+    return min(10, max(2, texts // 200))
+
+
 def subwords(words: A.Words, places: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words at ``places``, word after word, and where each word's buckets start."""
     start, size = words.start[places], words.end[places] - words.start[places]
@@ -81,7 +86,7 @@ class Corpus:
         self.buckets, self.first = subwords(words, places, shape)
         self.row = words.first
 
-    def spans(self, rng: np.random.Generator, longest: int, shortest: int) -> list[np.ndarray]:
+    def spans(self, rng: np.random.Generator, longest: int, shortest: int) -> np.ndarray:
         """Each text cut into spans of random lengths: rows of (text, first word, end)."""
         out = []
         for text in range(len(self.row) - 1):
@@ -93,14 +98,35 @@ class Corpus:
         return np.array(out, dtype=np.int64).reshape(-1, 3)
 
 
+    def text_counts(self, bits: int) -> np.ndarray:
+        """Number of texts that each bucket occurs in."""
+        counts = np.zeros(1 << bits, np.int64)
+        for text in range(len(self.row) - 1):
+            used = np.unique(self.word[self.row[text]:self.row[text + 1]])
+            counts[np.unique(self.buckets[self.places(used)[0]])] += 1
+        return counts
+
+    def places(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the buckets of some distinct words are, and how many each word has."""
+        count = self.first[used + 1] - self.first[used]
+        before = np.cumsum(count) - count
+        return np.repeat(self.first[used] - before, count) + np.arange(count.sum()), count
+
+
 class Model:
-    """Embeddings and a linear softmax, with AdaGrad steps."""
+    """Embeddings and a linear softmax, with AdaGrad steps.
+
+    Buckets that occur in fewer than ``min_texts`` texts keep a vector of zeros: what is seen once
+    or twice tells texts apart that the classes do not.
+    """
 
-    def __init__(self, shape: Shape, classes: int, seed: int = 7):
+    def __init__(self, corpus: Corpus, shape: Shape, classes: int, min_texts: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.shape, self.classes = shape, classes
-        self.table = rng.normal(0, 0.3, (1 << shape.bits, shape.dim)).astype(np.float32)
-        self.linear = rng.normal(0, 0.1, (shape.dim, classes)).astype(np.float32)
+        self.rare = corpus.text_counts(shape.bits) < min_texts
+        self.table = rng.uniform(-0.1, 0.1, (1 << shape.bits, shape.dim)).astype(np.float32)
+        self.table[self.rare] = 0
+        self.linear = rng.normal(0, 0.5, (shape.dim, classes)).astype(np.float32)
         self.bias = np.zeros(classes, np.float32)
         self._seen = [np.full(x.shape, 1e-6, np.float32) for x in (
             self.table, self.linear, self.bias)]
@@ -109,15 +135,14 @@ class Model:
         return self.table @ self.linear
 
     def step(self, corpus: Corpus, spans: np.ndarray, labels: np.ndarray, weights: np.ndarray,
-             rate: float, decay: float = 0.0) -> None:
+             rate: float) -> None:
         """One step on some spans."""
         size = spans[:, 2] - spans[:, 1]
         at = np.repeat(spans[:, 1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
         at = at + np.arange(len(at))
         used, word = np.unique(corpus.word[at], return_inverse=True)
-        count = corpus.first[used + 1] - corpus.first[used]
+        place, count = corpus.places(used)
         first = np.concatenate([[0], np.cumsum(count)])
-        place = np.repeat(corpus.first[used] - first[:-1], count) + np.arange(first[-1])
         buckets = corpus.buckets[place]
         vectors = word_means(self.table, buckets, first)
         borders = np.concatenate([[0], np.cumsum(size)])
@@ -138,11 +163,12 @@ class Model:
                                  axis=0)
         n = len(labels)
         for seen, target, index, grad in (
-                (self._seen[0], self.table, rows, to_row / n + decay * self.table[rows]),
+                (self._seen[0], self.table, rows, to_row / n),
                 (self._seen[1], self.linear, slice(None), span.T @ error / n),
                 (self._seen[2], self.bias, slice(None), error.mean(axis=0))):
             seen[index] += grad * grad
             target[index] -= rate * grad / np.sqrt(seen[index])
+        self.table[self.rare] = 0
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:

@@ -28,18 +28,18 @@ from pyspark.sql import types as T
 from tomewright.llm import arrays as A
 from tomewright.llm.frames import map_arrow
 from tomewright.llm.samples import labelled_sample
-from tomewright.llm.subwords import Corpus, Model, Shape, word_scores
+from tomewright.llm.subwords import Corpus, Model, Shape, min_texts, word_scores
 
 #: Labelled texts and characters used, for each class.
-SAMPLE_ROWS = 3000
-SAMPLE_CHARS = 6_000_000
+SAMPLE_ROWS = 1500
+SAMPLE_CHARS = 4_000_000
 #: Words of a window.
-WINDOW = 24
+WINDOW = 3
 #: Score from which a text is taken as toxic.
 THRESHOLD = 0.3
 
 SHAPE = Shape(grams=(3, 4, 5), bits=17, dim=8)
-_EPOCHS, _BATCH, _RATE = 8, 1024, 0.3
+_EPOCHS, _BATCH, _RATE = 6, 1024, 1.0
 
 
 @dataclass
@@ -89,9 +89,9 @@ def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
     held = rng.random(len(sample)) < 0.2
     corpus = Corpus([t for (t, _), h in zip(sample, held, strict=True) if not h], SHAPE)
     y = labels[~held]
-    model = Model(SHAPE, 2)
+    model = Model(corpus, SHAPE, 2, min_texts(len(y)))
     for epoch in range(_EPOCHS):
-        spans = corpus.spans(rng, WINDOW, WINDOW // 2)
+        spans = corpus.spans(rng, WINDOW, 1)
         label = y[spans[:, 0]]
         if epoch:
             spans, label = _worst_spans(model, corpus, spans, label)
