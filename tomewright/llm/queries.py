@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import decontaminate, fingerprints, language_id, licenses, toxicity
-from tomewright.llm.frames import remainder
+from tomewright.llm import (bpe, decontaminate, fingerprints, language_id, licenses, token_files,
+                            toxicity)
+from tomewright.llm.frames import remainder, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *columns)
 
@@ -103,3 +110,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 4) == 2
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
     return toxicity.score(docs.withColumn("held_out", held_out), model).drop("text")
+
+
+@register()
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary.build(bpe.read_ranks(tokenizer_path("byte_bpe_50k.tiktoken")),
+                                      bpe.tiktoken_classes())
+    coded = bpe.encode(documents(spark, sf_dir, "text"), vocabulary, decoded="decoded")
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register()
+def op7_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    token_files.write_tokens(documents(spark, sf_dir, "text"),
+                             tokenizer_path("byte_bpe_50k.json"), path)
+    return token_files.with_crc32(token_files.read_tokens(spark, path)).drop("ids")
