@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import (bpe, decontaminate, fingerprints, language_id, licenses, token_files,
-                            toxicity)
+from tomewright.llm import (bpe, decontaminate, fingerprints, language_id, licenses, pii,
+                            token_files, toxicity)
 from tomewright.llm.frames import remainder, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op7_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write_tokens(documents(spark, sf_dir, "text"),
                              tokenizer_path("byte_bpe_50k.json"), path)
     return token_files.with_crc32(token_files.read_tokens(spark, path)).drop("ids")
+
+
+@register()
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(documents(spark, sf_dir, "text"), key="registered query")
