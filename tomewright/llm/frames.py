@@ -64,9 +64,11 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]]
     return df.mapInArrow(run, T.StructType([*kept, *added]))
 
 
-def sum_vectors(parts: DataFrame, size: int, dtype=np.float32) -> np.ndarray:
+def sum_vectors(parts: DataFrame, size: int, dtype=np.float32, put=np.add) -> np.ndarray:
     """Sum, over all tasks, of vectors that each task gives in blocks ``(block, values)``.
 
+    Instead of the sum another function of two vectors may ``put`` them together.
+
     ``values`` is the binary form of a slice. Blocks of one number meet in one task, which adds
     them up as they come; the driver receives one row per block, ``size`` numbers in all.
     """
@@ -77,7 +79,7 @@ def sum_vectors(parts: DataFrame, size: int, dtype=np.float32) -> np.ndarray:
         for batch in batches:
             for block, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 got = np.frombuffer(values.as_buffer(), kind)
-                sums[block] = sums[block] + got if block in sums else got.copy()
+                sums[block] = put(sums[block], got) if block in sums else got
         if sums:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(sums), pa.int32()),
@@ -87,7 +89,7 @@ def sum_vectors(parts: DataFrame, size: int, dtype=np.float32) -> np.ndarray:
     total = np.zeros(size, dtype=dtype)
     for row in parts.repartition("block").mapInArrow(add, "block int, values binary").collect():
         got = np.frombuffer(row["values"], kind)
-        total[row["block"] * VECTOR_BLOCK:][:len(got)] += got
+        total[row["block"] * VECTOR_BLOCK:][:len(got)] = got
     return total
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import (bpe, decontaminate, fingerprints, language_id, licenses, pii,
+from tomewright.llm import (bpe, decontaminate, fingerprints, jaccard, language_id, licenses, pii,
                             token_files, toxicity)
 from tomewright.llm.frames import remainder, scratch
 
@@ -134,3 +134,23 @@ def op7_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(documents(spark, sf_dir, "text"), key="registered query")
+
+
+@register(f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words_sql('text', _SPACED)} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g FROM (
+  SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i
+  FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c
+  FROM sh a JOIN sh b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT u, v FROM common JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v
+  WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT u, v FROM link UNION SELECT reach.u, link.v FROM reach JOIN link
+  ON reach.v = link.u)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles,
+  least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT u AS doc_id, min(v) AS m FROM reach GROUP BY u) USING (doc_id)""")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir, "text"))
