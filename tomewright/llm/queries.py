@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import (bpe, decontaminate, fingerprints, jaccard, language_id, licenses, pii,
-                            token_files, toxicity)
+from tomewright.llm import (bpe, decontaminate, fingerprints, jaccard, language_id, licenses,
+                            maxent, pii, token_files, toxicity)
 from tomewright.llm.frames import remainder, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,11 @@ FROM d LEFT JOIN n USING (doc_id)
 LEFT JOIN (SELECT u AS doc_id, min(v) AS m FROM reach GROUP BY u) USING (doc_id)""")
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir, "text"))
+
+
+@register()
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "text")
+    held_out = remainder("doc_id", 7) == 2
+    model, counts = maxent.train(docs.where(~held_out))
+    return maxent.score(docs.withColumn("held_out", held_out), model, counts)
