@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from tomewright.llm import arrays as A
 from tomewright.llm.frames import internal, map_arrow
 from tomewright.llm.samples import labelled_sample
-from tomewright.llm.subwords import Corpus, Model, Shape, min_texts, softmax, word_scores
+from tomewright.llm.subwords import (Corpus, Model, Shape, batch_size, min_texts,
+                                      softmax, word_scores)
 
 #: Labelled texts and characters used, for each language.
 SAMPLE_ROWS = 1000
@@ -73,8 +74,9 @@ def fit(sample: list[tuple[str, str]]) -> LanguageModel | None:
     for epoch in range(_EPOCHS):
         spans = corpus.spans(rng, 30, 1)
         rng.shuffle(spans)
-        for at in range(0, len(spans), _BATCH):
-            some = spans[at:at + _BATCH]
+        size = batch_size(len(spans), _BATCH)
+        for at in range(0, len(spans), size):
+            some = spans[at:at + size]
             y = train[some[:, 0]]
             model.step(corpus, some, y, 1 / share[y], _RATE / (1 + epoch))
     fitted = LanguageModel(languages, model.bucket_scores(), model.bias, 1.0, 0.0)

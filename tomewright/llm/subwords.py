@@ -28,6 +28,11 @@ def min_texts(texts: int) -> int:
     return min(10, max(2, texts // 200))
 
 
+def batch_size(spans: int, most: int) -> int:
+    """Spans of a step: such that an epoch has 64 steps, 32 to ``most``."""
+    return min(most, max(32, spans // 64))
+
+
 def subwords(words: A.Words, places: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words at ``places``, word after word, and where each word's buckets start."""
     start, size = words.start[places], words.end[places] - words.start[places]

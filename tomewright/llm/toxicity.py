@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from tomewright.llm import arrays as A
 from tomewright.llm.frames import map_arrow
 from tomewright.llm.samples import labelled_sample
-from tomewright.llm.subwords import Corpus, Model, Shape, min_texts, word_scores
+from tomewright.llm.subwords import (Corpus, Model, Shape, batch_size, min_texts,
+                                      word_scores)
 
 #: Labelled texts and characters used, for each class.
 SAMPLE_ROWS = 1500
@@ -98,8 +99,9 @@ def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
         order = rng.permutation(len(spans))
         spans, label = spans[order], label[order]
         weight = 1 / np.maximum(np.bincount(label, minlength=2), 1)[label]
-        for at in range(0, len(spans), _BATCH):
-            part = slice(at, at + _BATCH)
+        size = batch_size(len(spans), _BATCH)
+        for at in range(0, len(spans), size):
+            part = slice(at, at + size)
             model.step(corpus, spans[part], label[part], weight[part], _RATE / (1 + epoch) ** 0.5)
     table = model.bucket_scores()
     fitted = ToxicityModel((table[:, 1] - table[:, 0])[:, None],
