@@ -1,23 +1,25 @@
-"""Facts about scripts that need matching braces, which regular expressions cannot find."""
+"""Facts about scripts that need matching braces, as column expressions.
+
+What a pair of braces encloses is matched by a pattern that is nested ``LEVELS`` deep. Every repeat in
+it is possessive, so a text is read once from each place that opens a block, whatever it holds.
+Blocks are captured by a look-ahead: a block inside another one is still found by itself.
+"""
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tomewright.functions.text import SPACES
+from tomewright.functions.regex import WORD, WS, jvm
+from tomewright.functions.text import match_groups
 from tomewright.operators.facts import javascript as js
-from tomewright.operators.facts.kinds import lists_type
-
-_S = f"[{re.escape(SPACES)}]"
-
-
-def _compiled(pattern: str, flags: int = 0) -> re.Pattern:
-    """An ECMAScript pattern for Python; ``\\s`` occurs in a class only to mean any character."""
-    return re.compile(pattern.replace(r"[\s\S]", "(?s:.)").replace(r"\s", _S), flags | re.ASCII)
+from tomewright.operators.facts.comments import parameters
+from tomewright.operators.facts.kinds import filled, listed, strings
 
+#: How deep blocks may be nested in the block that is read.
+LEVELS = 60
 
 # --- Fixed values: what is looked for, and names that are no property ------------------------
 NOT_A_PROPERTY = ["type", "interface", "export", "import", "const", "let", "var", "function",
@@ -27,117 +29,103 @@ CATCH_SIGNS = [  # (any of these words in the block, what it means)
     (["return"], "returns error value"), (["retry"], "implements retry logic"),
     (["notify", "report"], "reports errors"),
 ]
-OPTION_WINDOW = 2000
-
-_TYPE = _compiled(js.TYPE)
-_CLASS = _compiled(js.DOCUMENTED_CLASS)
-_METHOD = _compiled(r"(?:(?:public|private|protected|static|async|abstract)\s+)*(\w+)\s*"
-                    r"\(([^)]*)\)\s*(?::\s*[^{]+)?\s*\{")
-_CATCH = _compiled(r"catch\s*\((\w+)\)\s*\{")
-_OPTIONS = _compiled(r"(?:const|export\s+const)\s+(\w*(?:CONFIG|OPTIONS|SETTINGS|DEFAULTS|"
-                     r"CONSTANTS)\w*)\s*(?::\s*\w+)?\s*=\s*(?:\{|Readonly\()", re.IGNORECASE)
-_PROPERTY = _compiled(r"(\w+)(\?)?:\s*")
-_OPTION = _compiled(r"""["']?(\w+)["']?\s*:""")
-_BRACE = re.compile(r"[{}]")
-
-
-def _close(content: str, start: int, end: int | None = None) -> int:
-    """Place of the brace that closes the one at ``start``, or -1."""
-    depth = 0
-    for m in _BRACE.finditer(content, start, len(content) if end is None else end):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return m.start()
-    return -1
-
-
-def _named_at_depth_one(content: str, start: int, end: int, accept) -> list[str]:
-    """Names that ``accept(place)`` reads directly inside the braces opened at ``start``.
-
-    ``accept`` returns the name and how far to skip, the name None to skip without one, or None.
+METHOD = (r"(?:(?:public|private|protected|static|async|abstract)\s+)*(\w+)\s*"
+          r"\(([^)]*)\)\s*(?::\s*[^{]+)?\s*\{")
+CATCH = r"catch\s*\((\w+)\)\s*\{"
+OPTIONS = (r"(?:const|export\s+const)\s+(\w*(?:CONFIG|OPTIONS|SETTINGS|DEFAULTS|"
+           r"CONSTANTS)\w*)\s*(?::\s*\w+)?\s*=\s*(?:\{|Readonly\()")
+
+# What stands between two braces that belong together.
+_INSIDE = reduce(lambda inner, _: rf"(?:[^{{}}]++|\{{{inner}\}})*+", range(LEVELS), "[^{}]*+")
+_BLOCK = rf"\{{{_INSIDE}\}}"
+# A name with its colon; the character after it belongs to it, even a brace. ``%s`` is the name.
+_PROPERTY = (rf"(?<![^;,{{{WS}])(?!(?:{'|'.join(NOT_A_PROPERTY)})\??:)"
+             rf"(%s[A-Za-z]{WORD}*+\??):[{WS}]*+(?s:.)?")
+_OPTION = rf"""(?<!{WORD})["']?(%s{WORD}++)["']?[{WS}]*+:(?s:.)?"""
+_NO_GROUP, _GROUP = "?:", ""
+
+
+def _names(content: Column, header: str, name: str, flags: str = "") -> tuple[Column, Column]:
+    """The first group of each ``header``, and the names directly in the next block from there.
+
+    A header ends at its block or before it; a block that is never closed is read to its end.
     """
-    names, depth, i = [], 0, start
-    while i < end:
-        c = content[i]
-        if c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth == 0:
-                break
-        elif depth == 1:
-            read = accept(i)
-            if read:
-                names.append(read[0])
-                i += read[1]
-        i += 1
-    return names
-
-
-def _properties(content: str, start: int) -> list[str]:
-    def accept(i: int):
-        if not (content[i].isascii() and content[i].isalpha()):
-            return None
-        if i and not (content[i - 1] in ";,{" or re.match(_S, content[i - 1])):
-            return None
-        m = _PROPERTY.match(content, i)
-        if not m or m[1] in NOT_A_PROPERTY:
-            return None
-        return m[1] + ("?" if m[2] else ""), len(m[0])
-
-    return _named_at_depth_one(content, start, len(content), accept)
-
-
-def _options(content: str, start: int) -> list[str]:
-    def accept(i: int):
-        m = _OPTION.match(content, i)
-        return (m[1], len(m[0])) if m else None
-
-    return _named_at_depth_one(content, start, min(len(content), start + OPTION_WINDOW), accept)
-
-
-def _parameters(params: str) -> str:
-    names = [n for n in (re.split("[:=?]", p.strip(SPACES))[0].strip(SPACES) for p in params.split(",")) if n]
-    return ", ".join(names[:3]) + (", ..." if len(names) > 3 else "")
-
-
-def _catch(content: str, m: re.Match) -> str | None:
-    end = _close(content, m.end() - 1)
-    body = content[m.end():end] if end > 0 else ""
-    if not body:
-        return None
-    signs = [label for words, label in CATCH_SIGNS if any(w in body for w in words)]
-    return ", ".join(signs) or f"catches `{m[1]}` errors"
-
-
-def _script(content: str | None) -> dict[str, list[str]]:
-    found = {"properties": [], "methods": [], "catches": [], "options": []}
-    if not content or "{" not in content:
-        return found
-    for m in _TYPE.finditer(content):
-        start = content.find("{", m.start())
-        names = _properties(content, start) if start > 0 else []
-        if names:
-            more = f", +{len(names) - 6} more" if len(names) > 6 else ""
-            found["properties"].append(f"`{m[1]}` defines: {', '.join(names[:6])}{more}")
-    for m in _CLASS.finditer(content):
-        start = content.find("{", m.start())
-        end = _close(content, start)
-        for k in _METHOD.finditer(content[start:end + 1] if end > 0 else ""):
-            if k[1] != "constructor" and not k[1].startswith("_"):
-                found["methods"].append(f"`{m[2]}.{k[1]}({_parameters(k[2])})`")
-    found["catches"] = [c for c in (_catch(content, m) for m in _CATCH.finditer(content)) if c]
-    for m in _OPTIONS.finditer(content):
-        start = content.find("{", m.start())
-        names = _options(content, start) if start > 0 else []
-        if names:
-            found["options"].append(f"`{m[1]}`: {', '.join(names[:8])}")
-    return found
-
-
-_COLUMNS = ["properties", "methods", "catches", "options"]
-
-
-@F.pandas_udf(lists_type(_COLUMNS))
-def brace_facts(contents: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_script(c) for c in contents], columns=_COLUMNS)
+    direct = rf"(?:{name % _NO_GROUP}|[^{{}}]|{_BLOCK})*+"
+    pattern = F.lit(rf"{jvm(header, flags)}(?=[^{{]*+(?:\{{({direct}))?)")
+    titles = F.regexp_extract_all(content, pattern, F.lit(1))
+    inside = F.regexp_extract_all(content, pattern, F.lit(_groups(header) + 1))
+    return titles, F.transform(inside, lambda text: filled(F.regexp_extract_all(
+        text, F.lit(f"{_BLOCK}|{name % _GROUP}"), F.lit(1))))
+
+
+def _groups(pattern: str) -> int:
+    """Number of capturing groups; no pattern here has a bare bracket in a class."""
+    return pattern.count("(") - pattern.count("(?") - pattern.count(r"\(")
+
+
+def _before_brace(pattern: str) -> str:
+    """A header that ends in front of its brace instead of behind it."""
+    return pattern.removesuffix(r"(?:=|\{)") + r"(?:=|(?=\{))"
+
+
+def _properties(content: Column) -> Column:
+    names, inside = _names(content, _before_brace(js.TYPE), _PROPERTY)
+
+    def line(name: Column, props: Column) -> Column:
+        more = F.when(F.size(props) > 6, F.concat(
+            F.lit(", +"), (F.size(props) - 6).cast("string"), F.lit(" more"))).otherwise("")
+        return F.when(F.size(props) > 0, F.concat(
+            F.lit("`"), name, F.lit("` defines: "), listed(props, 6), more)).otherwise("")
+
+    return filled(F.zip_with(names, inside, line))
+
+
+def _options(content: Column) -> Column:
+    header = OPTIONS.replace(r"(?:\{|Readonly\()", r"(?:(?=\{)|Readonly\()")
+    names, inside = _names(content, header, _OPTION, "i")
+    return filled(F.zip_with(names, inside, lambda name, options: F.when(
+        F.size(options) > 0, F.concat(F.lit("`"), name, F.lit("`: "), listed(options, 8)))
+        .otherwise("")))
+
+
+def _methods(content: Column) -> Column:
+    """Methods of documented classes; a comment's own braces count as the class's, if it has any."""
+    pattern = F.lit(rf"{jvm(js.DOCUMENTED_CLASS)}(?=({_INSIDE}\}}?))")
+    heads = F.regexp_extract_all(content, pattern, F.lit(0))
+    names, rest = (F.regexp_extract_all(content, pattern, F.lit(k)) for k in (2, 5))
+    bodies = F.zip_with(heads, rest, lambda head, body: F.regexp_extract(
+        F.concat(head, body), rf"\A[^{{]*+({_BLOCK})", 1))
+
+    def of_class(name: Column, body: Column) -> Column:
+        found = F.filter(match_groups(body, METHOD, name=1, params=2), lambda m: (
+            m["name"] != "constructor") & ~F.startswith(m["name"], F.lit("_")))
+        return F.transform(found, lambda m: F.concat(
+            F.lit("`"), name, F.lit("."), m["name"], F.lit("("), parameters(m.params),
+            F.lit(")`")))
+
+    return F.flatten(F.zip_with(names, bodies, of_class))
+
+
+def _catches(content: Column) -> Column:
+    pattern = F.lit(rf"{jvm(CATCH)}(?=(?:({_INSIDE})\}})?)")
+    errors, bodies = (F.regexp_extract_all(content, pattern, F.lit(k)) for k in (1, 2))
+
+    def line(error: Column, body: Column) -> Column:
+        signs = F.array_compact(F.array(*[
+            F.when(reduce(lambda a, b: a | b, [F.contains(body, F.lit(w)) for w in words]),
+                   F.lit(label)) for words, label in CATCH_SIGNS]))
+        said = F.when(F.size(signs) > 0, F.array_join(signs, ", ")).otherwise(
+            F.concat(F.lit("catches `"), error, F.lit("` errors")))
+        return F.when(body != "", said).otherwise("")
+
+    return filled(F.zip_with(errors, bodies, line))
+
+
+def brace_facts(content: Column) -> Column:
+    """``struct(properties, methods, catches, options)`` of a script."""
+    parts = {"properties": _properties, "methods": _methods, "catches": _catches,
+             "options": _options}
+    return F.struct(*[F.when(F.contains(content, F.lit("{")), make(content))
+                      .otherwise(strings()).alias(name) for name, make in parts.items()])
+
+
