@@ -370,8 +370,8 @@ def refresh_report(spark, sf):
 
 
 @register(f"SELECT 1 AS version, '{AS_OF}' AS created_at, '{AS_OF}' AS updated_at, 'abc' AS last_commit, "
-          "(SELECT count(*) FROM files) AS total_files, (SELECT count(*) FROM plans) AS total_entries",
-          "plans")
+          "(SELECT count(*) FROM files) AS total_files, (SELECT count(*) FROM plans) AS total_entries, "
+          """(SELECT '{"module":' || count(*) || '}' FROM plans) AS categories""", "plans")
 def build_state(spark, sf):
     return changes.state_summary(files(spark, sf), kb(spark, sf).entries, AS_OF, "abc")
 
@@ -566,7 +566,8 @@ def overview_areas(spark, sf):
 
 
 @register("SELECT (SELECT count(*) FROM plans) AS entries_created, (SELECT count(*) FROM files) AS "
-          "files_scanned, CAST(1 AS BIGINT) AS n_categories", "plans")
+          "files_scanned, CAST(1 AS BIGINT) AS n_categories, "
+          """(SELECT '{"module":' || count(*) || '}' FROM plans) AS categories""", "plans")
 def init_report(spark, sf):
     return index.init_report(kb(spark, sf).entries, files(spark, sf))
 
@@ -1029,7 +1030,7 @@ def model_replies(spark, sf) -> DataFrame:
         F.concat(F.lit("plan_"), "doc_id", F.lit(".md")).alias("filename"),
         F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("title"),
         F.array(F.concat("source", F.lit("/"), "lang"), F.lit("b.ts")).alias("sourceFiles"),
-        F.substring("text", 1, 80).alias("brief")))
+        F.col("text").alias("brief")))
     array = F.concat(F.lit("["), plan, F.lit("]"))
     reply = (F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("```json\n"), array, F.lit("\n```")))
              .when(F.col("doc_id") % 5 == 1, F.concat("lang", F.lit(": "), array, F.lit(" done")))
@@ -1042,7 +1043,7 @@ def model_replies(spark, sf) -> DataFrame:
 S.CTES["replied"] = ([], """replied AS (SELECT doc_id AS response_id, CAST(0 AS INT) AS pos,
   'plan_' || doc_id || '.md' AS filename, CASE WHEN doc_id % 3 > 0 THEN source
   ELSE 'plan_' || doc_id || '.md' END AS title, 'general' AS category,
-  source || '/' || lang || '|b.ts' AS source_files, substr(text, 1, 80) AS brief
+  source || '/' || lang || '|b.ts' AS source_files, text AS brief
   FROM documents WHERE doc_id % 5 IN (0, 1, 4))""")
 
 

@@ -223,3 +223,34 @@ def test_query_status(spark, kb):
     assert query.query_status(kb, kb.entries.limit(2)) == "matched 2 of 4"
     none = kb.only(spark.createDataFrame([], "filename string"))
     assert query.query_status(none) == "empty"
+
+
+def test_replies_with_odd_members(spark):
+    replies = [
+        ("u-2", '[{"filename": "b.md", "sourceFiles": ["x", null, {"a": 1}, 2, true, ["p", "q"]]}]'),
+        ("u-1", '[{"filename": "a.md", "title": false, "category": 0, "brief": "", '
+                '"description": "d", "sourceFiles": []}, {"filename": 7, "sourceFiles": ["y"]}]'),
+        ("u-10", 'see [{"filename": "c.md", "sourceFiles": "s"}]'), ("u-3", "[null]"),
+        ("u-4", '[{"filename": "", "sourceFiles": ["z"]}, {"filename": "d.md", '
+                '"title": "false", "sourceFiles": ["{}"]}]')]
+    parsed = model.parse_plans(spark.createDataFrame(replies, "response_id string, text string"))
+    got = {(r.response_id, r.pos): (r.filename, r.title, r.category, r.source_files, r.brief)
+           for r in parsed.collect()}
+    assert got == {
+        ("u-2", 0): ("b.md", "b.md", "general",
+                     ["x", "null", "[object Object]", "2", "true", "p,q"], ""),
+        ("u-1", 0): ("a.md", "a.md", "general", [], "d"), ("u-1", 1): ("7", "7", "general", ["y"], ""),
+        ("u-4", 1): ("d.md", "false", "general", ["{}"], "")}
+    plans = model.plans_from_rows(parsed).plans.orderBy("plan_order").collect()
+    assert [p.plan_id for p in plans] == ["u-1#0", "u-1#1", "u-2#0", "u-4#1"]
+
+
+def test_state_is_stored(spark, kb, tmp_path):
+    files = spark.createDataFrame([("a", "h1"), ("b", "h2")], "path string, hash string")
+    assert changes.read_state(spark, str(tmp_path / "none")) is None
+    changes.write_state(files, kb.entries, AS_OF, str(tmp_path / "s"), "abc")
+    state = changes.read_state(spark, str(tmp_path / "s"))
+    assert sorted(map(tuple, state.files.collect())) == [("a", "h1"), ("b", "h2")]
+    row = state.summary.first()
+    assert (row.total_files, row.last_commit) == (2, "abc")
+    assert row.categories == f'{{"module":{kb.entries.count()}}}'

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.operators.tables import KnowledgeBase
@@ -99,10 +101,41 @@ def file_state(files: DataFrame) -> DataFrame:
     return files.select("path", "hash")
 
 
+def category_totals(entries: DataFrame) -> DataFrame:
+    """One row ``categories``: a JSON object of the entries in each category, by name."""
+    counts = entries.groupBy("category").agg(F.count("*").alias("n"))  # a row per category
+    return counts.agg(F.sort_array(F.collect_list(F.struct("category", "n"))).alias("c")).select(
+        F.to_json(F.map_from_entries("c")).alias("categories"))
+
+
 def state_summary(files: DataFrame, entries: DataFrame, as_of: str,
                   last_commit: str | None = None) -> DataFrame:
     """One row about the run. The creation time starts anew with every run."""
-    return one_row({"total_files": files, "total_entries": entries}).select(
+    return one_row({"total_files": files, "total_entries": entries}).crossJoin(
+        category_totals(entries)).select(  # one row each
         F.lit(1).alias("version"), F.lit(as_of).alias("created_at"),
         F.lit(as_of).alias("updated_at"), F.lit(last_commit).cast("string").alias("last_commit"),
-        "total_files", "total_entries")
+        "total_files", "total_entries", "categories")
+
+
+@dataclass(frozen=True)
+class State:
+    """What is kept between runs: ``files`` (path, hash) and one row of ``summary``."""
+
+    files: DataFrame
+    summary: DataFrame
+
+
+def write_state(files: DataFrame, entries: DataFrame, as_of: str, path: str,
+                last_commit: str | None = None, mode: str = "errorifexists") -> None:
+    """Store below ``path`` what the next run compares with."""
+    file_state(files).write.mode(mode).parquet(f"{path}/files")
+    state_summary(files, entries, as_of, last_commit).write.mode(mode).parquet(f"{path}/summary")
+
+
+def read_state(spark: SparkSession, path: str) -> State | None:
+    """The stored state, or None where there is none yet."""
+    try:
+        return State(spark.read.parquet(f"{path}/files"), spark.read.parquet(f"{path}/summary"))
+    except AnalysisException:
+        return None

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tomewright import constants as K
 from tomewright.functions.text import capitalised, cut, utf16_length
-from tomewright.operators.changes import one_row
+from tomewright.operators.changes import category_totals, one_row
 from tomewright.operators.tables import KnowledgeBase
 
 
@@ -92,8 +92,10 @@ def overview_areas(entries: DataFrame) -> DataFrame:
 
 
 def init_report(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """One row about a first run, with the entries of each category."""
     return one_row({"entries_created": entries, "files_scanned": files,
-                    "n_categories": entries.select("category").distinct()})
+                    "n_categories": entries.select("category").distinct()}).crossJoin(
+        category_totals(entries))  # one row each
 
 
 def kb_hint(entries: DataFrame, as_of: str) -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tomewright.functions import text
 
@@ -24,9 +25,6 @@ class Plans:
     sources: DataFrame
 
 
-_ITEM = "struct<filename:string,title:string,category:string,sourceFiles:{},brief:string,description:string>"
-
-
 def _items(json: Column) -> Column:
     """Array of the objects in a JSON array, each as its JSON text; null if it is none."""
     return F.when(F.substring(text.trim(json), 1, 1) == "[",
@@ -52,31 +50,53 @@ def parse_plans(replies: DataFrame, reply_id: str = "response_id", reply: str =
             .select(reply_id, whole.alias("__strict"), array.alias("__array"))
             .select(reply_id, "__strict", F.posexplode(_items(F.col("__array")))
                     .alias("pos", "item")))
-    item = F.from_json("item", _ITEM.format("array<string>"))
-    sources = F.get_json_object("item", "$.sourceFiles")
+    item = F.try_parse_json("item")
+    rows = rows.select(reply_id, "pos", "__strict", "item", *[
+        F.try_variant_get(item, f"$.{k}", "variant").alias(f"__{k}") for k in (
+            "filename", "title", "category", "sourceFiles", "brief", "description")])
+    listed = _kind("__sourceFiles").startswith("ARRAY")
     # One entry that is null spoils its whole reply; so does, in an array that had prose around
     # it, one whose sources are no list.
     spoiled = F.col("item").isNull() | (F.col("item") == "null") | (
-        ~F.col("__strict") & _truthy(sources) & (F.substring(sources, 1, 1) != "["))
-    parsed = rows.select(
-        reply_id, "pos", item.alias("p"), sources.alias("__sources"), spoiled.alias("__spoiled"))
+        ~F.col("__strict") & _given("__sourceFiles").isNotNull() & ~listed)
+    parsed = rows.withColumn("__spoiled", F.coalesce(spoiled, F.lit(False))).withColumn(
+        "__listed", listed)
     bad = parsed.where(F.col("__spoiled")).select(reply_id).distinct()
     ok = parsed.join(bad, reply_id, "left_anti").where(
-        _filled("p.filename").isNotNull() & (F.substring(F.col("__sources"), 1, 1) == "["))
+        _given("__filename").isNotNull() & F.col("__listed"))
     return ok.select(
-        reply_id, "pos", F.col("p.filename").alias("filename"),
-        F.coalesce(_filled("p.title"), F.col("p.filename")).alias("title"),
-        F.coalesce(_filled("p.category"), F.lit("general")).alias("category"),
-        F.col("p.sourceFiles").alias("source_files"),
-        F.coalesce(_filled("p.brief"), _filled("p.description"), F.lit("")).alias("brief"))
+        reply_id, "pos", _given("__filename").alias("filename"),
+        F.coalesce(_given("__title"), _given("__filename")).alias("title"),
+        F.coalesce(_given("__category"), F.lit("general")).alias("category"),
+        F.transform(F.col("__sourceFiles").cast("array<variant>"), _shown).alias("source_files"),
+        F.coalesce(_given("__brief"), _given("__description"), F.lit("")).alias("brief"))
+
+
+def _kind(value: Column | str) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
-def _truthy(c: Column) -> Column:
-    return F.coalesce(~c.isin("", "null", "false", "0"), F.lit(False))
+def _shown(value: Column) -> Column:
+    """A JSON value as the text that a script makes of it."""
+    kind = _kind(value)
+    text_of = value.cast("string")
+    whole = F.regexp_replace(text_of, r"\.0+$", "")
+    return (F.when(kind == "VOID", F.lit("null"))
+            .when(kind.startswith("OBJECT"), F.lit("[object Object]"))
+            .when(kind.startswith("ARRAY"), F.array_join(F.transform(
+                value.cast("array<variant>"), lambda v: F.coalesce(v.cast("string"), F.lit(""))),
+                ","))
+            .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), whole).otherwise(text_of))
 
 
-def _filled(name: str) -> Column:
-    return F.nullif(F.col(name), F.lit(""))
+def _given(name: str) -> Column:
+    """A member as text, or null where it is missing, null, false, zero or empty."""
+    value, kind = F.col(name), _kind(name)
+    shown = _shown(value)
+    empty = ((kind == "VOID") | (kind.isin("STRING") & (shown == ""))
+             | ((kind == "BOOLEAN") & (shown == "false"))
+             | ((kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")) & (shown == "0")))
+    return F.when(~empty, shown)
 
 
 def is_safe_filename(filename: Column) -> Column:
@@ -89,8 +109,12 @@ def plans_from_rows(rows: DataFrame, reply_id: str = "response_id") -> Plans:
     """``parse_plans`` rows as plans; names that would leave the folder are rejected."""
     safe = rows.where(is_safe_filename(F.col("filename")))
     plan_id = F.concat_ws("#", F.col(reply_id).cast("string"), F.col("pos").cast("string"))
-    order = F.struct(F.col(reply_id).cast("long").alias("n"),
-                     F.lpad(F.col("pos").cast("string"), 10, "0").alias("key"))
+    place = F.lpad(F.col("pos").cast("string"), 10, "0")
+    if isinstance(rows.schema[reply_id].dataType, IntegralType):
+        order = F.struct(F.col(reply_id).cast("long").alias("n"), place.alias("key"))
+    else:  # the character before the place sorts before all that an id may go on with
+        order = F.struct(F.lit(0).cast("long").alias("n"), F.concat_ws(
+            "\u0000", F.col(reply_id).cast("string"), place).alias("key"))
     plans = safe.select(plan_id.alias("plan_id"), order.alias("plan_order"), "filename", "title",
                         "category", "brief",
                         F.size("source_files").cast("long").alias("n_sources"))

@@ -13,12 +13,15 @@ from pyspark.sql.types import StructType
 
 from tomewright.config import KbConfig
 from tomewright.operators import changes as ch
+from tomewright.operators.changes import State, read_state
 from tomewright.operators.tables import KnowledgeBase, read_kb, write_kb
 from tomewright.plans.assemble import assemble_entries, resolve_collisions
 from tomewright.plans.directory import plan_by_directory
 from tomewright.sources.files import DEFAULT, inspect_files
 
 FILES = "path string, extension string, size bigint, lines int, tokens bigint, hash string"
+# What is known of every path that ever arrived, so that a late row cannot undo a newer one.
+SEEN = f"{FILES}, modified timestamp, deleted boolean"
 
 
 @dataclass(frozen=True)
@@ -44,8 +47,17 @@ class KbStore:
     def folder(self, batch: int) -> str:
         return f"{self.path}/version-{batch:012d}"
 
+    def seen(self, batch: int) -> DataFrame:
+        """The newest row of every path, also of those that are gone or not read."""
+        return self.spark.read.schema(SEEN).parquet(f"{self.folder(batch)}/seen")
+
     def files(self, batch: int) -> DataFrame:
-        return self.spark.read.schema(FILES).parquet(f"{self.folder(batch)}/files")
+        """The files that are read."""
+        return self.seen(batch).where("hash IS NOT NULL AND NOT deleted").select(
+            *StructType.fromDDL(FILES).names)
+
+    def state(self, batch: int) -> State:
+        return read_state(self.spark, f"{self.folder(batch)}/state")
 
     def report(self, batch: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder(batch)}/report")
@@ -62,36 +74,35 @@ def refresh_batch(store: KbStore, arrived: DataFrame, batch: int, as_of: str,
                   cfg: KbConfig = DEFAULT, keep_manual: bool = False) -> None:
     """Bring the store up to date with ``arrived(path, content, size, modified[, deleted])``.
 
-    The newest row of a path counts. Files are redacted and hashed where they arrive and their
-    text goes no further: no shuffle moves it and no table holds it, so planning reads little
-    however large the corpus is.
+    The newest row of a path counts, by ``modified``, whenever it arrives; of rows of one time a
+    deletion counts most, then the greatest hash. Files are redacted and hashed where they arrive
+    and their text goes no further: no shuffle moves it and no table holds it, so planning reads
+    little however large the corpus is.
     """
     gone = F.col("deleted") if "deleted" in arrived.columns else F.lit(False)
-    arrived = arrived.select("path", "content", "size", "modified", gone.alias("deleted"))
-    seen = inspect_files(arrived, cfg)
-    newest = seen.groupBy("path").agg(F.max_by(
-        F.struct(*[c for c in seen.columns if c not in ("path", "modified")]), "modified")
-        .alias("f")).select("path", "f.*")
+    arrived = arrived.select("path", "content", "size", "modified",
+                             F.coalesce(gone, F.lit(False)).alias("deleted"))
+    names = StructType.fromDDL(SEEN).names
+    rows = inspect_files(arrived, cfg).select(*names)
     last, folder = store.latest(before=batch), store.folder(batch)
-    newest.write.mode("overwrite").parquet(f"{folder}/arrived")
-    newest = store.spark.read.schema(newest.schema).parquet(f"{folder}/arrived")
-    live = newest.where(~F.col("deleted"))
-    prepared = live.where("hash IS NOT NULL").select(*StructType.fromDDL(FILES).names)
-
     if last is not None:
-        prior = store.files(last)
-        prepared = prior.join(newest.select("path"), "path", "left_anti").unionByName(prepared)
-    prepared.write.mode("overwrite").parquet(f"{folder}/files")
-    files = store.files(batch)
+        rows = store.seen(last).unionByName(rows)
+    when = F.struct("modified", "deleted", F.coalesce("hash", F.lit("")))
+    (rows.groupBy("path").agg(F.max_by(F.struct(*[c for c in names if c != "path"]), when)
+                              .alias("f")).select("path", "f.*")
+     .write.mode("overwrite").parquet(f"{folder}/seen"))
+    seen, files = store.seen(batch), store.files(batch)
     new = assemble_entries(resolve_collisions(plan_by_directory(files)), as_of)
     if last is None:
         write_kb(new, folder, "overwrite")
         report = ch.init_counts(new, files)
     else:
-        # Files that arrived but are not read are walked all the same.
-        unread = live.where("hash IS NULL").select("path", "hash")
+        # Files that are there but not read are walked all the same; they count when they arrive.
+        came = arrived.select("path").distinct()
+        unread = seen.where("hash IS NULL AND NOT deleted").select("path", "hash").join(
+            came, "path", "left_semi")
         walked = files.select("path", "hash").unionByName(unread)
-        ch.detect_changes(walked, ch.file_state(prior)).write.mode("overwrite").parquet(
+        ch.detect_changes(walked, ch.file_state(store.files(last))).write.mode("overwrite").parquet(
             f"{folder}/changes")
         found = store.spark.read.schema("path string, status string").parquet(f"{folder}/changes")
         existing = store.kb(last)
@@ -99,6 +110,7 @@ def refresh_batch(store: KbStore, arrived: DataFrame, batch: int, as_of: str,
         write_kb(ch.upsert_entries(existing, stale, new), folder, "overwrite")
         report = ch.refresh_report(existing, stale, new, files)
     report.write.mode("overwrite").parquet(f"{folder}/report")
+    ch.write_state(files, store.kb(batch).entries, as_of, f"{folder}/state", mode="overwrite")
     store.commit(batch)
 
 
