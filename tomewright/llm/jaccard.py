@@ -14,7 +14,8 @@ component of each document, which links decide.
 * The boundary is the one of least cost: subsets listed against list places times the mean number
   of sets that share a shingle.
 
-In a list, each set is compared with the first of a size that could link. Linked sets become
+In a list, each set is compared with the first of a size that could link: by sketches, which are
+small and rule out most pairs for certain, then by the whole sets of those left. Linked sets become
 components; then only pairs of a list that are in different components are left to compare. So a
 list of near copies costs its length, not its square, and nothing is skipped. Very frequent
 shingles are dealt over several lists first.
@@ -56,7 +57,9 @@ FILTER_BITS = 1 << 26
 
 _SETS = T.StructType([T.StructField("doc_id", T.LongType()),
                       T.StructField("n_shingles", T.LongType()),
-                      T.StructField("set_id", T.LongType())])
+                      T.StructField("set_id", T.LongType()),
+                      T.StructField("sketch", T.BinaryType())])
+_WHOLE = -1  # the salt of a list that is not dealt over several
 _ENTRIES = "list long, salt int, need int, size int, set_id long"
 _LISTED = "list long, need int, size int, set_id long, hub_size int, hub long"
 
@@ -98,6 +101,29 @@ def set_id(shingles: np.ndarray) -> int:
     return int(A.mix(A.mix(shingles).sum(keepdims=True))[0].astype(np.int64))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in as many cells as the set has shingles, 64 at least.
+
+    Every shingle that two sets do not share turns over one parity, so sketches differ in at most
+    as many places as the sets.
+    """
+    cells = 1 << max(6, (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles % np.uint64(cells)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
+
+
+def could_link(size_a: int, a: bytes, size_b: int, b: bytes, percent: int) -> bool:
+    """False only where the sketches prove that two sets do not link."""
+    while len(a) != len(b):  # parities of half as many cells
+        if len(a) < len(b):
+            a, b = b, a
+        half = len(a) // 2
+        a = (int.from_bytes(a[:half], "little") ^ int.from_bytes(a[half:], "little")).to_bytes(
+            half, "little")
+    differ = (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+    return (size_a + size_b - differ) // 2 >= needed(size_a, size_b, percent)
+
+
 def distinct_sets(batches: Iterator[pa.RecordBatch], text: str,
                   n: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each different, not empty set of a task once."""
@@ -113,14 +139,15 @@ def distinct_sets(batches: Iterator[pa.RecordBatch], text: str,
 def _documents(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, sketches = [], [], []
             for _, _, words in A.block_words(batch.column("text"), A.NOT_SPACE):
                 for shingles in row_sets(words, n):
                     sizes.append(len(shingles))
                     ids.append(set_id(shingles) if len(shingles) else None)
+                    sketches.append(sketch(shingles) if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())],
-                names=_SETS.names)
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
+                 pa.array(sketches, pa.binary())], names=_SETS.names)
 
     return docs.mapInArrow(run, _SETS)
 
@@ -170,12 +197,13 @@ def _entries(docs: DataFrame, n: int, percent: int, boundary: int, order) -> Dat
             for c in subset_sizes(size, boundary, percent):
                 picks = np.array(list(itertools.combinations(range(size), c)))
                 sums = parts[picks].sum(axis=1) + np.uint64(c)
-                yield A.mix(sums), np.zeros(len(sums), np.int32), c
+                yield A.mix(sums), np.full(len(sums), _WHOLE, np.int32), c
         if partners(size, percent)[1] > boundary:
             level = weight[_cell(shingles)]
             first = np.lexsort((shingles, level))[:prefix(size, percent)]
             lists = np.maximum(1, (1 << level[first].astype(np.int64)) // LIST_SETS)
-            yield shingles[first], (known % lists).astype(np.int32), 0
+            salts = np.where(lists > 1, known % lists, _WHOLE)
+            yield shingles[first], salts.astype(np.int32), 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
@@ -222,7 +250,7 @@ def _lists(entries: DataFrame, percent: int) -> DataFrame:
             same[1:rows] = (key[1:] == key[:-1]) & (columns[1][1:] == columns[1][:-1]) & (
                 columns[2][1:] == columns[2][:-1])
             joined = np.flatnonzero(same[:rows] | same[1:] | (np.arange(rows) == 0)
-                                    | (np.arange(rows) == rows - 1))
+                                    | (np.arange(rows) == rows - 1) | (columns[1] != _WHOLE))
             picked = list(zip(*(c[joined].tolist() for c in columns), strict=True))
             for at, row in zip(joined.tolist(), picked, strict=True):
                 if last is not None and row[:3] == last[:3]:
@@ -236,13 +264,13 @@ def _lists(entries: DataFrame, percent: int) -> DataFrame:
                     out.append(_listed(row, hub))
                 else:
                     # Parts of a dealt list are kept whatever their length.
-                    if last is not None and alone and last[1] > 0:
+                    if last is not None and alone and last[1] != _WHOLE:
                         out.append(_listed(last, hub))
                     hub, alone = row, True
                 last = row
             if out:
                 yield _listed_rows(out)
-        if last is not None and alone and last[1] > 0:
+        if last is not None and alone and last[1] != _WHOLE:
             yield _listed_rows([_listed(last, hub)])
 
     return (entries.repartition("list", "salt")
@@ -282,8 +310,28 @@ def _id_filter(pairs: DataFrame) -> np.ndarray:
                        FILTER_BITS // 8, np.uint8, np.bitwise_or)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that link, by their whole sets."""
+def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that their sets' sketches, an eighth of a byte a shingle, leave possible."""
+    sets = (members.where("set_id IS NOT NULL").groupBy("set_id")
+            .agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
+    one, two = (sets.select(F.col("set_id").alias(k), F.col("size").alias(f"size_{k}"),
+                            F.col("sketch").alias(f"sketch_{k}")) for k in ("u", "v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            keep = pa.array([could_link(*row, percent) for row in rows], pa.bool_())
+            yield batch.select([0, 1]).filter(keep)
+
+    both = pairs.join(one, "u").join(two, "v").select("u", "v", "size_u", "sketch_u", "size_v",
+                                                      "sketch_v")
+    return written(both.mapInArrow(run, "u long, v long"), "possible")
+
+
+def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, n: int,
+            percent: int) -> DataFrame:
+    """The pairs (u, v) that link: first by sketches, then by whole sets."""
+    pairs = _possible(pairs, members, percent)
     known = docs.sparkSession.sparkContext.broadcast(_id_filter(pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,12 +380,12 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     pair = (F.col("set_id").alias("u"), F.col("hub").alias("v"))
     sure = apart.where(subsets).select(*pair).distinct()
     first = written(apart.where("need = 0").select(*pair).distinct(), "pairs")
-    links = written(sure.union(_verify(docs, first, n, percent)), "links")
+    links = written(sure.union(_verify(docs, members, first, n, percent)), "links")
     roots = written(components(links), "roots")
 
     rest = written(_rest(listed, roots, boundary, percent), "rest")
     if not rest.isEmpty():
-        links = links.union(_verify(docs, rest, n, percent))
+        links = links.union(_verify(docs, members, rest, n, percent))
         roots = written(components(links), "roots")
     return _named(members, roots)
 
