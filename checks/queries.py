@@ -248,6 +248,14 @@ def render_frontmatter(spark, sf):
     return documents.render_documents(kb_tables(spark, sf))
 
 
+@register("SELECT filename, document FROM docs", "docs")
+def written_documents(spark, sf):
+    """The same documents, written as tables of pieces and read again."""
+    path = written(spark, sf, "written_documents", lambda p: documents.write_documents(
+        kb_tables(spark, sf), p))
+    return documents.read_written(spark, path).select("filename", "document")
+
+
 # --- query -----------------------------------------------------------------------------------
 
 def _score(q: str, category: str | None = None) -> str:

@@ -64,7 +64,6 @@ def test_round_trip(spark, kb):
 
 
 def test_large_entries_give_the_same_answers(spark, kb, tmp_path):
-    kb = kb.without(spark.createDataFrame([("src_a---b.md",)], "filename string"))
     whole = stored(spark, kb, str(tmp_path / "whole"))
     split = stored(spark, kb, str(tmp_path / "split"), max_chars=400)
     assert split.large is not None and split.rows.count() < whole.rows.count()
@@ -89,13 +88,73 @@ def test_large_entries_give_the_same_answers(spark, kb, tmp_path):
 
 def test_written_documents_read_back(spark, kb, tmp_path):
     documents.write_documents(kb, str(tmp_path / "docs"))
-    parts = spark.read.text(str(tmp_path / "docs")).select(
-        "filename", "value", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n"))
-    texts = {}
-    for r in sorted(parts.collect(), key=lambda r: (r.f, r.n)):
-        texts.setdefault(r.filename, []).append(r.value)
+    got = documents.read_written(spark, str(tmp_path / "docs"))
     want = {r.filename: r.document for r in documents.render_documents(kb).collect()}
-    assert {k: "\n".join(v) + "\n" for k, v in texts.items()} == want
+    assert {r.filename: r.document for r in got.collect()} == want
+    entries = documents.load_entries(got, AS_OF)
+    assert entries.count() == len(want)
+
+
+KEY = ["-----BEGIN RSA PRIVATE KEY-----\n", "MIIEsecretsecret\n", "moresecret\n",
+       "-----END RSA PRIVATE KEY-----\n"]
+
+
+def odd_kb(spark):
+    """Entries with all that reads back differently from how it was written."""
+    rows = [("quotes.md", 'say "hi"', "plain", ["a", "b"], [], ["s/1.ts", "s/2.ts"], ["text\n"]),
+            ("dashes.md", "src/a---b", "one", ["t"], ["r"], ["x.c"], ["body line\n"]),
+            ("source.md", "title", "two", ["t1", "t2"], [], ["a.c", "src/p---q/y.c", "z.c"],
+             ["end\n"]),
+            ("empty.md", "nothing", "three", [], [], ["only.ts"], ["x\n", "password = hunter2\n"]),
+            ("bare.md", "bare", "", [], [], [], ["y\n"]),
+            ("tagged.md", "t", "tags: in here", ["u"], ["v"], ["w.py"], ["z\n"]),
+            ("key.md", "holds a key", "four", ["k"], [], ["k.pem"],
+             ["before\n", *KEY[:1], *["MIIEfiller\n"] * 9, *KEY[1:], "after\n", *KEY, "token\n"])]
+    at = "struct<part:bigint,pos:bigint,key:string>"
+    frame_ = spark.createDataFrame(
+        rows, "filename string, title string, description string, tags array<string>, "
+              "related array<string>, sources array<string>, body array<string>")
+
+    def listed(name):
+        return frame_.select("filename", F.posexplode(name).alias("pos", "value")).select(
+            "filename", F.struct(F.lit(0).alias("part"), "pos", F.lit("").alias("key"))
+            .cast(at).alias("at"), "value")
+
+    body = frame_.select("filename", F.posexplode("body").alias("pos", "text")).select(
+        "filename", F.lit(0).alias("part"), F.col("pos").cast("long").alias("pos"),
+        F.lit("").alias("key"), "text")
+    entries = frame_.select("filename", "title", "description", F.lit("module").alias("category"),
+                            F.lit(AS_OF).alias("updated_at"),
+                            F.size("sources").cast("long").alias("n_sources"))
+    return KnowledgeBase.of(entries, tags=listed("tags"), related=listed("related"),
+                            sources=listed("sources"), body=body)
+
+
+def test_entries_of_every_size_read_back_alike(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents.redact_pieces, "__defaults__", (3,))
+    write_kb(odd_kb(spark), str(tmp_path / "kb"))
+    kb = read_kb(spark, str(tmp_path / "kb"))
+    whole, split = stored(spark, kb, str(tmp_path / "whole")), stored(
+        spark, kb, str(tmp_path / "split"), max_chars=1)
+    assert split.rows.count() == 0 and whole.large is None
+    held = {r.filename: r for r in whole.rows.collect()}
+    for r in split.large.entries.collect():
+        want = held[r.filename]
+        assert (r.title, r.description, r.category, r.updated_at, r.n_sources) == (
+            want.title, want.description, want.category, want.updated_at,
+            len(want.source_files)), r.filename
+        for name, column in (("tags", "tags"), ("related", "related"),
+                             ("sources", "source_files")):
+            rows = getattr(split.large, name).where(F.col("filename") == r.filename)
+            assert [x.value for x in rows.orderBy("at").collect()] == want[column], (
+                r.filename, name)
+        body = split.large.body.where(F.col("filename") == r.filename).orderBy("part", "pos", "key")
+        text = "".join(x.text for x in body.collect())
+        assert text.strip() == want.content, r.filename
+        assert "secret" not in text and "filler" not in text and "hunter2" not in text
+    assert held["key.md"].content.count("[REDACTED]") == 2
+    for q, c in (("hi", None), ("src", "module"), ("k.pem", None), ("p---q", None), ("tags", None)):
+        assert query.kb_query(whole, q, c).collect() == query.kb_query(split, q, c).collect(), q
 
 
 def test_update_counts_manual_entries_as_stale(spark, kb):

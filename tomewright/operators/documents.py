@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from tomewright import constants as K
 from tomewright.functions import frontmatter as fm
 from tomewright.functions import secrets, text
-from tomewright.operators.ordering import freeze
+from tomewright.operators.gather import gather_text
+from tomewright.operators.ordering import freeze, with_ordinal
 from tomewright.operators.tables import AT, KnowledgeBase, read_kb, write_kb
 
 # An entry is put together as one document up to this many characters.
@@ -140,20 +141,138 @@ class StoredKb:
 def read_back(kb: KnowledgeBase, as_of: str, *, max_chars: int = MAX_DOCUMENT_CHARS) -> StoredKb:
     """The knowledge base after it was written as documents and read again.
 
-    Sizes are checked first, by one job over the pieces. Entries above ``max_chars`` stay tables:
-    their fields are kept as they are, but for an empty list of related entries, which reads back
-    as the sources, and their body pieces are redacted one by one.
+    Sizes are checked first, by one job over the pieces. Entries above ``max_chars`` stay tables,
+    of what their documents would read back as: which rows are held as one document decides where
+    the work is done, not what comes out.
     """
     large = freeze(large_entries(document_pieces(kb), max_chars))
     if large.isEmpty():
         return StoredKb(load_entries(list_entries(render_documents(kb)), as_of))
     rows = load_entries(list_entries(render_documents(kb, large)), as_of)
-    kept = kb.only(F.broadcast(large))
-    unrelated = kept.entries.join(kept.related.select("filename").distinct(), "filename",
-                                  "left_anti").select("filename")
-    related = kept.related.unionByName(kept.sources.join(unrelated, "filename", "left_semi"))
-    body = secrets.redact(kept.body, "text")
-    return StoredKb(rows, KnowledgeBase(kept.entries, kept.tags, related, kept.sources, body))
+    return StoredKb(rows, _read_large(kb.only(F.broadcast(large)), as_of))
+
+
+# Stands for all rows of a list in the short header of a large entry.
+_ALL = "\u0001all of "
+_LISTS = {1: "tags", 3: "related", 5: "sources"}  # by section
+
+
+def _read_large(kb: KnowledgeBase, as_of: str) -> KnowledgeBase:
+    """What the documents of ``kb`` read back as, without putting one together.
+
+    The header ends at the first ``---`` of any piece. What stands before it is read from a short
+    header, in which one line stands for each list's rows; what comes after it is body.
+    """
+    pieces = document_pieces(kb)
+    header = pieces.where(F.col("section") < BODY)
+    # The first piece begins with the dashes that open the header.
+    ends = F.when(F.col("section") == 0, F.locate("---", F.col("text"), 4)).otherwise(
+        F.locate("---", F.col("text")))
+    place = F.struct("section", "at")
+    cut = freeze(header.withColumn("end", ends).where("end > 0").groupBy("filename").agg(
+        F.min(F.struct("section", "at", "text", "end")).alias("cut")))
+    # A row for each entry, which may be joined with many rows of one entry.
+    known = header.join(cut, "filename").withColumn("here", F.when(
+        place < F.struct("cut.section", "cut.at"), F.col("text")).when(
+        place == F.struct("cut.section", "cut.at"), F.substring("text", F.lit(1), F.col("cut.end") - 1)))
+    seen = known.where("here IS NOT NULL")
+    whole = F.lit(None).cast("string")
+    for section, name in _LISTS.items():
+        whole = F.when((F.col("section") == section) & (F.col("here") == F.col("text")),
+                       F.lit(f"  - {_ALL}{name}\n")).otherwise(whole)
+    short = (seen.withColumn("line", F.coalesce(whole, "here"))
+             .groupBy("filename", "section", "line").agg(F.min("at").alias("at"))
+             .groupBy("filename").agg(F.sort_array(F.collect_list(F.struct(
+                 "section", (F.col("line").startswith("  - ") & ~F.contains(
+                     F.col("line"), F.lit(_ALL))).alias("own"), "at", "line"))).alias("lines")))
+    read = freeze(load_entries(short.select("filename", F.concat(
+        F.array_join(F.transform("lines", lambda x: x.line), ""), F.lit("---\n"))
+        .alias("document")), as_of))
+
+    visible = {name: getattr(kb, name).join(cut, "filename").where(F.struct(
+        F.lit(section).alias("section"), "at") < F.struct("cut.section", "cut.at"))
+        .select("filename", "at", "value") for section, name in _LISTS.items()}
+    lists = {}
+    for name, column in (("tags", "tags"), ("related", "related"), ("sources", "source_files")):
+        items = read.select("filename", F.posexplode(column).alias("n", "value"))
+        literal = items.where(~F.col("value").startswith(_ALL)).select(
+            "filename", F.struct(F.lit(2**40).alias("part"), F.col("n").cast("long").alias("pos"),
+                                 F.lit("").alias("key")).cast(AT).alias("at"), "value")
+        rows = literal
+        for other in _LISTS.values():
+            wants = items.where(F.col("value") == f"{_ALL}{other}").select("filename")
+            rows = rows.unionByName(visible[other].join(F.broadcast(wants), "filename",
+                                                        "left_semi"))  # one row per large entry
+        lists[name] = rows
+    counts = lists["sources"].groupBy("filename").agg(F.count("*").alias("n_sources"))
+    entries = read.join(counts, "filename", "left").withColumn(
+        "n_sources", F.coalesce("n_sources", F.lit(0)))
+
+    def as_body(rows: DataFrame, text) -> DataFrame:
+        """Header pieces behind the cut, in front of the body."""
+        return rows.select("filename", (F.col("section") - 2 * BODY).cast("int").alias("part"),
+                           (F.shiftleft(F.col("at.part"), 31) + F.col("at.pos")).alias("pos"),
+                           F.col("at.key").alias("key"), text.alias("text"))
+
+    behind = header.join(cut, "filename")
+    rest = as_body(behind.where(place == F.struct("cut.section", "cut.at")),
+                   F.substring("text", F.col("cut.end") + 3, F.lit(fm.END))).unionByName(
+        as_body(behind.where(place > F.struct("cut.section", "cut.at")), F.col("text")))
+    gap = cut.where("cut.section < 6").select(
+        "filename", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("pos"),
+        F.lit("").alias("key"), F.lit("\n\n").alias("text"))
+    body = rest.where("text <> ''").unionByName(gap).unionByName(redact_pieces(kb.body))
+    return KnowledgeBase.of(entries, tags=lists["tags"], related=lists["related"],
+                            sources=lists["sources"], body=body)
+
+
+# How a block that names a private key begins and ends, whatever its kind.
+_KEY_BEGINS = r"(?i)-----BEGIN\s+(?:RSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----"
+_KEY_ENDS = r"(?i)-----END\s+(?:RSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----"
+_KEY_GONE = "-----BEGIN PRIVATE KEY-----[REDACTED]-----END PRIVATE KEY-----"
+_BLOCK_PIECES = 4096
+
+
+def redact_pieces(body: DataFrame, block: int = _BLOCK_PIECES) -> DataFrame:
+    """Redacted bodies, kept as pieces of up to ``block`` old ones.
+
+    Pieces are joined before they are redacted, so a secret may go over several. A private key may
+    go over any number of blocks: what lies between its begin and its end is dropped.
+    """
+    numbered = with_ordinal(body, "filename", "part", "pos", "key")
+    blocks = numbered.groupBy("filename", F.floor(F.col("ordinal") / block).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("ordinal", "text"))).alias("p"))
+    joined = secrets.redact(blocks.select("filename", "block", F.array_join(
+        F.transform("p", lambda x: x.text), "").alias("text")), "text")
+    # Pairs within a block are gone; a lone begin stands behind the last end, a lone end in front
+    # of the first begin.
+    tail = F.element_at(F.split("text", _KEY_ENDS, -1), -1)
+    head = F.element_at(F.split("text", _KEY_BEGINS, -1), 1)
+    marked = freeze(joined.withColumn("opens", tail.rlike(_KEY_BEGINS)).withColumn(
+        "closes", head.rlike(_KEY_ENDS)))
+    ahead = Window.partitionBy("filename").orderBy("block")
+    flags = marked.select("filename", "block", "opens", "closes")
+    before = ahead.rowsBetween(Window.unboundedPreceding, -1)
+    after = ahead.rowsBetween(1, Window.unboundedFollowing)
+    block_if = lambda flag: F.when(F.col(flag), F.col("block"))
+    states = (flags.withColumn("opened", F.max(block_if("opens")).over(before))
+              .withColumn("closed", F.max(block_if("closes")).over(before))
+              .withColumn("will_close", F.min(block_if("closes")).over(after)))
+    inside = F.col("opened").isNotNull() & (F.coalesce("closed", F.lit(-1)) <= F.col("opened"))
+    states = states.select(
+        "filename", "block", (inside & F.col("closes")).alias("ends"),
+        (inside & ~F.col("closes") & F.col("will_close").isNotNull()).alias("within"),
+        (F.col("opens") & F.col("will_close").isNotNull()).alias("begins"))
+    text = F.col("text")
+    without_end = F.when(F.col("ends"), F.regexp_replace(
+        text, rf"\A(?s:.)*?{_KEY_ENDS}", "")).otherwise(text)
+    done = marked.join(states, ["filename", "block"]).withColumn("text", F.when(
+        F.col("within"), F.lit("")).when(F.col("begins"), F.concat(
+            F.regexp_replace(without_end, rf"{_KEY_BEGINS}(?!(?s:.)*{_KEY_ENDS})(?s:.)*\z", ""),
+            F.lit(_KEY_GONE))).otherwise(without_end))
+    return done.where("text <> ''").select(
+        "filename", F.lit(0).alias("part"), F.col("block").alias("pos"), F.lit("").alias("key"),
+        "text")
 
 
 def write_stored(kb: StoredKb, path: str) -> None:
@@ -172,26 +291,39 @@ def read_stored(spark: SparkSession, path: str) -> StoredKb:
 
 
 def write_documents(kb: KnowledgeBase, path: str) -> None:
-    """Markdown below ``path``: a folder per entry, whose files in name order are its document.
+    """Documents as a table of ordered pieces below ``path``, which ``read_written`` reads.
 
-    Rows are spread by range, so an entry with many lines becomes many files written in parallel.
+    Rows are spread by range and sorted, so an entry with many lines is written in parallel and a
+    reader of some entries opens few files.
     """
     pieces = document_pieces(kb)
     header = pieces.where(F.col("section") < BODY)
-    body = secrets.redact(pieces.where(F.col("section") == BODY), "text")
+    body = redact_pieces(kb.body).select(
+        "filename", F.lit(BODY).alias("section"),
+        F.struct(F.col("part").cast("long").alias("part"), "pos", "key").alias("at"), "text")
+
     def at(part: int):
         return F.struct(F.lit(part).cast("long").alias("part"),
                         F.lit(0).cast("long").alias("pos"), F.lit("").alias("key"))
 
-    gaps = kb.entries.select("filename", F.lit(BODY).alias("section"),
-                             F.explode(F.array(at(-1), at(2**62))).alias("at"),
-                             F.lit("\n").alias("text"))
-    # The text sink ends every row with a line end of its own.
-    lines = header.unionByName(body).unionByName(gaps).withColumn(
-        "value", F.regexp_replace("text", r"\n\z", ""))
+    around = kb.entries.select("filename", F.lit(BODY).alias("section"), F.explode(F.array(
+        F.struct(at(-1).alias("at"), F.lit("\n\n").alias("text")),
+        F.struct(at(2**62).alias("at"), F.lit("\n").alias("text")))).alias("p")).select(
+            "filename", "section", "p.at", "p.text")
     order = ["filename", "section", "at"]
-    (lines.repartitionByRange(*order).sortWithinPartitions(*order)
-     .select("filename", "value").write.partitionBy("filename").text(path))
+    (header.unionByName(body).unionByName(around).repartitionByRange(*order)
+     .sortWithinPartitions(*order).write.parquet(path))
+
+
+def read_written(spark: SparkSession, path: str,
+                 max_chars: int = MAX_DOCUMENT_CHARS) -> DataFrame:
+    """``filename, document`` of what ``write_documents`` wrote.
+
+    A document of more than ``max_chars`` is several rows, told apart and ordered by ``block``.
+    """
+    pieces = spark.read.parquet(path)
+    return list_entries(gather_text(pieces, "filename", ["section", "at"], max_chars=max_chars)
+                        .select("filename", "block", F.col("text").alias("document")))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
