@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks import sqltext as S
 from checks.views import AS_OF, VIEWS, table, view, view_sql, written
 from tomewright import constants as K
+from tomewright.config import KbConfig
 from tomewright.functions import paths, secrets, structured, text
 from tomewright.operators import (batches, capture, changes, documents, gather, index, query,
                                   query_batch)
@@ -97,6 +98,16 @@ def size_filter(spark, sf):
     return sources.filter_size(raw_files(spark, sf)).select("path", "size")
 
 
+@register(f"""SELECT reason, count(*) AS n_files, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM (
+  SELECT content, CASE WHEN {S.ignored('path')} THEN 'ignored'
+    WHEN {S.extension('path')} NOT IN ('.ts', '.py', '.md', '.local', '') THEN 'extension'
+    WHEN {S.sensitive('path')} THEN 'sensitive' WHEN strlen(content) > 2000 THEN 'too large' END
+    AS reason FROM files_raw) WHERE reason IS NOT NULL GROUP BY reason""", "files_raw")
+def dropped_files(spark, sf):
+    cfg = KbConfig(include_extensions=(".ts", ".py", ".md", ".local", ""), max_file_bytes=2000)
+    return sources.dropped_files(raw_files(spark, sf), cfg)
+
+
 @register(f"SELECT path, {S.sensitive('path')} AS sensitive FROM files_raw", "files_raw")
 def sensitive_paths(spark, sf):
     return raw_files(spark, sf).select(

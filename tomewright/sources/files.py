@@ -56,16 +56,35 @@ def files_from_table(df: DataFrame, path: str = "path", content: str = "content"
                      .cast("long").alias("size"))
 
 
-def scan_corpus(spark: SparkSession, root: str, cfg: KbConfig = DEFAULT) -> DataFrame:
+def dropped_files(files: DataFrame, cfg: KbConfig = DEFAULT) -> DataFrame:
+    """``reason, n_files, bytes`` of files that are not read; the first reason of a file counts."""
+    path = F.col("path")
+    wanted = F.lit(True)
+    if cfg.include_extensions:
+        wanted = paths.extension(path).isin(list(cfg.include_extensions))
+    reason = (F.when(paths.is_ignored(path, cfg.all_ignored), F.lit("ignored"))
+              .when(~wanted, F.lit("extension")).when(secrets.is_sensitive_path(path),
+                                                      F.lit("sensitive"))
+              .when(F.col("size") > cfg.max_file_bytes, F.lit("too large"))
+              .when(F.col("content").isNull(), F.lit("unreadable")))
+    return (files.select(reason.alias("reason"), "size").where("reason IS NOT NULL")
+            .groupBy("reason").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes")))
+
+
+def scan_corpus(spark: SparkSession, root: str, cfg: KbConfig = DEFAULT, *,
+                skip_unreadable: bool = False) -> DataFrame:
     """Files below ``root`` that a walk visits: ``path, content, size, modified``.
 
+    A file that cannot be read fails the job, unless ``skip_unreadable`` says to leave it out.
+
     Names and sizes are tested on ``_metadata``, which drops files while they are listed: ignored
     ones are never opened, and neither are sensitive and oversize ones. The latter are part of the
     walk, which change detection needs, and come with null content. Spark's file source lists no
     empty files and none whose name starts with a dot or underscore; ``walk_corpus`` does.
     """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-           .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root))
+           .option("ignoreCorruptFiles", skip_unreadable)
+           .option("ignoreMissingFiles", skip_unreadable).load(root))
     base = root.split(":", 1)[-1].rstrip("/") + "/"
     listed_as = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     path = F.substring(listed_as, F.locate(base, listed_as) + len(base), F.lit(2147483647))
