@@ -61,12 +61,11 @@ def large_entries(pieces: DataFrame, max_chars: int = MAX_DOCUMENT_CHARS) -> Dat
             .where(F.col("__chars") > max_chars).select("filename"))
 
 
-def _put_together(pieces: DataFrame, large: DataFrame | None) -> DataFrame:
-    if large is not None:
-        # Every large entry has more than max_chars of the pieces' characters, so there are at
-        # most total / max_chars of them. Dropping them here, before the shuffle, keeps each
-        # group below max_chars.
-        pieces = pieces.join(F.broadcast(large), "filename", "left_anti")
+def _put_together(pieces: DataFrame, large: DataFrame) -> DataFrame:
+    # Every large entry has more than max_chars of the pieces' characters, so there are at most
+    # total / max_chars of them. Dropping them here, before the shuffle, keeps each group below
+    # max_chars.
+    pieces = pieces.join(F.broadcast(large), "filename", "left_anti")
     ordered = F.sort_array(F.collect_list(F.struct("section", "at", "text")))
     grouped = pieces.groupBy("filename").agg(ordered.alias("p"))
 
@@ -78,8 +77,14 @@ def _put_together(pieces: DataFrame, large: DataFrame | None) -> DataFrame:
 
 
 def render_documents(kb: KnowledgeBase, large: DataFrame | None = None) -> DataFrame:
-    """``filename, document`` of all entries but the large ones; the body is redacted again."""
-    parts = secrets.redact(_put_together(document_pieces(kb), large), "body")
+    """``filename, document`` of all entries but the large ones; the body is redacted again.
+
+    Without ``large`` the sizes are looked up here.
+    """
+    pieces = document_pieces(kb)
+    if large is None:
+        large = large_entries(pieces)
+    parts = secrets.redact(_put_together(pieces, large), "body")
     return parts.select("filename", F.concat("header", F.lit("\n\n"), "body", F.lit("\n"))
                         .alias("document"))
 
@@ -147,7 +152,7 @@ def read_back(kb: KnowledgeBase, as_of: str, *, max_chars: int = MAX_DOCUMENT_CH
     """
     large = freeze(large_entries(document_pieces(kb), max_chars))
     if large.isEmpty():
-        return StoredKb(load_entries(list_entries(render_documents(kb)), as_of))
+        return StoredKb(load_entries(list_entries(render_documents(kb, large)), as_of))
     rows = load_entries(list_entries(render_documents(kb, large)), as_of)
     return StoredKb(rows, _read_large(kb.only(F.broadcast(large)), as_of))
 

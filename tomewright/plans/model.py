@@ -68,7 +68,7 @@ def parse_plans(replies: DataFrame, reply_id: str = "response_id", reply: str =
         reply_id, "pos", _given("__filename").alias("filename"),
         F.coalesce(_given("__title"), _given("__filename")).alias("title"),
         F.coalesce(_given("__category"), F.lit("general")).alias("category"),
-        F.transform(F.col("__sourceFiles").cast("array<variant>"), _shown).alias("source_files"),
+        F.transform(_members(F.col("__sourceFiles")), _shown).alias("source_files"),
         F.coalesce(_given("__brief"), _given("__description"), F.lit("")).alias("brief"))
 
 
@@ -76,6 +76,11 @@ def _kind(value: Column | str) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
+def _members(value: Column) -> Column:
+    """The members of a JSON array; null for any other value."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
 def _shown(value: Column) -> Column:
     """A JSON value as the text that a script makes of it."""
     kind = _kind(value)
@@ -84,7 +89,7 @@ def _shown(value: Column) -> Column:
     return (F.when(kind == "VOID", F.lit("null"))
             .when(kind.startswith("OBJECT"), F.lit("[object Object]"))
             .when(kind.startswith("ARRAY"), F.array_join(F.transform(
-                value.cast("array<variant>"), lambda v: F.coalesce(v.cast("string"), F.lit(""))),
+                _members(value), lambda v: F.coalesce(v.cast("string"), F.lit(""))),
                 ","))
             .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), whole).otherwise(text_of))
 
