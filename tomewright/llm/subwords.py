@@ -82,26 +82,44 @@ def word_scores(words: A.Words, scores: np.ndarray, shape: Shape) -> np.ndarray:
 
 
 class Corpus:
-    """Training texts as words, with the subwords of each distinct word."""
+    """Training texts as words, with the subwords of each distinct word.
+
+    Texts are read block by block, so memory is that of a block and of what is kept: a number for
+    each word, and the buckets of each distinct word.
+    """
 
     def __init__(self, texts: list[str], shape: Shape):
-        data, offsets = A.text_buffer(pa.array(texts, pa.large_string()))
-        words = A.words_of(data, offsets, A.ALNUM)
-        places, self.word = distinct(words)
-        self.buckets, self.first = subwords(words, places, shape)
-        self.row = words.first
+        hashes, counts, seen = [], [], np.zeros(0, np.uint64)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hashes, buckets, sizes
+        for _, _, words in A.block_words(pa.array(texts, pa.large_string()), A.ALNUM):
+            hashes.append(words.hash)
+            counts.append(words.counts)
+            places, _ = distinct(words)
+            places = places[~np.isin(words.hash[places], seen)]
+            if len(places):
+                buckets, first = subwords(words, places, shape)
+                kept.append((words.hash[places], buckets, np.diff(first)))
+                seen = np.concatenate([seen, words.hash[places]])
+        none = np.zeros(0, np.int64)
+        self.row = np.concatenate([[0], np.cumsum(np.concatenate([none, *counts]))]).astype(int)
+        known, self.word = np.unique(np.concatenate([seen[:0], *hashes]), return_inverse=True)
+        order = np.argsort(seen)  # of the same words, so their n-th is the n-th known
+        sizes = np.concatenate([none, *(k[2] for k in kept)])
+        starts = np.cumsum(sizes) - sizes
+        buckets = np.concatenate([np.zeros(0, np.int32), *(k[1] for k in kept)])
+        sizes, starts = sizes[order], starts[order]
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.buckets = buckets[np.repeat(starts - self.first[:-1], sizes)
+                               + np.arange(self.first[-1])]
+        assert len(known) == len(sizes)
 
     def spans(self, rng: np.random.Generator, longest: int, shortest: int) -> np.ndarray:
         """Each text cut into spans of random lengths: rows of (text, first word, end)."""
-        out = []
-        for text in range(len(self.row) - 1):
-            at, end = int(self.row[text]), int(self.row[text + 1])
-            while at < end:
-                to = min(end, at + int(rng.integers(shortest, longest + 1)))
-                out.append((text, at, to))
-                at = to
-        return np.array(out, dtype=np.int64).reshape(-1, 3)
-
+        total = int(self.row[-1])
+        cuts = np.cumsum(rng.integers(shortest, longest + 1, total // shortest + 1))
+        borders = np.unique(np.concatenate([cuts[cuts < total], self.row]))
+        text = np.searchsorted(self.row, borders[:-1], side="right") - 1
+        return np.stack([text, borders[:-1], borders[1:]], axis=1)
 
     def text_counts(self, bits: int) -> np.ndarray:
         """Number of texts that each bucket occurs in."""

@@ -33,7 +33,7 @@ from tomewright.llm.subwords import (Corpus, Model, Shape, batch_size, min_texts
 
 #: Labelled texts and characters used, for each class.
 SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 4_000_000
+SAMPLE_CHARS = 3_000_000
 #: Words of a window.
 WINDOW = 3
 #: Score from which a text is taken as toxic.
