@@ -952,8 +952,10 @@ def _each(of: dict[str, str], rest: str) -> str:
 # What the planted scripts hold; the prose around them must add nothing to it.
 @register(_each({
     "keyConcepts": "['Types: `Item' || doc_id || '` extends `Base`, `Pair`', '`Item' || doc_id || "
-                   "'` defines: id, size?', '`Pair` defines: a', '`Kind` enum: One, Two, Three']",
-    "apiSurface": "['`run' || doc_id || '(x, y, z, ...)` → the result', '`f(p, q)`']",
+                   "'` defines: id, size?', '`Pair` defines: a', '`Kind` enum: One, Two, Three', "
+                   "'`Store' || doc_id || '` extends `Base` implements `I`']",
+    "apiSurface": "['`run' || doc_id || '(x, y, z, ...)` → the result', '`f(p, q)`', "
+                  "'`Store' || doc_id || '.load(id)`', '`Store' || doc_id || '.if(id)`']",
     "errorHandling": "['logs errors, re-throws', 'Uses optional chaining for null safety', "
                      "'Defines custom error: `Bad' || doc_id || '`']",
     "configuration": "['`APP_CONFIG`: depth, name, list']",
@@ -963,6 +965,44 @@ def fact_braces(spark, sf):
         "apiSurface", "configuration", "errorHandling", "keyConcepts"))
 
 
+def _rows(language: str, ext: str, of: dict[str, str]) -> str:
+    return _each(of, f"(SELECT *, '{language}' AS language FROM code WHERE ext = '{ext}')")
+
+
+# All other facts of the planted files, stated as they must come out.
+@register(" UNION ALL ".join([
+    _rows("typescript", ".ts", {
+        "purpose": "['Store of things.']",
+        "responsibilities": "['Service ' || doc_id || ' does its work (via `run' || doc_id || '`)', "
+                            "'Store of things']",
+        "dataFlow": "['input value']",
+        "dependencyPurposes": "['`lib' || doc_id || '` → a, c', '`other` → def']"}),
+    _rows("javascript", ".js", {
+        "purpose": "['Script ' || doc_id || ' reads input and writes output']",
+        "patterns": "['Generator/Iterator pattern']"}),
+    _rows("python", ".py", {
+        "purpose": "['Module ' || doc_id || ' loads things.']",
+        "responsibilities": "['Run it now. (via `run`)']", "apiSurface": "['`run(self, a, b)`']",
+        "dependencyPurposes": "['`os.path`', '`sys`']",
+        "errorHandling": "['Handles/raises: `ValueError`, `KeyError`']",
+        "keyConcepts": "['`Foo' || doc_id || '` inherits from `Bar, Baz`']",
+        "patterns": "['Data classes', 'Class/static methods']"}),
+    _rows("markdown", ".md", {
+        "purpose": "['Opening paragraph of the guide.']",
+        "keyConcepts": "['Guide ' || doc_id, 'Use of it']",
+        "patterns": "['Code examples in: python, sh']"}),
+    _rows("go", ".go", {"purpose": "['Package f' || doc_id || ' does things.']"}),
+]), "code")
+def fact_stated(spark, sf):
+    rows = all_facts(spark, sf)
+    kind, lang = F.col("kind"), F.col("language")
+    return rows.where(
+        lang.isin("python", "markdown", "go")
+        | ((lang == "typescript") & kind.isin("purpose", "responsibilities", "dataFlow",
+                                              "dependencyPurposes"))
+        | ((lang == "javascript") & kind.isin("purpose", "patterns")))
+
+
 S.CTES["json_files"] = ([], """json_files AS (SELECT doc_id % 3 AS f, source, lang, quality, 'json' AS language,
   source || '/' || doc_id || '/' || ['package.json', 'tsconfig.json', 'data.json'][doc_id % 3 + 1] AS path
   FROM documents LEFT JOIN labels USING (doc_id))""")

@@ -105,6 +105,9 @@ def _text(*parts: str) -> str:
 
 
 _SCRIPT = (
+    "/** Store of things. Fast. */", "export class Store{id} extends Base implements I {",
+    "  constructor(a) { }", "  async load(id: string): Promise<void> { if (id) { return } }",
+    "  _p() { }", "}",
     "/** Service {id} does its work. More text.", " * @param x - input value",
     " * @returns the result", " */",
     "export async function run{id}(x: number, y = 2, z?: string, w) { return new Thing(); }",
