@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from tomewright.operators.ordering import use_checkpoint_dir
 
 
+#: Rows that are worked on at once.
+BATCH_ROWS = 1000
 #: Numbers in one block of a summed vector.
 VECTOR_BLOCK = 1 << 16
 
@@ -47,15 +49,17 @@ def internal(df: DataFrame, name: str) -> str:
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]],
               added: T.StructType) -> DataFrame:
-    """``df`` and the columns that ``fn`` makes of each of its batches.
+    """``df`` and the columns that ``fn`` makes of each ``BATCH_ROWS`` of its rows.
 
-    Columns of ``df`` with a name of an added one are replaced.
+    Columns of ``df`` with a name of an added one are replaced. Results leave the task as they are
+    made, so it never holds those of a whole batch of Spark's.
     """
     names = {f.name.lower() for f in added}
     kept = [f for f in df.schema if f.name.lower() not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, BATCH_ROWS) for b in batches
+                      for at in range(0, b.num_rows, BATCH_ROWS)):
             made = fn(batch)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in kept), *(made[f.name] for f in added)],

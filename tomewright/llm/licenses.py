@@ -233,8 +233,12 @@ def scan_licenses(docs: DataFrame, text: str = "text", phrases: dict[str, str] |
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
 
+    kept: list[Matcher] = []
+
     def scan(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        matcher = Matcher(templates)
+        if not kept:
+            kept.append(Matcher(templates))
+        matcher = kept[0]
         anchors = np.array(sorted(map(_hash_of, matcher.anchors)), dtype=np.uint64)
         starts = np.array(sorted(map(_hash_of, matcher.starts)), dtype=np.uint64)
         n = batch.num_rows
