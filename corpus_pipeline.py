@@ -29,7 +29,7 @@ def _beside(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFram
     """``work`` on ``docs`` while columns other than the id and the text have neutral names."""
     names = {c: f"other_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     done = work(docs.withColumnsRenamed(names))
-    return done.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
+    return done.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
