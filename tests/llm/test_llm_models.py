@@ -159,3 +159,44 @@ def test_nothing_learned(spark):
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows] == [
         (3, 0, 0, 0.0), (1, 0, 0, 0.0)]
     assert maxent.score(docs.where("false"), model, counts).collect() == []
+
+
+def test_rare_words_depend_on_the_words_before(spark):
+    """Thousands of words with one spelling class: each foretells another."""
+    pairs = [(f"a{k}qx", f"b{k}qx") for k in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(pairs[i % 3000])) for i in range(24_000)],
+                                 "doc_id long, text string")
+    model, counts = maxent.train(docs)
+    asked = spark.createDataFrame(
+        [(i, f"{a} {b}", False) for i, (a, b) in enumerate(pairs)]
+        + [(3000 + i, f"{a} {pairs[i - 1][1]}", False) for i, (a, _) in enumerate(pairs)],
+        "doc_id long, text string, held_out boolean")
+    scores = {r.doc_id: r.score for r in maxent.score(asked, model, counts).collect()}
+    better = [scores[i] - scores[3000 + i] for i in range(3000)]
+    assert np.mean(better) > 0.1 and np.mean(np.array(better) > 0.01) > 0.9
+
+
+def test_words_share_places_beyond_the_known(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "KNOWN", 10)
+    docs = spark.createDataFrame([(i, f"u{i % 40}z v{i % 40}z") for i in range(4000)],
+                                 "doc_id long, text string")
+    model, counts = maxent.train(docs)
+    assert len(model.words) <= 10
+    got = {w: n for w, n in zip(model.words.tolist(), model.counts.tolist(), strict=True)}
+    others = [r for r in counts.collect() if r.word % 2 ** 64 not in got]
+    assert model.shared_total.sum() == sum(r.n + 1 for r in others) + len(model.shared_total)
+    where = maxent.shared_place(np.array([r.word for r in others]).astype(np.uint64),
+                                np.array([r.tail for r in others]), model.width)
+    assert np.array_equal(np.bincount(where, [r.n + 1 for r in others], len(
+        model.shared_total)) + 1, model.shared_total)
+
+
+def test_model_sizes_follow_the_words():
+    def sized(n):
+        width = maxent.width_of(min(n, maxent.KNOWN))
+        return maxent.Model(np.arange(min(n, maxent.KNOWN), dtype=np.uint64), np.ones(min(
+            n, maxent.KNOWN), np.int64), *np.zeros((2, maxent.TAIL * width ** 2)), n, n)
+
+    small, large = sized(1000), sized(200_000)
+    assert small.width ** 3 >= 64 * 64 and len(small.class_rows) == maxent.ROWS
+    assert large.width ** 3 >= maxent.KNOWN and len(large.word_rows) == maxent.MAX_ROWS
