@@ -1,5 +1,6 @@
 """Surrogates: what is replaced, in which form, and that entities stay one and distinct."""
 
+import random
 import re
 
 import pytest
@@ -105,3 +106,65 @@ def test_mentions_of_long_runs_are_found_in_one_pass(spark):
             "A1B2" * 50_000, "+1 " * 60_000]
     found = frame(spark, list(enumerate(runs))).select(F.size(pii.mentions("text")).alias("n"))
     assert all(r.n <= 1 for r in found.collect())
+
+
+def examples():
+    """Texts with one entity and nothing else, of every branch of every kind."""
+    rng = random.Random(5)
+
+    def some(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    digits, small, hexes = "0123456789", "abcxyz", "0123456789abcdef"
+    for name in ("password", "PASSWD", "Pwd", "secret", "Token", "apikey", "api_key", "api-key",
+                 "accesskey", "ACCESS_KEY", "access-key"):
+        for mark in ("=", ":", " = ", "': '", '": "'):
+            yield "secret", name + mark + some("ghijkl", 6)
+    yield "key", "AKIA" + some("ABCXYZ", 16)
+    for kind in "pousr":
+        yield "key", f"gh{kind}_" + some("ABxy", 36)
+    for kind in "abprs":
+        yield "key", f"xox{kind}-" + some("ABxy-", 10)
+    for n in (32, 40, 64):
+        yield "key", some("abcdef", n)
+        yield "key", some(hexes, n)
+    yield "email", "a@b.de"
+    yield "email", "жук@почта.рф"
+    for parts in ("1.2.3.4", "10.20.30.40", "255.249.199.99"):
+        yield "ip", parts
+    for between in ("", " ", "-"):
+        yield "card", between.join(some(digits, 4) for _ in range(4))
+        yield "card", between.join(some(digits, n) for n in (4, 6, 5))
+        yield "iban", "DE" + some(digits, 2) + " " + " ".join(some("ABXY", 4) for _ in range(4))
+    yield "iban", "DE12" + "A1B2" * 3 + "C"
+    yield "ssn", "-".join(some(digits, n) for n in (3, 2, 4))
+    for before in ("", "+1 ", "+44-", "+358 "):
+        for n in (2, 3, 4):
+            for between in ("", " ", ".", "-"):
+                yield "phone", f"{before}({some('123', n)}){between}{some(digits, 3)}{between}" + (
+                    some(digits, 4))
+    for country in ("+1", "+49", "+358"):
+        for between in ("", " ", ".", "-"):
+            for group in (2, 3, 4):
+                for groups in range(2, 6):
+                    yield "phone", country + "".join(
+                        between + some("123456789", group) for _ in range(groups))
+    for between in ".-":
+        yield "phone", between.join(some(digits, n) for n in (3, 3, 4))
+    for title in pii.TITLES:
+        for dot in ("", "."):
+            yield "person", f"{title}{dot} A{some(small, 5)}"
+            yield "person", f"{title}{dot} Ж{some('абв', 5)} Ж{some('абв', 5)}"
+
+
+def test_quick_tests_hide_no_entity(spark):
+    reported = ["+49 30 12 34 56 78", "+44-20-79-46-09-58", "+41 44 12 34 56"]
+    texts = [*reported, *(t for _, t in examples())]
+    assert {k for k, _ in examples()} == set(pii._KINDS)
+    bare = F.regexp_extract_all(F.col("text"), F.lit(pii.PATTERN), F.lit(0))
+    rows = frame(spark, list(enumerate(texts))).select(
+        "text", pii.mentions("text").alias("got"), bare.alias("bare")).collect()
+    assert [(r.text, r.got) for r in rows] == [(r.text, r.bare) for r in rows]
+    assert all(r.bare for r in rows), [r.text for r in rows if not r.bare]
+    found = pii.replace_entities(frame(spark, list(enumerate(reported))), "key").collect()
+    assert [(r.n_entities, r.entity_types) for r in found] == [(1, ["phone"])] * 3

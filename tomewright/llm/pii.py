@@ -77,7 +77,7 @@ PATTERN = "|".join(f"(?:{p})" for p in _KINDS.values())
 # What every entity holds at least one of, in tests that are quick where there is nothing to find.
 _MARKS = ["@", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox",
           *(f"{title}{dot} " for title in TITLES for dot in ("", "."))]
-_NUMBERS = r"\d{3}|\d\.\d|[A-Z]{2}\d"
+_NUMBERS = r"\d{3}|\d\.\d|[A-Z]{2}\d|\+\d"
 _HEXADECIMAL = r"[0-9a-f]{32}"
 _NAMED = r"(?i:password|passwd|pwd|secret|token|key)"
 
