@@ -230,11 +230,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     return map_arrow(docs, run, T.StructType(added))
 
 
-def list_array(parts: list[np.ndarray], counts: list[np.ndarray]) -> pa.Array:
+def list_array(parts: list[np.ndarray], counts: list[np.ndarray],
+               kind: pa.DataType = pa.int32()) -> pa.Array:
     values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     lengths = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(offsets),
+                                    pa.array(values.astype(kind.to_pandas_dtype())))
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids",

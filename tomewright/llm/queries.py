@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import (bpe, decontaminate, fingerprints, jaccard, language_id, licenses,
-                            maxent, pii, token_files, toxicity)
-from tomewright.llm.frames import remainder, scratch
+from tomewright.llm import (alignment, bpe, decontaminate, fingerprints, jaccard, language_id,
+                            licenses, maxent, pii, quality, token_files, toxicity, whitening)
+from tomewright.llm.frames import remainder, scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -162,3 +162,31 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 7) == 2
     model, counts = maxent.train(docs.where(~held_out))
     return maxent.score(docs.withColumn("held_out", held_out), model, counts)
+
+
+@register()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.components(vectors, whitening.fit(vectors)).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@register()
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def keep(aligned: DataFrame) -> DataFrame:
+        lines = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+        return aligned.withColumn("groups_sha256", lines).drop("text", "groups")
+
+    aligned, _ = alignment.align_corpus(
+        documents(spark, sf_dir, "text"), tokenizer_path("byte_bpe_50k.json"),
+        tokenizer_path("piece_bpe_32k.model"), keep=keep)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                          "groups_sha256", "n_overlaps")
+
+
+@register()
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 3) == 1
+    measured = written(quality.measure(documents(spark, sf_dir, "text")).drop("text"), "measured")
+    model = quality.train(measured, table(spark, sf_dir, "labels").where(~held_out))
+    return quality.score(measured.withColumn("held_out", held_out), model).drop("stats")
