@@ -133,7 +133,7 @@ def test_words_are_encoded_as_in_whole_texts(libraries):
     with open(JSON, encoding="utf-8") as j, open(MODEL, "rb") as m:
         aligner = alignment.Aligner(j.read(), library_classes(), m.read())
     assert aligner.b.by_word
-    aligner.b.limit = 2000
+    aligner.a.known.limit = aligner.b.known.limit = 50
     given = [t for t in texts() if t]
     out = aligner.column(pa.array(given))
     whole = [plain_groups(libraries, t) for t in given]

@@ -145,3 +145,11 @@ def test_row_sets_are_shingles():
     words = A.words_of(*A.text_buffer(pa.array(["a b c", "", "a b c d e f"])),
                        A.NOT_SPACE)
     assert [len(s) for s in jaccard.row_sets(words, 5)] == [1, 0, 2]
+
+
+def test_words_made_to_share_a_hash_do_not_link(spark):
+    from tests.llm.test_llm_tokens import thue_morse
+
+    rows = [(i, w) for i, w in enumerate(w for k in (6, 10, 12, 16) for w in thue_morse(k))]
+    found = jaccard.jaccard_components(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(i, i) for i, _ in rows]

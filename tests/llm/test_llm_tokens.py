@@ -38,6 +38,14 @@ def reference(vocabulary):
                              mergeable_ranks=vocabulary.ranks)
 
 
+def thue_morse(k):
+    """Two words of 2^k letters that a polynomial modulo a power of two cannot tell apart."""
+    bits = [0]
+    for _ in range(k):
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def encoded(encoder, texts):
     return [ids[first[r]:first[r + 1]].tolist() for at, to, ids, first in encoder.column(
         pa.array(texts, pa.string())) for r in range(to - at)]
@@ -55,8 +63,34 @@ def test_ids_equal_the_library(vocabulary, reference):
         assert row == [(text or "").encode()]
 
 
+@pytest.mark.parametrize("k", [5, 6, 10, 11, 16])
+def test_words_made_to_share_a_hash(vocabulary, reference, k):
+    texts = [*thue_morse(k), " ".join(thue_morse(k))]
+    want = [reference.encode_ordinary(t) for t in texts]
+    assert encoded(bpe.Encoder(vocabulary), texts) == want
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encoder = token_files.LibraryEncoder(file.read(), token_files.library_classes())
+    assert encoded(encoder, texts) == [
+        library.encode(t, add_special_tokens=False).ids for t in texts]
+    one, two = A.words_of(*A.text_buffer(pa.array([" ".join(thue_morse(k))])), A.ALNUM).hash
+    assert one != two
+
+
+def test_bytes_are_compared_where_hashes_agree(vocabulary, reference, monkeypatch):
+    """With a hash that knows only the size, ids are still those of the library."""
+    texts = [t for t in odd_texts()[:400] if t] + ["one two six ten", "two one ten six", "one"]
+    want = [reference.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(bpe.Vocabulary, "whole", lambda self, tokens, places: np.full(
+        len(places), -1, np.int64))  # the vocabulary's slots go by the real hash
+    monkeypatch.setattr(A.ByteRuns, "__call__", lambda self, first, last: (last - first).astype(
+        np.uint64))
+    encoder = bpe.Encoder(vocabulary)
+    assert encoded(encoder, texts) == want and encoded(encoder, texts[::-1]) == want[::-1]
+
+
 def test_perfect_hash(vocabulary):
-    slots = np.sort(vocabulary.slots(A.byte_runs(vocabulary.blob)(
+    slots = np.sort(vocabulary.slots(A.ByteRuns(vocabulary.blob)(
         vocabulary.slot_start, vocabulary.slot_start + vocabulary.slot_size)))
     assert (slots == np.arange(len(vocabulary.ranks))).all()
 

@@ -36,7 +36,7 @@ from tomewright.llm import arrays as A
 from tomewright.llm.bpe import list_array
 from tomewright.llm.csr import Csr
 from tomewright.llm.frames import internal, map_arrow, written
-from tomewright.llm.pretokens import gather
+from tomewright.llm.pretokens import Ids, PreTokens, gather
 from tomewright.llm.token_files import LibraryEncoder, library_classes
 
 #: Pairs whose counts are broadcast; 16 bytes each.
@@ -62,12 +62,12 @@ class PieceEncoder:
     does not hold encode whole texts.
     """
 
-    def __init__(self, model: bytes, limit: int = 64 << 20):
+    def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
 
         self.library = SentencePieceProcessor(model_proto=model)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
-        plain = "  　ﬁ\tÁ \n"
+        plain = "  　ﬁ\tÁ \n"
         self.by_word = (not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
                         and self.library.normalize(plain) == (" " + plain).replace(" ", _SPACE))
         self.bytes = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else
@@ -76,54 +76,42 @@ class PieceEncoder:
         self.size = np.array([len(b) for b in self.bytes], np.int64)
         # A space at the end of a text, which the library gives only behind something.
         self.last_space = self.library.encode("a ")[len(self.library.encode("a")):]
-        self.limit, self.kept = limit, 0
-        self.known: dict[bytes, tuple[int, ...] | None] = {}
+        self.known = Ids()
 
-    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the separately encoded parts of rows begin; each begins with a space."""
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> PreTokens:
+        """The separately encoded parts of rows; each begins with a space."""
+        begins = offsets[:-1][np.diff(offsets) > 0]
         if self.by_word:
             space = data == 0x20
             start = space.copy()
             start[1:] &= ~space[:-1]
-            start[offsets[:-1][np.diff(offsets) > 0]] = True
-            first = np.flatnonzero(start)
-        else:
-            first = offsets[:-1][np.diff(offsets) > 0]
-        return first, np.append(first, len(data))[1:]
+            start[begins] = True
+            begins = np.flatnonzero(start)
+        end = np.append(begins, len(data))[1:]
+        return PreTokens(data, begins, end, np.searchsorted(begins, offsets),
+                         A.ByteRuns(data)(begins, end))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray):
         """``(ids, number of ids of each row, whether each row is given back)``; rows are bytes."""
-        first, end = self.words(data, offsets)
-        blob = data.tobytes()
-        parts = [blob[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
-        new = [p for p in dict.fromkeys(parts) if p not in self.known]
-        size = sum(map(_kept_bytes, new))
-        if self.kept + size > self.limit:
-            self.known.clear()
-            new = list(dict.fromkeys(parts))
-            self.kept, size = 0, sum(map(_kept_bytes, new))
-        self.kept += size
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
+        parts = self.words(data, offsets)
+        ids, count = self.known.look_up(parts, lambda places: self._new(parts, places))
+        totals = np.concatenate([[0], np.cumsum(count)])[parts.first]
+        losses = np.concatenate([[0], np.cumsum(count == 0)])[parts.first]
+        return ids, np.diff(totals), np.diff(losses) == 0
+
+    def _new(self, parts: PreTokens, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some parts; none of a part that they do not give back."""
+        out, counts = [], []
+        for at in range(0, len(places), 4096):
+            some = [parts.text(k) for k in places[at:at + 4096].tolist()]
             for part, ids in zip(some, self.library.encode([p[1:].decode() for p in some],
                                                            num_threads=1), strict=True):
                 if part == b" ":
                     ids = self.last_space
                 same = b"".join([self.bytes[i] for i in ids]) == part
-                self.known[part] = tuple(ids) if same else None
-        got = [self.known[p] for p in parts]
-        lost = np.array([g is None for g in got], bool)
-        count = np.array([len(g) if g is not None else 0 for g in got], np.int64)
-        ids = np.fromiter((i for g in got if g for i in g), np.int64, int(count.sum()))
-        at = np.searchsorted(first, offsets)
-        totals = np.concatenate([[0], np.cumsum(count)])[at]
-        losses = np.concatenate([[0], np.cumsum(lost)])[at]
-        return ids, np.diff(totals), np.diff(losses) == 0
-
-
-def _kept_bytes(part: bytes) -> int:
-    """About what a kept word takes."""
-    return 300 + 6 * len(part)
+                out += ids if same else []
+                counts.append(len(ids) if same else 0)
+        return np.array(out, np.int32), np.array(counts, np.int64)
 
 
 @dataclass

@@ -6,19 +6,23 @@ about ``BLOCK_BYTES``; only a longer single text makes a block larger, so memory
 longest text and not by the size of a batch.
 
 Words and runs of words are named by 64-bit hashes: a polynomial over bytes (over words) modulo
-2^64, taken from running sums, followed by a mixing step.
+2^64, taken from running sums, followed by a mixing step. Such a polynomial can be made to give one
+value for two long runs of bytes, so runs of ``LONG`` bytes and more are named by BLAKE2b.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+#: Bytes from which a run is named by a cryptographic hash.
+LONG = 48
 
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 0xD6E8FEB86659FD93
@@ -80,6 +84,21 @@ class RunHash:
         return mix(run + (last - first).astype(np.uint64) * np.uint64(_BASE))
 
 
+class ByteRuns(RunHash):
+    """Hashes of runs of bytes."""
+
+    def __init__(self, data: np.ndarray):
+        super().__init__(data, _BYTE_POWERS)
+        self.data = data
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        out = super().__call__(first, last)
+        for k in np.flatnonzero(last - first >= LONG).tolist():
+            run = self.data[first[k]:last[k]].tobytes()
+            out[k] = int.from_bytes(blake2b(run, digest_size=8).digest(), "little")
+        return out
+
+
 @dataclass
 class Words:
     """The words of the rows of one block; positions are bytes of ``data``."""
@@ -142,11 +161,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> Words:
     data, offsets = LOWER[data[offsets[0]:offsets[-1]]], offsets - offsets[0]
     start, end = split(data, offsets, keep)
     first = np.searchsorted(start, offsets)
-    return Words(data, offsets, start, end, first, RunHash(data, _BYTE_POWERS)(start, end))
-
-
-def byte_runs(data: np.ndarray) -> RunHash:
-    return RunHash(data, _BYTE_POWERS)
+    return Words(data, offsets, start, end, first, ByteRuns(data)(start, end))
 
 
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -109,8 +109,8 @@ class Vocabulary:
         size = np.array([len(e) for e in entries], np.int64)
         start = np.cumsum(size) - size
         blob = np.frombuffer(b"".join(entries), np.uint8)
-        slots = PerfectHash(A.byte_runs(blob)(start, start + size))
-        slot = slots(A.byte_runs(blob)(start, start + size))
+        slots = PerfectHash(A.ByteRuns(blob)(start, start + size))
+        slot = slots(A.ByteRuns(blob)(start, start + size))
         by_slot = np.empty(len(entries), np.int64)
         by_slot[slot] = np.arange(len(entries))
         id_start, id_size = (np.zeros(int(ids.max()) + 1, np.int64) for _ in range(2))

@@ -45,7 +45,7 @@ _LEVELS = 40
 def _block(data: np.ndarray, offsets: np.ndarray) -> list[str]:
     """Fingerprints of the rows of one block."""
     n, sizes = len(offsets) - 1, np.diff(offsets)
-    runs = A.byte_runs(data)
+    runs = A.ByteRuns(data)
     ends = np.arange(ROLL, len(data) + 1)
     roll = runs(ends - ROLL, ends) >> np.uint64(8)
     # A chunk ends at block size 3 * 2^k where 3 divides the hash and it has k zeros at its end.

@@ -204,7 +204,7 @@ class Matcher:
 
 def _hash_of(word: str) -> int:
     data = np.frombuffer(word.encode(), np.uint8)
-    return int(A.byte_runs(data)(np.array([0]), np.array([len(data)]))[0])
+    return int(A.ByteRuns(data)(np.array([0]), np.array([len(data)]))[0])
 
 
 def _phrase_places(words: A.Words, phrases: dict[str, str]) -> list[tuple[int, str]]:

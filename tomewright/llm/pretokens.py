@@ -92,7 +92,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> PreTokens:
     at = np.flatnonzero(start)
     begin = where[at]
     end = np.append(begin[1:], len(data))
-    return PreTokens(data, begin, end, np.searchsorted(at, rows), A.byte_runs(data)(begin, end))
+    return PreTokens(data, begin, end, np.searchsorted(at, rows), A.ByteRuns(data)(begin, end))
 
 
 def blocks(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, int, PreTokens]]:
@@ -104,28 +104,30 @@ def blocks(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, int, PreT
 class Ids:
     """Ids of pre-tokens met so far, as one array; forgotten when there are ``limit`` of them.
 
-    A pre-token is known by its 64-bit hash and length.
+    A pre-token is looked up by its hash and size, then its bytes are compared.
     """
 
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
+    def __init__(self, limit: int = 400_000, limit_bytes: int = 16 << 20):
+        self.limit, self.limit_bytes = limit, limit_bytes
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.blob = np.zeros(0, np.uint8)
         self.ids = np.zeros(0, np.int32)
+        # Of each key, where its bytes and its ids begin, and how many ids it has.
+        self.place, self.first, self.count = (np.zeros(0, np.int64) for _ in range(3))
 
     def look_up(self, tokens: PreTokens, encode) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pre-tokens of a block, and the number of ids of each.
 
-        ``encode(places)`` gives the ids of the pre-tokens at some places, and their numbers.
+        The pre-tokens follow each other without gaps. ``encode(places)`` gives the ids of the
+        pre-tokens at some places, and their numbers.
         """
-        size = (tokens.end - tokens.start).astype(np.uint64)
-        keys, places, inverse = np.unique(tokens.hash ^ A.mix(size), return_index=True,
-                                          return_inverse=True)
-        if len(self.keys) + len(keys) > self.limit:
+        size = tokens.end - tokens.start
+        keys, places, inverse = np.unique(tokens.hash ^ A.mix(size.astype(np.uint64)),
+                                          return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > self.limit or len(self.blob) > self.limit_bytes:
             self.clear()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
@@ -133,17 +135,31 @@ class Ids:
         known[inside] = self.keys[at[inside]] == keys[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            ids, count = encode(places[new])
-            first = np.cumsum(count) - count + len(self.ids)
-            self.ids = np.concatenate([self.ids, np.asarray(ids, np.int32)])
-            merged = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(merged, kind="stable")
-            self.keys = merged[order]
-            self.first = np.concatenate([self.first, first])[order]
-            self.count = np.concatenate([self.count, count])[order]
+            self._add(tokens, keys[new], places[new], size[places[new]], encode)
             at = np.searchsorted(self.keys, keys)
-        first, count = self.first[at][inverse], self.count[at][inverse]
-        return gather(self.ids, first, count), count
+        at = at[inverse]
+        first, count, ids = self.first[at], self.count[at], self.ids
+        differ = gather(self.blob, self.place[at], size) != tokens.data
+        if differ.any():  # another pre-token of the same hash and size
+            strangers = np.flatnonzero(np.logical_or.reduceat(differ, tokens.start))
+            more, counts = encode(strangers)
+            first[strangers] = len(ids) + np.cumsum(counts) - counts
+            count[strangers] = counts
+            ids = np.concatenate([ids, np.asarray(more, np.int32)])
+        return gather(ids, first, count), count
+
+    def _add(self, tokens: PreTokens, keys: np.ndarray, places: np.ndarray, size: np.ndarray,
+             encode) -> None:
+        ids, count = encode(places)
+        begins = (len(self.blob) + np.cumsum(size) - size, len(self.ids) + np.cumsum(count) - count)
+        self.blob = np.concatenate([self.blob, gather(tokens.data, tokens.start[places], size)])
+        self.ids = np.concatenate([self.ids, np.asarray(ids, np.int32)])
+        merged = np.concatenate([self.keys, keys])
+        order = np.argsort(merged, kind="stable")
+        self.keys = merged[order]
+        self.place, self.first, self.count = (
+            np.concatenate([old, now])[order] for old, now in zip(
+                (self.place, self.first, self.count), (*begins, count), strict=True))
 
 
 def gather(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -45,7 +45,7 @@ def subwords(words: A.Words, places: np.ndarray, shape: Shape) -> tuple[np.ndarr
     offset = inner - begin[owner]
     inside = (offset > 0) & (offset <= size[owner])
     data[inside] = words.data[start[owner[inside]] + offset[inside] - 1]
-    runs = A.byte_runs(data)
+    runs = A.ByteRuns(data)
     found, owners = [runs(begin[:-1], begin[1:])], [np.arange(len(places))]
     for n in shape.grams:
         at = np.flatnonzero(offset + n <= size[owner] + 2)
