@@ -101,9 +101,9 @@ class PieceEncoder:
 
     def _new(self, parts: PreTokens, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some parts; none of a part that they do not give back."""
-        out, counts = [], []
-        for at in range(0, len(places), 4096):
-            some = [parts.text(k) for k in places[at:at + 4096].tolist()]
+        out, counts, texts = [], [], parts.texts(places)
+        for at in range(0, len(texts), 4096):
+            some = texts[at:at + 4096]
             for part, ids in zip(some, self.library.encode([p[1:].decode() for p in some],
                                                            num_threads=1), strict=True):
                 if part == b" ":

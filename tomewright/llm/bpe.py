@@ -195,7 +195,7 @@ class Encoder:
         whole = self.vocabulary.whole(tokens, places)
         count = np.ones(len(places), np.int64)
         misses = np.flatnonzero(whole < 0)
-        merged = [merge(tokens.text(places[k]), self.vocabulary.ranks) for k in misses]
+        merged = [merge(t, self.vocabulary.ranks) for t in tokens.texts(places[misses])]
         count[misses] = [len(m) for m in merged]
         ids = np.empty(int(count.sum()), np.int32)
         hit = np.repeat(whole >= 0, count)

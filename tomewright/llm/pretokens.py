@@ -49,6 +49,11 @@ class PreTokens:
     def text(self, k: int) -> bytes:
         return self.data[self.start[k]:self.end[k]].tobytes()
 
+    def texts(self, places: np.ndarray) -> list[bytes]:
+        blob = self.data.tobytes()
+        return [blob[a:b] for a, b in zip(self.start[places].tolist(), self.end[places].tolist(),
+                                          strict=True)]
+
 
 def cut(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> PreTokens:
     """Pre-tokens of the rows of one block."""
@@ -121,8 +126,7 @@ class Ids:
     def look_up(self, tokens: PreTokens, encode) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pre-tokens of a block, and the number of ids of each.
 
-        The pre-tokens follow each other without gaps. ``encode(places)`` gives the ids of the
-        pre-tokens at some places, and their numbers.
+        ``encode(places)`` gives the ids of the pre-tokens at some places, and their numbers.
         """
         size = tokens.end - tokens.start
         keys, places, inverse = np.unique(tokens.hash ^ A.mix(size.astype(np.uint64)),
@@ -139,9 +143,8 @@ class Ids:
             at = np.searchsorted(self.keys, keys)
         at = at[inverse]
         first, count, ids = self.first[at], self.count[at], self.ids
-        differ = gather(self.blob, self.place[at], size) != tokens.data
-        if differ.any():  # another pre-token of the same hash and size
-            strangers = np.flatnonzero(np.logical_or.reduceat(differ, tokens.start))
+        strangers = np.flatnonzero(unlike(tokens.data, tokens.start, self.blob, self.place[at], size))
+        if len(strangers):  # other pre-tokens of the same hash and size
             more, counts = encode(strangers)
             first[strangers] = len(ids) + np.cumsum(counts) - counts
             count[strangers] = counts
@@ -162,6 +165,31 @@ class Ids:
                 (self.place, self.first, self.count), (*begins, count), strict=True))
 
 
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_BY_WORDS = 64
+
+
+def unlike(one: np.ndarray, at: np.ndarray, two: np.ndarray, place: np.ndarray,
+           size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of two runs of one size differ, for many runs: eight bytes at a time."""
+    def eights(data: np.ndarray) -> np.ndarray:
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+    ones, twos = eights(one), eights(two)
+    out = np.zeros(len(size), dtype=bool)
+    left = np.arange(len(size))
+    for skip in range(0, _BY_WORDS, 8):
+        first = _FIRST_BYTES[np.minimum(size[left] - skip, 8)]
+        out[left] = (ones[at[left] + skip] ^ twos[place[left] + skip]) & first != 0
+        left = left[(size[left] > skip + 8) & ~out[left]]
+        if not len(left):
+            return out
+    for k in left.tolist():  # long runs are few
+        out[k] = not np.array_equal(one[at[k]:at[k] + size[k]], two[place[k]:place[k] + size[k]])
+    return out
+
+
 def gather(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """``values[first:first + count]`` for all ranges, one after another."""
     total = int(count.sum())

@@ -78,9 +78,9 @@ class LibraryEncoder:
             yield at, to, ids, np.concatenate([[0], np.cumsum(count)])[tokens.first]
 
     def _new(self, tokens: P.PreTokens, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [], []
+        ids, counts, texts = [], [], tokens.texts(places)
         for at in range(0, len(places), 4096):
-            words = [tokens.text(k).decode() for k in places[at:at + 4096]]
+            words = [t.decode() for t in texts[at:at + 4096]]
             got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(got.ids, np.int32))
             counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)))
