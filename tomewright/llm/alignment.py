@@ -37,7 +37,7 @@ from tomewright.llm.bpe import list_array
 from tomewright.llm.csr import Csr
 from tomewright.llm.frames import internal, map_arrow, written
 from tomewright.llm.pretokens import Ids, PreTokens, gather
-from tomewright.llm.token_files import LibraryEncoder, library_classes
+from tomewright.llm.token_files import LibraryEncoder, byte_letters, library_classes
 
 #: Pairs whose counts are broadcast; 16 bytes each.
 FREQUENT = 400_000
@@ -139,7 +139,7 @@ class Aligner:
         self.a = LibraryEncoder(tokenizer_json, classes)
         self.b = PieceEncoder(model)
         sizes = self.a.library.get_vocab_size()
-        letters = _byte_letters()
+        letters = byte_letters()
         names = [self.a.library.id_to_token(i) for i in range(sizes)]
         entries = [bytes(letters[c] for c in n) if set(n) <= letters.keys() else n.encode()
                    for n in names]
@@ -279,13 +279,6 @@ def _sum_by(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return np.diff(sums[np.searchsorted(row, np.arange(rows + 1))])
 
 
-def _byte_letters() -> dict[str, int]:
-    """The characters that stand for bytes in byte-level names: printable Latin-1, then 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 def align(docs: DataFrame, tokenizer_path: str, model_path: str, text: str = "text") -> DataFrame:
     """``docs`` with their numbers of tokens, groups and links, the groups, and linked pairs of ids.
 

@@ -58,6 +58,13 @@ def library_classes() -> np.ndarray:
     return P.classes(find)
 
 
+def byte_letters() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level names: printable Latin-1, then 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library; a distinct pre-token is given to it once."""
 
@@ -69,6 +76,8 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_str(tokenizer_json)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.classes, self.known = classes, P.Ids()
 
     def column(self, column: pa.Array):
@@ -78,13 +87,18 @@ class LibraryEncoder:
             yield at, to, ids, np.concatenate([[0], np.cumsum(count)])[tokens.first]
 
     def _new(self, tokens: P.PreTokens, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts, texts = [], [], tokens.texts(places)
-        for at in range(0, len(places), 4096):
-            words = [t.decode() for t in texts[at:at + 4096]]
-            got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(got.ids, np.int32))
-            counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)))
-        return np.concatenate(ids), np.concatenate(counts)
+        # The library's model takes a pre-token with a character for each byte.
+        size = tokens.end[places] - tokens.start[places]
+        letters = P.gather(tokens.data, tokens.start[places], size).tobytes().decode(
+            "latin-1").translate(self.letters)
+        cuts = np.concatenate([[0], np.cumsum(size)]).tolist()
+        ids: list[int] = []
+        counts = np.zeros(len(places), np.int64)
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            found = self.model.tokenize(letters[a:b])
+            ids += [t.id for t in found]
+            counts[k] = len(found)
+        return np.array(ids, np.int32), counts
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, text: str = "text",
