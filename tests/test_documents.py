@@ -1,10 +1,12 @@
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from tomewright.config import KbConfig
-from tomewright.operators import changes, documents, gather, index, ordering, query, query_batch
+from tomewright.operators import (changes, documents, gather, index, ordering, query, query_batch,
+                                   segments)
 from tomewright.operators.tables import KnowledgeBase, read_kb, write_kb
 from tomewright.plans import assemble, directory, model
 from tomewright.sources import files as sources
@@ -91,8 +93,96 @@ def test_written_documents_read_back(spark, kb, tmp_path):
     got = documents.read_written(spark, str(tmp_path / "docs"))
     want = {r.filename: r.document for r in documents.render_documents(kb).collect()}
     assert {r.filename: r.document for r in got.collect()} == want
-    entries = documents.load_entries(got, AS_OF)
-    assert entries.count() == len(want)
+    back = documents.load_written(spark, str(tmp_path / "docs"), AS_OF)
+    assert back.large is None
+    assert sorted(back.rows.collect()) == sorted(documents.read_back(kb, AS_OF).rows.collect())
+
+
+def same_entries(whole, split):
+    """Entries as rows, and as tables, hold the same."""
+    held = {r.filename: r for r in whole.collect()}
+    entries = split.entries.collect()
+    assert {r.filename for r in entries} == set(held)
+    for r in entries:
+        want = held[r.filename]
+        assert (r.title, r.description, r.category, r.updated_at, r.n_sources) == (
+            want.title, want.description, want.category, want.updated_at,
+            len(want.source_files)), r.filename
+        for name, column in (("tags", "tags"), ("related", "related"),
+                             ("sources", "source_files")):
+            rows = getattr(split, name).where(F.col("filename") == r.filename)
+            assert [x.value for x in rows.orderBy("at").collect()] == want[column], (
+                r.filename, name)
+        body = split.body.where(F.col("filename") == r.filename).orderBy("part", "pos", "key")
+        assert "".join(x.text for x in body.collect()) == want.content, r.filename
+
+
+@pytest.mark.parametrize("max_pieces", [1, 2, 5, 4096])
+def test_odd_documents_in_blocks(spark, monkeypatch, max_pieces):
+    """Headers with all that the grammar trips over, cut anywhere."""
+    items = "".join(f"  - v{k}\n" for k in range(12))
+    docs = {
+        "valid.md": VALID, "none.md": "no header\n" + items, "open.md": "---\ntitle: x\n" + items,
+        "runs.md": f"---\ntitle: \"a\"\ntags:\n{items}related:\nsourceFiles:\n{items}---\n\n body \n",
+        "next.md": f"---\ntags:\nrelated:\nsourceFiles:\n{items}---x",
+        "value.md": f"---\ndescription:\n{items}title:\n{items}tags: z\n{items}---\n\n\n",
+        "names.md": f"---\n{items}  - has tags: in it\n{items}related:\n{items}---\nb",
+        "quotes.md": f'---\ntitle: "opens\n{items}  - closes"\n{items}tags:\n{items}---\nb',
+        "dashes.md": f"---\ntags:\n{items}  - a---b\n{items}---\nb",
+        "tight.md": f"---tags:\n{items}---", "blank.md": f"---\n\n\n  title: t\n\n{items}\n---\n \n",
+        "mixed.md": f"---\ntags:\n{items}\n{items}x\n\t- tab\n- bare\n -no\n{items}---\n" + "b\n" * 50,
+        "cr.md": "---\r\ntags:\r\n" + items.replace("\n", "\r\n") + "---\r\nb\r\n",
+        "lone-cr.md": f"---\ntags:\n{items}  - q\rtitle: x\n{items}---\nb"}
+    rng = random.Random(max_pieces)
+    rows = []
+    for name, doc in docs.items():
+        at = 0
+        while at < len(doc):
+            n = rng.randint(1, 9)
+            rows.append((name, len(rows), doc[at:at + n]))
+            at += n
+    monkeypatch.setattr(segments, "BLOCK_PIECES", max_pieces)
+    pieces = spark.createDataFrame(rows, "filename string, at int, text string")
+    blocks = segments.blocks(pieces, "filename", ["at"]).withColumnRenamed("text", "document")
+    whole = documents.load_entries(spark.createDataFrame(
+        list(docs.items()), "filename string, document string"), AS_OF)
+    same_entries(whole, documents.load_blocks(blocks, AS_OF))
+
+
+def test_an_entry_of_many_sources_reads_back(spark, tmp_path):
+    n = 300_000
+    names = spark.range(n).select(F.lit("big.md").alias("filename"), F.struct(
+        F.lit(0).cast("long").alias("part"), F.col("id").alias("pos"), F.lit("").alias("key"))
+        .alias("at"), F.concat(F.lit("src/dir/file"), F.col("id"), F.lit(".ts")).alias("value"))
+    entry = spark.range(1).select(
+        F.lit("big.md").alias("filename"), F.lit("t").alias("title"), F.lit("d").alias("description"),
+        F.lit("module").alias("category"), F.lit(AS_OF).alias("updated_at"),
+        F.lit(n).cast("long").alias("n_sources"))
+    body = names.select("filename", F.lit(0).alias("part"), F.col("at.pos").alias("pos"),
+                        F.lit("").alias("key"), F.concat("value", F.lit("\n")).alias("text"))
+    kb = KnowledgeBase.of(entry, tags=names.where("at.pos < 3"), sources=names, body=body)
+    documents.write_documents(kb, str(tmp_path / "docs"))
+    for max_chars in (1_000, 3_000_000):
+        back = documents.load_written(spark, str(tmp_path / "docs"), AS_OF, max_chars)
+        assert back.rows.count() == 0
+        row = back.large.entries.collect()[0]
+        assert (row.filename, row.title, row.n_sources) == ("big.md", "t", n)
+        for table in (back.large.sources, back.large.related):  # an empty list reads on
+            got = [r.value for r in table.orderBy("at").collect()]
+            assert got == [f"src/dir/file{k}.ts" for k in range(n)]
+        assert [r.value for r in back.large.tags.orderBy("at").collect()] == [
+            f"src/dir/file{k}.ts" for k in range(3)]
+        text = "".join(r.text for r in back.large.body.orderBy("pos").collect())
+        assert text == "\n".join(f"src/dir/file{k}.ts" for k in range(n))
+
+
+def test_stored_parts_must_be_there(spark, kb, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    stored(spark, kb, str(tmp_path / "split"), max_chars=400)
+    shutil.rmtree(tmp_path / "split/large/tags")
+    with pytest.raises(AnalysisException):
+        documents.read_stored(spark, str(tmp_path / "split")).large.tags.collect()
 
 
 KEY = ["-----BEGIN RSA PRIVATE KEY-----\n", "MIIEsecretsecret\n", "moresecret\n",
@@ -131,27 +221,16 @@ def odd_kb(spark):
 
 
 def test_entries_of_every_size_read_back_alike(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(documents.redact_pieces, "__defaults__", (3,))
+    monkeypatch.setattr(segments, "BLOCK_PIECES", 3)
     write_kb(odd_kb(spark), str(tmp_path / "kb"))
     kb = read_kb(spark, str(tmp_path / "kb"))
     whole, split = stored(spark, kb, str(tmp_path / "whole")), stored(
         spark, kb, str(tmp_path / "split"), max_chars=1)
     assert split.rows.count() == 0 and whole.large is None
+    same_entries(whole.rows, split.large)
     held = {r.filename: r for r in whole.rows.collect()}
-    for r in split.large.entries.collect():
-        want = held[r.filename]
-        assert (r.title, r.description, r.category, r.updated_at, r.n_sources) == (
-            want.title, want.description, want.category, want.updated_at,
-            len(want.source_files)), r.filename
-        for name, column in (("tags", "tags"), ("related", "related"),
-                             ("sources", "source_files")):
-            rows = getattr(split.large, name).where(F.col("filename") == r.filename)
-            assert [x.value for x in rows.orderBy("at").collect()] == want[column], (
-                r.filename, name)
-        body = split.large.body.where(F.col("filename") == r.filename).orderBy("part", "pos", "key")
-        text = "".join(x.text for x in body.collect())
-        assert text.strip() == want.content, r.filename
-        assert "secret" not in text and "filler" not in text and "hunter2" not in text
+    text = "".join(r.content for r in held.values())
+    assert "secret" not in text and "filler" not in text and "hunter2" not in text
     assert held["key.md"].content.count("[REDACTED]") == 2
     for q, c in (("hi", None), ("src", "module"), ("k.pem", None), ("p---q", None), ("tags", None)):
         assert query.kb_query(whole, q, c).collect() == query.kb_query(split, q, c).collect(), q

@@ -79,15 +79,15 @@ def _regex(name: str, pattern: str, flags: str) -> str:
     return begins + jvm(pattern, flags)
 
 
-_RULES_JSON = json.dumps([
+_RULES = [
     {"name": name, "regex": _regex(name, pattern, flags), "replacement": replacement,
      "needs": _NEEDS.get(name, [])}
-    for name, pattern, flags, replacement in K.SECRET_PATTERNS])
+    for name, pattern, flags, replacement in K.SECRET_PATTERNS]
 _RULES_TYPE = "array<struct<name:string,regex:string,replacement:string,needs:array<string>>>"
 
 
-def redaction(c: Column) -> Column:
-    """``struct(content, redactions, triggered)`` of a text after all rewrites.
+def redaction(c: Column, names: list[str] | None = None) -> Column:
+    """``struct(content, redactions, triggered)`` of a text after all rewrites, or those named.
 
     ``redactions`` counts the secrets replaced and ``triggered`` names the patterns that fired,
     in firing order. A match that is rewritten to itself counts for nothing.
@@ -110,7 +110,8 @@ def redaction(c: Column) -> Column:
     start = F.struct(c.alias("content"), F.lit(0).alias("redactions"),
                      F.array().cast("array<string>").alias("triggered"))
     # A constant: the optimizer reads the JSON once, not the tasks.
-    rules = F.from_json(F.lit(_RULES_JSON), _RULES_TYPE)
+    wanted = [r for r in _RULES if names is None or r["name"] in names]
+    rules = F.from_json(F.lit(json.dumps(wanted)), _RULES_TYPE)
     possible = let(F.lower(c), lambda low: F.filter(rules, lambda r: may_fire(r, low)))
     return F.when(c.isNotNull(), F.aggregate(possible, start, fire))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +12,10 @@ from pyspark.sql.window import Window
 from tomewright import constants as K
 from tomewright.functions import frontmatter as fm
 from tomewright.functions import secrets, text
+from tomewright.functions.regex import WS
+from tomewright.operators import segments
 from tomewright.operators.gather import gather_text
-from tomewright.operators.ordering import freeze, with_ordinal
+from tomewright.operators.ordering import freeze
 from tomewright.operators.tables import AT, KnowledgeBase, read_kb, write_kb
 
 # An entry is put together as one document up to this many characters.
@@ -151,158 +153,157 @@ def read_back(kb: KnowledgeBase, as_of: str, *, max_chars: int = MAX_DOCUMENT_CH
     the work is done, not what comes out.
     """
     large = freeze(large_entries(document_pieces(kb), max_chars))
-    if large.isEmpty():
-        return StoredKb(load_entries(list_entries(render_documents(kb, large)), as_of))
     rows = load_entries(list_entries(render_documents(kb, large)), as_of)
-    return StoredKb(rows, _read_large(kb.only(F.broadcast(large)), as_of))
+    if large.isEmpty():
+        return StoredKb(rows)
+    pieces = list_entries(written_pieces(kb.only(F.broadcast(large))))
+    return StoredKb(rows, load_blocks(_blocks(pieces), as_of))
+
+
+def _blocks(pieces: DataFrame) -> DataFrame:
+    return segments.blocks(pieces, "filename", ["section", "at"]).withColumnRenamed(
+        "text", "document")
 
 
-# Stands for all rows of a list in the short header of a large entry.
-_ALL = "\u0001all of "
-_LISTS = {1: "tags", 3: "related", 5: "sources"}  # by section
+# A line of a list that decides nothing but its own value: a value, no quote, no line end of another
+# kind, and no place that reads like the name of a list.
+_ITEM = (rf'[ \t]*+- (?=[^\n]*[^{WS}])(?:(?!tags:|related:|sourceFiles:)[^"\n\r\x{{2028}}\x{{2029}}])*+\n')
+# Such lines between two others of their kind. The first of a run may be read as the value of the
+# line before it, so it stays.
+_RUN = rf"(?<![^\n])({_ITEM})((?:{_ITEM}(?={_ITEM}))++)"
 
 
-def _read_large(kb: KnowledgeBase, as_of: str) -> KnowledgeBase:
-    """What the documents of ``kb`` read back as, without putting one together.
+def load_blocks(docs: DataFrame, as_of: str) -> KnowledgeBase:
+    """Documents given as ordered blocks (``filename, block, document``), read like whole ones.
 
-    The header ends at the first ``---`` of any piece. What stands before it is read from a short
-    header, in which one line stands for each list's rows; what comes after it is body.
+    Nothing of an entry is gathered but a short header, in which one line stands for each run of
+    plain list lines within a block. It is read by the rules for whole documents; a line that stands
+    for a run is then replaced by the run's rows. Text behind the header stays in blocks.
     """
-    pieces = document_pieces(kb)
-    header = pieces.where(F.col("section") < BODY)
-    # The first piece begins with the dashes that open the header.
-    ends = F.when(F.col("section") == 0, F.locate("---", F.col("text"), 4)).otherwise(
-        F.locate("---", F.col("text")))
-    place = F.struct("section", "at")
-    cut = freeze(header.withColumn("end", ends).where("end > 0").groupBy("filename").agg(
-        F.min(F.struct("section", "at", "text", "end")).alias("cut")))
-    # A row for each entry, which may be joined with many rows of one entry.
-    known = header.join(cut, "filename").withColumn("here", F.when(
-        place < F.struct("cut.section", "cut.at"), F.col("text")).when(
-        place == F.struct("cut.section", "cut.at"), F.substring("text", F.lit(1), F.col("cut.end") - 1)))
-    seen = known.where("here IS NOT NULL")
-    whole = F.lit(None).cast("string")
-    for section, name in _LISTS.items():
-        whole = F.when((F.col("section") == section) & (F.col("here") == F.col("text")),
-                       F.lit(f"  - {_ALL}{name}\n")).otherwise(whole)
-    short = (seen.withColumn("line", F.coalesce(whole, "here"))
-             .groupBy("filename", "section", "line").agg(F.min("at").alias("at"))
-             .groupBy("filename").agg(F.sort_array(F.collect_list(F.struct(
-                 "section", (F.col("line").startswith("  - ") & ~F.contains(
-                     F.col("line"), F.lit(_ALL))).alias("own"), "at", "line"))).alias("lines")))
+    lines = freeze(segments.recut(docs.select("filename", "block", F.col("document").alias("text")),
+                                  "filename", segments.LINES))
+    first = lines.groupBy("filename").agg(F.min("block").alias("first"))
+    placed = lines.join(first, "filename").withColumn("opens", F.col("block") == F.col("first"))
+    raw, here = F.col("text"), F.col("block")
+    end = F.when(~F.col("opens"), F.locate("---", raw)).otherwise(fm.header_end(raw))
+    cuts = freeze(
+        placed.withColumn("end", end).groupBy("filename").agg(
+            F.min(F.when(F.col("end") > 0, F.struct("block", "end"))).alias("cut"),
+            F.max(F.col("opens") & F.startswith(raw, F.lit("---"))).alias("has"))
+        .where("has AND cut IS NOT NULL").select("filename", "cut.*")
+        .withColumnRenamed("block", "at"))
+    parts = freeze(placed.join(cuts, "filename").where(F.col("filename").isNotNull()))
+
+    mark = f"\u0001{uuid.uuid4().hex}:"  # of this call, so no text holds it
+    begin = F.when(F.col("opens"), 4).otherwise(1)
+    stop = F.when(here == F.col("at"), F.col("end") - begin).otherwise(F.lit(fm.END))
+    header = parts.where(here <= F.col("at")).select(
+        "filename", "block", F.substring("text", begin, stop).alias("text"))
+    marked = F.split(F.regexp_replace("text", _RUN, f"$1  - {mark}\n"), mark)
+    numbered = F.array_join(F.transform(marked, lambda p, k: F.when(k > 0, F.concat(
+        F.lit(mark), F.col("block"), F.lit(":"), k - 1, p)).otherwise(p)), "")
+    short = header.groupBy("filename").agg(F.sort_array(F.collect_list(F.struct(
+        "block", numbered.alias("text")))).alias("lines"))
     read = freeze(load_entries(short.select("filename", F.concat(
-        F.array_join(F.transform("lines", lambda x: x.line), ""), F.lit("---\n"))
+        F.lit("---"), F.array_join(F.transform("lines", lambda x: x.text), ""), F.lit("---\n"))
         .alias("document")), as_of))
 
-    visible = {name: getattr(kb, name).join(cut, "filename").where(F.struct(
-        F.lit(section).alias("section"), "at") < F.struct("cut.section", "cut.at"))
-        .select("filename", "at", "value") for section, name in _LISTS.items()}
-    lists = {}
+    runs = header.select("filename", F.col("block").cast("string").alias("of"), F.posexplode(
+        F.regexp_extract_all("text", F.lit(_RUN), F.lit(2))).alias("nth", "run"))
+    values = F.transform(F.filter(F.split("run", "\n"), lambda line: line != ""),
+                         lambda line: text.trim(F.substring(text.trim(line), F.lit(3), F.lit(fm.END))))
+    tables = {}
     for name, column in (("tags", "tags"), ("related", "related"), ("sources", "source_files")):
-        items = read.select("filename", F.posexplode(column).alias("n", "value"))
-        literal = items.where(~F.col("value").startswith(_ALL)).select(
-            "filename", F.struct(F.lit(2**40).alias("part"), F.col("n").cast("long").alias("pos"),
-                                 F.lit("").alias("key")).cast(AT).alias("at"), "value")
-        rows = literal
-        for other in _LISTS.values():
-            wants = items.where(F.col("value") == f"{_ALL}{other}").select("filename")
-            rows = rows.unionByName(visible[other].join(F.broadcast(wants), "filename",
-                                                        "left_semi"))  # one row per large entry
-        lists[name] = rows
-    counts = lists["sources"].groupBy("filename").agg(F.count("*").alias("n_sources"))
-    entries = read.join(counts, "filename", "left").withColumn(
+        items = read.select("filename", F.posexplode(column).alias("pos", "value"))
+        stands = F.startswith("value", F.lit(mark))
+        named = F.split(F.substring("value", len(mark) + 1, fm.END), ":")
+        of_runs = (items.where(stands).select("filename", "pos", named[0].alias("of"),
+                                              named[1].cast("int").alias("nth"))
+                   .join(runs, ["filename", "of", "nth"])
+                   .select("filename", "pos", F.posexplode(values).alias("line", "value")))
+        rows = items.where(~stands).withColumn("line", F.lit(0)).unionByName(of_runs)
+        tables[name] = rows.select(
+            "filename", F.struct(F.col("pos").cast("long").alias("part"), F.col("line").cast("long")
+                                 .alias("pos"), F.lit("").alias("key")).cast(AT).alias("at"), "value")
+    counts = tables["sources"].groupBy("filename").agg(F.count("*").alias("n_sources"))
+    entries = _with_runs(read, runs, mark).join(counts, "filename", "left").withColumn(
         "n_sources", F.coalesce("n_sources", F.lit(0)))
-
-    def as_body(rows: DataFrame, text) -> DataFrame:
-        """Header pieces behind the cut, in front of the body."""
-        return rows.select("filename", (F.col("section") - 2 * BODY).cast("int").alias("part"),
-                           (F.shiftleft(F.col("at.part"), 31) + F.col("at.pos")).alias("pos"),
-                           F.col("at.key").alias("key"), text.alias("text"))
-
-    behind = header.join(cut, "filename")
-    rest = as_body(behind.where(place == F.struct("cut.section", "cut.at")),
-                   F.substring("text", F.col("cut.end") + 3, F.lit(fm.END))).unionByName(
-        as_body(behind.where(place > F.struct("cut.section", "cut.at")), F.col("text")))
-    gap = cut.where("cut.section < 6").select(
-        "filename", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("pos"),
-        F.lit("").alias("key"), F.lit("\n\n").alias("text"))
-    body = rest.where("text <> ''").unionByName(gap).unionByName(redact_pieces(kb.body))
-    return KnowledgeBase.of(entries, tags=lists["tags"], related=lists["related"],
-                            sources=lists["sources"], body=body)
-
-
-# How a block that names a private key begins and ends, whatever its kind.
-_KEY_BEGINS = r"(?i)-----BEGIN\s+(?:RSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----"
-_KEY_ENDS = r"(?i)-----END\s+(?:RSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----"
-_KEY_GONE = "-----BEGIN PRIVATE KEY-----[REDACTED]-----END PRIVATE KEY-----"
-_BLOCK_PIECES = 4096
-
-
-def redact_pieces(body: DataFrame, block: int = _BLOCK_PIECES) -> DataFrame:
-    """Redacted bodies, kept as pieces of up to ``block`` old ones.
-
-    Pieces are joined before they are redacted, so a secret may go over several. A private key may
-    go over any number of blocks: what lies between its begin and its end is dropped.
-    """
-    numbered = with_ordinal(body, "filename", "part", "pos", "key")
-    blocks = numbered.groupBy("filename", F.floor(F.col("ordinal") / block).alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("ordinal", "text"))).alias("p"))
-    joined = secrets.redact(blocks.select("filename", "block", F.array_join(
-        F.transform("p", lambda x: x.text), "").alias("text")), "text")
-    # Pairs within a block are gone; a lone begin stands behind the last end, a lone end in front
-    # of the first begin.
-    tail = F.element_at(F.split("text", _KEY_ENDS, -1), -1)
-    head = F.element_at(F.split("text", _KEY_BEGINS, -1), 1)
-    marked = freeze(joined.withColumn("opens", tail.rlike(_KEY_BEGINS)).withColumn(
-        "closes", head.rlike(_KEY_ENDS)))
-    ahead = Window.partitionBy("filename").orderBy("block")
-    flags = marked.select("filename", "block", "opens", "closes")
-    before = ahead.rowsBetween(Window.unboundedPreceding, -1)
-    after = ahead.rowsBetween(1, Window.unboundedFollowing)
-    block_if = lambda flag: F.when(F.col(flag), F.col("block"))
-    states = (flags.withColumn("opened", F.max(block_if("opens")).over(before))
-              .withColumn("closed", F.max(block_if("closes")).over(before))
-              .withColumn("will_close", F.min(block_if("closes")).over(after)))
-    inside = F.col("opened").isNotNull() & (F.coalesce("closed", F.lit(-1)) <= F.col("opened"))
-    states = states.select(
-        "filename", "block", (inside & F.col("closes")).alias("ends"),
-        (inside & ~F.col("closes") & F.col("will_close").isNotNull()).alias("within"),
-        (F.col("opens") & F.col("will_close").isNotNull()).alias("begins"))
-    text = F.col("text")
-    without_end = F.when(F.col("ends"), F.regexp_replace(
-        text, rf"\A(?s:.)*?{_KEY_ENDS}", "")).otherwise(text)
-    done = marked.join(states, ["filename", "block"]).withColumn("text", F.when(
-        F.col("within"), F.lit("")).when(F.col("begins"), F.concat(
-            F.regexp_replace(without_end, rf"{_KEY_BEGINS}(?!(?s:.)*{_KEY_ENDS})(?s:.)*\z", ""),
-            F.lit(_KEY_GONE))).otherwise(without_end))
-    return done.where("text <> ''").select(
+    rest = parts.where(here >= F.col("at")).select("filename", "block", F.when(
+        here == F.col("at"), F.substring("text", F.col("end") + 3, F.lit(fm.END)))
+        .otherwise(raw).alias("text"))
+    body = _trimmed(rest).select("filename", F.lit(0).alias("part"), F.col("block").alias("pos"),
+                                 F.lit("").alias("key"), "text")
+    return KnowledgeBase.of(entries, body=body, **tables)
+
+
+def _with_runs(read: DataFrame, runs: DataFrame, mark: str) -> DataFrame:
+    """Entries whose quoted values go over lines that stand for runs, with the runs' lines."""
+    fields = ["title", "description", "category", "updated_at"]
+    values = read.select("filename", F.explode(F.array(*[F.struct(
+        F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("f")).select(
+            "filename", "f.*").where(F.contains("value", F.lit(mark)))
+    part = F.col("part")
+    parts = values.select("filename", "field", F.posexplode(F.split("value", f"  - {mark}"))
+                          .alias("n", "part"))
+    named = F.split(F.substring_index(part, "\n", 1), ":")
+    behind = F.substring(part, F.locate("\n", part) + 1, F.lit(fm.END))
+    filled = (parts.withColumn("of", F.when(F.col("n") > 0, named[0]))
+              .withColumn("nth", F.when(F.col("n") > 0, F.try_element_at(named, F.lit(2))
+                                        .try_cast("int")))
+              .join(runs, ["filename", "of", "nth"], "left")
+              .withColumn("part", F.when(F.col("n") > 0, F.concat("run", behind)).otherwise(part))
+              .groupBy("filename").pivot("field", fields)
+              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "part"))),
+                                            lambda x: x.part), "")))
+    filled = filled.withColumnsRenamed({f: f"__{f}" for f in fields})
+    return read.join(filled, "filename", "left").withColumns(
+        {f: F.coalesce(F.nullif(f"__{f}", F.lit("")), f) for f in fields}).drop(*[f"__{f}" for f in fields])
+
+
+def _trimmed(rows: DataFrame) -> DataFrame:
+    """Blocks without the white space around the whole text of each file."""
+    seen = F.when(text.trim(F.col("text")) != "", F.col("block"))
+    bounds = rows.groupBy("filename").agg(F.min(seen).alias("from"), F.max(seen).alias("to"))
+    kept = rows.join(bounds, "filename").where(F.col("block").between(F.col("from"), F.col("to")))
+    left = F.when(F.col("block") == F.col("from"), F.regexp_replace(
+        "text", rf"\A[{WS}]++", "")).otherwise(F.col("text"))
+    return kept.withColumn("text", left).withColumn("text", F.when(
+        F.col("block") == F.col("to"), F.regexp_replace("text", rf"(?<![{WS}])[{WS}]++\z", ""))
+        .otherwise(F.col("text"))).select("filename", "block", "text")
+
+
+def redact_pieces(body: DataFrame, max_pieces: int | None = None,
+                  max_chars: int | None = None) -> DataFrame:
+    """Redacted bodies in pieces: those of the whole redacted body, whatever is over their borders."""
+    joined = segments.blocks(body, "filename", ["part", "pos", "key"], max_pieces=max_pieces,
+                             max_chars=max_chars)
+    return segments.redact_blocks(joined, "filename").where("text <> ''").select(
         "filename", F.lit(0).alias("part"), F.col("block").alias("pos"), F.lit("").alias("key"),
         "text")
 
 
 def write_stored(kb: StoredKb, path: str) -> None:
-    """Write what queries read, so that they need not put documents together again."""
+    """Write what queries read, so that they need not put documents together again.
+
+    The list of parts is written last: without it nothing is read.
+    """
     kb.rows.write.parquet(f"{path}/rows")
     if kb.large is not None:
         write_kb(kb.large, f"{path}/large")
+    (kb.rows.sparkSession.range(1).select(F.lit(kb.large is not None).alias("has_large"))
+     .coalesce(1).write.parquet(f"{path}/parts"))
 
 
 def read_stored(spark: SparkSession, path: str) -> StoredKb:
+    """What ``write_stored`` wrote; a part that is missing is an error."""
+    parts = spark.read.schema("has_large boolean").parquet(f"{path}/parts").first()
     rows = spark.read.parquet(f"{path}/rows")
-    try:
-        return StoredKb(rows, read_kb(spark, f"{path}/large"))
-    except AnalysisException:  # no entry was large
-        return StoredKb(rows)
-
+    return StoredKb(rows, read_kb(spark, f"{path}/large") if parts["has_large"] else None)
 
-def write_documents(kb: KnowledgeBase, path: str) -> None:
-    """Documents as a table of ordered pieces below ``path``, which ``read_written`` reads.
 
-    Rows are spread by range and sorted, so an entry with many lines is written in parallel and a
-    reader of some entries opens few files.
-    """
-    pieces = document_pieces(kb)
-    header = pieces.where(F.col("section") < BODY)
+def written_pieces(kb: KnowledgeBase) -> DataFrame:
+    """Documents as they are written: ordered pieces, with redacted bodies."""
+    header = document_pieces(kb).where(F.col("section") < BODY)
     body = redact_pieces(kb.body).select(
         "filename", F.lit(BODY).alias("section"),
         F.struct(F.col("part").cast("long").alias("part"), "pos", "key").alias("at"), "text")
@@ -315,20 +316,47 @@ def write_documents(kb: KnowledgeBase, path: str) -> None:
         F.struct(at(-1).alias("at"), F.lit("\n\n").alias("text")),
         F.struct(at(2**62).alias("at"), F.lit("\n").alias("text")))).alias("p")).select(
             "filename", "section", "p.at", "p.text")
+    return header.unionByName(body).unionByName(around)
+
+
+def write_documents(kb: KnowledgeBase, path: str) -> None:
+    """Documents as a table of ordered pieces below ``path``, which ``load_written`` reads.
+
+    Rows are spread by range and sorted, so an entry with many lines is written in parallel and a
+    reader of some entries opens few files.
+    """
     order = ["filename", "section", "at"]
-    (header.unionByName(body).unionByName(around).repartitionByRange(*order)
-     .sortWithinPartitions(*order).write.parquet(path))
+    (written_pieces(kb).repartitionByRange(*order).sortWithinPartitions(*order)
+     .write.parquet(path))
+
+
+def load_written(spark: SparkSession, path: str, as_of: str,
+                 max_chars: int = MAX_DOCUMENT_CHARS) -> StoredKb:
+    """Entries of what ``write_documents`` wrote, of any size.
+
+    Those of more than ``max_chars`` are read block by block, to the same result.
+    """
+    pieces = list_entries(spark.read.parquet(path))
+    large = freeze(large_entries(pieces, max_chars))
+    few = F.broadcast(large)  # each has more than max_chars of all characters
+    small = gather_text(pieces.join(few, "filename", "left_anti"), "filename", ["section", "at"],
+                        max_chars=max_chars)
+    rows = load_entries(small.select("filename", F.col("text").alias("document")), as_of)
+    if large.isEmpty():
+        return StoredKb(rows)
+    return StoredKb(rows, load_blocks(_blocks(pieces.join(few, "filename", "left_semi")), as_of))
 
 
 def read_written(spark: SparkSession, path: str,
                  max_chars: int = MAX_DOCUMENT_CHARS) -> DataFrame:
-    """``filename, document`` of what ``write_documents`` wrote.
+    """``filename, block, document``: the texts that ``write_documents`` wrote.
 
-    A document of more than ``max_chars`` is several rows, told apart and ordered by ``block``.
+    A document of more than ``max_chars`` is several rows, told apart and ordered by ``block``;
+    ``load_written`` reads entries of any size.
     """
-    pieces = spark.read.parquet(path)
-    return list_entries(gather_text(pieces, "filename", ["section", "at"], max_chars=max_chars)
-                        .select("filename", "block", F.col("text").alias("document")))
+    pieces = list_entries(spark.read.parquet(path))
+    return gather_text(pieces, "filename", ["section", "at"], max_chars=max_chars).select(
+        "filename", "block", F.col("text").alias("document"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.operators.ordering import freeze, with_ordinal
+from tomewright.operators import segments
+from tomewright.operators.ordering import freeze
 
 MAX_CHARS = 16_000_000
-_BLOCK_PIECES = 4096
 
 
 def gather_text(pieces: DataFrame, key: str, order: list[str], text: str = "text",
@@ -30,7 +30,6 @@ def gather_text(pieces: DataFrame, key: str, order: list[str], text: str = "text
     # Each large text has more than max_chars of all characters, so they are few.
     few = F.broadcast(large)
     small = joined(pieces.join(few, key, "left_anti"), key).withColumn("block", F.lit(0).cast("long"))
-    numbered = with_ordinal(pieces.join(few, key, "left_semi"), key, *order)
-    blocks = joined(numbered.withColumn("block", F.floor(F.col("ordinal") / _BLOCK_PIECES)),
-                    key, "block")
-    return small.select(key, "block", text).unionByName(blocks.select(key, "block", text))
+    blocks = segments.blocks(pieces.join(few, key, "left_semi"), key, order, text)
+    return small.select(key, "block", text).unionByName(
+        blocks.select(key, "block", F.col("text").alias(text)))
