@@ -28,7 +28,8 @@ def extract_facts(files: DataFrame) -> DataFrame:
 
     ``ord`` is the place of a fact among those of its kind in its file. The corpus is read once:
     each row goes through the rules of its own family only. All are column expressions but for
-    JSON, which must keep the order of its keys and goes through Arrow.
+    JSON, which must keep the order of its keys, and scripts that nest very deep; their texts go
+    through Arrow.
     """
     ext = paths.extension(F.col("path"))
     lang = paths.detect_language(ext)
@@ -38,8 +39,7 @@ def extract_facts(files: DataFrame) -> DataFrame:
     rows = (rows
             .withColumn("__json", config.json_facts(
                 F.when(fam == "json", F.struct("name", "content"))))
-            .withColumn("__braces", F.when(
-                fam == "script", braces.brace_facts(content)))
+            .transform(braces.with_brace_facts, F.when(fam == "script", content), "__braces")
             .withColumn("__script", F.when(fam == "script", javascript.parsed(content)))
             .withColumn("__defs", F.when(fam == "python", python.documented_functions(content)))
             .withColumn("__about", comments.module_description(fam, content)))

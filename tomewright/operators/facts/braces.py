@@ -3,23 +3,33 @@
 What a pair of braces encloses is matched by a pattern that is nested ``LEVELS`` deep. Every repeat in
 it is possessive, so a text is read once from each place that opens a block, whatever it holds.
 Blocks are captured by a look-ahead: a block inside another one is still found by itself.
+
+Scripts that nest deeper (the running sum of their braces tells which) are first taken apart: each
+header with its block is a text of its own, in which braces far down are written as other signs, so
+the same patterns read it. Which braces belong together is found with a stack, at any depth.
 """
 
 from __future__ import annotations
 
+import bisect
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.functions.regex import WORD, WS, jvm
 from tomewright.functions.text import match_groups
 from tomewright.operators.facts import javascript as js
 from tomewright.operators.facts.comments import parameters
-from tomewright.operators.facts.kinds import filled, listed, strings
+from tomewright.operators.facts.kinds import filled, listed
 
-#: How deep blocks may be nested in the block that is read.
+#: How deep blocks may be nested for the patterns, and how deep they stay in a deeper script.
 LEVELS = 60
+_KEPT_LEVELS = 40
+# Signs for a header's begin and end, and for braces far down: code points that no text may hold.
+_BEGIN, _END, _OPEN, _CLOSE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 
 # --- Fixed values: what is looked for, and names that are no property ------------------------
 NOT_A_PROPERTY = ["type", "interface", "export", "import", "const", "let", "var", "function",
@@ -35,6 +45,7 @@ CATCH = r"catch\s*\((\w+)\)\s*\{"
 OPTIONS = (r"(?:const|export\s+const)\s+(\w*(?:CONFIG|OPTIONS|SETTINGS|DEFAULTS|"
            r"CONSTANTS)\w*)\s*(?::\s*\w+)?\s*=\s*(?:\{|Readonly\()")
 
+_TAKEN = re.compile("[:][\\s\ufeff]*[}]")
 # What stands between two braces that belong together.
 _INSIDE = reduce(lambda inner, _: rf"(?:[^{{}}]++|\{{{inner}\}})*+", range(LEVELS), "[^{}]*+")
 _BLOCK = rf"\{{{_INSIDE}\}}"
@@ -68,8 +79,14 @@ def _before_brace(pattern: str) -> str:
     return pattern.removesuffix(r"(?:=|\{)") + r"(?:=|(?=\{))"
 
 
+# Each family has its headers, and a function that gives one value for each header of a text.
+
+_TYPE_HEADER = _before_brace(js.TYPE)
+_OPTIONS_HEADER = OPTIONS.replace(r"(?:\{|Readonly\()", r"(?:(?=\{)|Readonly\()")
+
+
 def _properties(content: Column) -> Column:
-    names, inside = _names(content, _before_brace(js.TYPE), _PROPERTY)
+    names, inside = _names(content, _TYPE_HEADER, _PROPERTY)
 
     def line(name: Column, props: Column) -> Column:
         more = F.when(F.size(props) > 6, F.concat(
@@ -77,15 +94,14 @@ def _properties(content: Column) -> Column:
         return F.when(F.size(props) > 0, F.concat(
             F.lit("`"), name, F.lit("` defines: "), listed(props, 6), more)).otherwise("")
 
-    return filled(F.zip_with(names, inside, line))
+    return F.zip_with(names, inside, line)
 
 
 def _options(content: Column) -> Column:
-    header = OPTIONS.replace(r"(?:\{|Readonly\()", r"(?:(?=\{)|Readonly\()")
-    names, inside = _names(content, header, _OPTION, "i")
-    return filled(F.zip_with(names, inside, lambda name, options: F.when(
+    names, inside = _names(content, _OPTIONS_HEADER, _OPTION, "i")
+    return F.zip_with(names, inside, lambda name, options: F.when(
         F.size(options) > 0, F.concat(F.lit("`"), name, F.lit("`: "), listed(options, 8)))
-        .otherwise("")))
+        .otherwise(""))
 
 
 def _methods(content: Column) -> Column:
@@ -93,8 +109,8 @@ def _methods(content: Column) -> Column:
     pattern = F.lit(rf"{jvm(js.DOCUMENTED_CLASS)}(?=({_INSIDE}\}}?))")
     heads = F.regexp_extract_all(content, pattern, F.lit(0))
     names, rest = (F.regexp_extract_all(content, pattern, F.lit(k)) for k in (2, 5))
-    bodies = F.zip_with(heads, rest, lambda head, body: F.regexp_extract(
-        F.concat(head, body), rf"\A[^{{]*+({_BLOCK})", 1))
+    bodies = F.zip_with(heads, rest, lambda head, body: F.translate(F.regexp_extract(
+        F.concat(head, body), rf"\A[^{{]*+({_BLOCK})", 1), _OPEN + _CLOSE, "{}"))
 
     def of_class(name: Column, body: Column) -> Column:
         found = F.filter(match_groups(body, METHOD, name=1, params=2), lambda m: (
@@ -103,7 +119,7 @@ def _methods(content: Column) -> Column:
             F.lit("`"), name, F.lit("."), m["name"], F.lit("("), parameters(m.params),
             F.lit(")`")))
 
-    return F.flatten(F.zip_with(names, bodies, of_class))
+    return F.zip_with(names, bodies, of_class)
 
 
 def _catches(content: Column) -> Column:
@@ -118,14 +134,104 @@ def _catches(content: Column) -> Column:
             F.concat(F.lit("catches `"), error, F.lit("` errors")))
         return F.when(body != "", said).otherwise("")
 
-    return filled(F.zip_with(errors, bodies, line))
-
-
-def brace_facts(content: Column) -> Column:
-    """``struct(properties, methods, catches, options)`` of a script."""
-    parts = {"properties": _properties, "methods": _methods, "catches": _catches,
-             "options": _options}
-    return F.struct(*[F.when(F.contains(content, F.lit("{")), make(content))
-                      .otherwise(strings()).alias(name) for name, make in parts.items()])
-
-
+    return F.zip_with(errors, bodies, line)
+
+
+# Family: its headers (pattern and flags), whether its block is looked for from the header's begin
+# on (else from its end), how it reads a text, and how its values become a list.
+_FAMILIES = {
+    "properties": (_TYPE_HEADER, "", False, _properties, filled),
+    "methods": (js.DOCUMENTED_CLASS, "", True, _methods, F.flatten),
+    "catches": (CATCH.removesuffix(r"\{") + r"(?=\{)", "", False, _catches, filled),
+    "options": (_OPTIONS_HEADER, "i", False, _options, filled),
+}
+
+
+def is_deep(content: Column) -> Column:
+    """Whether braces rise by more than ``LEVELS`` anywhere in a text."""
+    signs = F.split(F.regexp_replace(content, "[^{}]++", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("least"), F.lit(0).alias("rise"))
+
+    def step(s: Column, sign: Column) -> Column:
+        now = s.now + F.when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.least(s.least, now).alias("least"),
+                        F.greatest(s.rise, now - F.least(s.least, now)).alias("rise"))
+
+    opened = F.length(F.regexp_replace(content, "[^{]++", ""))
+    return (opened > LEVELS) & (F.aggregate(signs, start, step).rise > LEVELS)
+
+
+def _taken_apart(marked: str, from_begin: bool) -> list[str]:
+    """Each header, marked by its begin and end, with its block as a text of its own."""
+    parts, headers, at = [], [], 0
+    for part in re.split(f"([{_BEGIN}{_END}])", marked):
+        if part == _BEGIN:
+            headers.append([at, at])
+        elif part == _END:
+            headers[-1][1] = at
+        else:
+            parts.append(part)
+            at += len(part)
+    text = "".join(parts)
+    depth, level, stack, closes = {}, 0, [], {}
+    braces = [m.start() for m in re.finditer("[{}]", text)]
+    for k in braces:
+        if text[k] == "{":
+            stack.append(k)
+            depth[k] = level = len(stack)
+        else:
+            depth[k] = len(stack)
+            if stack:
+                closes[stack.pop()] = k
+    out = []
+    for begin, end in headers:
+        opened = text.find("{", begin if from_begin else end)
+        if opened < 0:
+            out.append(text[begin:end])
+            continue
+        # A block that is never closed goes to the end of the text.
+        stop = max(closes.get(opened, len(text) - 1) + 1, end)
+        if _TAKEN.search(text, opened, stop):  # a name takes a brace: the block may go on behind it
+            stop = len(text)
+        limit = depth[opened] + _KEPT_LEVELS
+        signs = list(text[begin:stop])
+        for k in braces[bisect.bisect_left(braces, opened):bisect.bisect_left(braces, stop)]:
+            if depth[k] > limit:
+                signs[k - begin] = _OPEN if text[k] == "{" else _CLOSE
+        out.append("".join(signs))
+    return out
+
+
+def _deep(content: Column) -> Column:
+    """``struct(properties, methods, catches, options)`` of scripts that nest deeper."""
+    plain = F.translate(content, _BEGIN + _END + _OPEN + _CLOSE, "????")
+    marked = F.when(content.isNotNull(), F.struct(*[
+        F.regexp_replace(plain, jvm(header, flags), f"{_BEGIN}$0{_END}").alias(name)
+        for name, (header, flags, _, _, _) in _FAMILIES.items()]))
+
+    kind = "struct<" + ",".join(f"{n}:array<string>" for n in _FAMILIES) + ">"
+    begins = {name: f[2] for name, f in _FAMILIES.items()}
+
+    @F.arrow_udf(kind)
+    def take_apart(rows: pa.Array) -> pa.Array:
+        out = [r and {n: _taken_apart(r[n], b) for n, b in begins.items()} for r in rows.to_pylist()]
+        return pa.array(out, pa.struct([(n, pa.list_(pa.string())) for n in begins]))
+
+    return take_apart(marked)
+
+
+def with_brace_facts(rows: DataFrame, content: Column, name: str) -> DataFrame:
+    """``rows`` with ``struct(properties, methods, catches, options)`` of scripts; null stays null."""
+    deep = F.coalesce(is_deep(content), F.lit(False))
+    rows = rows.withColumn("__deep", _deep(F.when(deep, content)))
+
+    def of(family: str) -> Column:
+        _, _, _, read, put = _FAMILIES[family]
+        none = F.array().cast("array<string>")
+        flat = F.when(F.contains(content, F.lit("{")), put(read(content))).otherwise(none)
+        # The first header of a text is its own; others are in its block.
+        first = put(F.transform(F.col(f"__deep.{family}"), lambda t: F.element_at(read(t), 1)))
+        return F.when(F.col("__deep").isNotNull(), first).otherwise(flat).alias(family)
+
+    facts = F.when(content.isNotNull(), F.struct(*[of(f) for f in _FAMILIES]))
+    return rows.withColumn(name, facts).drop("__deep")
