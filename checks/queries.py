@@ -180,6 +180,21 @@ def redact_text(spark, sf):
         "doc_id", F.length("content").cast("long").alias("chars"), F.md5("content").alias("digest"))
 
 
+@register("SELECT doc_id, length(content) AS chars, md5(content) AS digest FROM redacted_docs",
+          "redacted_docs")
+def redact_borders(spark, sf):
+    """Whole texts cut into pieces of 48 characters, joined by three: secrets lie over all borders."""
+    body = raw_docs(spark, sf).select(
+        F.col("doc_id").cast("string").alias("filename"), F.lit(0).alias("part"),
+        F.posexplode(F.regexp_extract_all("content", F.lit("(?s).{1,48}"), F.lit(0)))
+        .alias("pos", "text")).select("filename", "part", F.col("pos").cast("long").alias("pos"),
+                                      F.lit("").alias("key"), "text")
+    done = gather.gather_text(documents.redact_pieces(body, max_pieces=3), "filename",
+                              ["part", "pos", "key"])
+    return done.select(F.col("filename").cast("long").alias("doc_id"),
+                       F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
 @register("SELECT doc_id, redactions FROM redacted_docs", "redacted_docs")
 def redact_counts(spark, sf):
     return secrets.redact(raw_docs(spark, sf), "content", count="redactions").select(
@@ -488,6 +503,38 @@ def parse_documents(spark, sf):
     return _flat(documents.load_entries(docs, AS_OF))
 
 
+def _rows_of(kb: KnowledgeBase) -> DataFrame:
+    """Entries kept as tables, as rows."""
+    def listed(table, name):
+        items = F.sort_array(F.collect_list(F.struct("at", "value")))
+        return table.groupBy("filename").agg(F.transform(items, lambda x: x.value).alias(name))
+
+    rows = kb.entries
+    for table, name in ((kb.tags, "tags"), (kb.related, "related"), (kb.sources, "source_files")):
+        rows = rows.join(listed(table, name), "filename", "left").withColumn(
+            name, F.coalesce(name, F.array().cast("array<string>")))
+    body = gather.gather_text(kb.body, "filename", ["part", "pos", "key"])
+    return rows.join(body.withColumnRenamed("text", "content"), "filename", "left").fillna(
+        "", ["content"])
+
+
+@register(f"SELECT {_FLAT} FROM kb", "kb")
+def load_large_entries(spark, sf):
+    """Written documents, each read as one that is too large for a row."""
+    path = written(spark, sf, "written_documents", lambda p: documents.write_documents(
+        kb_tables(spark, sf), p))
+    return _flat(_rows_of(documents.load_written(spark, path, AS_OF, max_chars=1).large))
+
+
+@register(f"SELECT {_FLAT} FROM odd", "odd")
+def parse_blocks(spark, sf):
+    """The documents that test the grammar, cut into blocks of 40 characters."""
+    docs = documents.list_entries(view(spark, sf, "entry_docs"))
+    blocks = docs.select("filename", F.posexplode(F.regexp_extract_all(
+        "document", F.lit("(?s).{1,40}"), F.lit(0))).alias("block", "document"))
+    return _flat(_rows_of(documents.load_blocks(blocks, AS_OF)))
+
+
 @register("SELECT filename, array_to_string(related, '|') AS related, "
           "related = source_files AS same FROM kb", "kb")
 def roundtrip_related(spark, sf):
@@ -965,6 +1012,32 @@ def fact_braces(spark, sf):
         "apiSurface", "configuration", "errorHandling", "keyConcepts"))
 
 
+_DEEP = ["repeat('{', 1 + doc_id % 300)", "repeat('}', 1 + doc_id % 300)"]
+VIEWS["deep_files"] = ("documents", {
+    "doc_id": "doc_id", "path": "concat(source, '/deep', doc_id, '.ts')",
+    "content": "concat('/** Doc. */', chr(10), 'class Store', doc_id, ' {', chr(10), 'first(a) ', "
+    "{0}, ' deep(z) {{ }} ', {1}, chr(10), 'second(b) {{ }}', chr(10), '}}', chr(10), "
+    "'interface Item', doc_id, ' {{ id: string; nested ', {0}, {1}, ' size?: number }}', chr(10), "
+    "'try {{ }} catch (e) {{ if (x) ', {0}, {1}, ' console.log(e); throw e }}', chr(10), "
+    "'const APP_CONFIG = {{ one: 1, two ', {0}, {1}, ', three: 3 }}', chr(10), text)"
+    .replace("' {',", "' {{',").format(*_DEEP)}, "true")
+S.CTES["deep"] = ([], f"deep AS ({view_sql('deep_files')})")
+
+
+# Blocks nested 1 to 300 deep in all that braces enclose.
+@register(_each({
+    "keyConcepts": "['Types: `Item' || doc_id || '`', '`Item' || doc_id || '` defines: id, size?', "
+                   "'`Store' || doc_id || '`']",
+    "apiSurface": "['`Store' || doc_id || '.first(a)`', '`Store' || doc_id || '.deep(z)`', "
+                  "'`Store' || doc_id || '.second(b)`']",
+    "errorHandling": "['logs errors, re-throws']", "configuration": "['`APP_CONFIG`: one, three']",
+}, "(SELECT *, 'typescript' AS language FROM deep)"), "deep")
+def fact_deep_braces(spark, sf):
+    found = facts.extract_facts(view(spark, sf, "deep_files").select("path", "content"))
+    return found.where(F.col("kind").isin("apiSurface", "configuration", "errorHandling",
+                                          "keyConcepts"))
+
+
 def _rows(language: str, ext: str, of: dict[str, str]) -> str:
     return _each(of, f"(SELECT *, '{language}' AS language FROM code WHERE ext = '{ext}')")
 
