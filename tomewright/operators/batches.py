@@ -4,12 +4,15 @@ Files go into the open batch one after the other; one that does not fit starts t
 and one that is larger than a whole batch stands alone. Where a batch starts thus depends on all
 files before it. To still work in parallel, each range of files is first summed up by what it
 does to the batch that is open when it begins: a step function from the tokens already in that
-batch to the tokens left open at the end. Following those functions from range to range gives the
-state in which each range begins, and then all ranges are packed at once.
+batch to the tokens left open at the end. Such functions put together are one again, so ranges are
+first joined in groups, all groups at once; following the few functions of groups gives the state in
+which each group begins, and following those within a group the state in which each range begins. Then
+all ranges are packed at once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,28 +59,55 @@ def _summary(tokens: np.ndarray, first: np.ndarray, budget: int) -> tuple[list,
     """
     n = len(tokens)
     total, breaks = _running(tokens), _breaks(tokens, first, budget)
-    jump = _next_start(np.arange(n), total, breaks, budget)
-    starts, left = np.ones(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    for i in range(n - 1, -1, -1):
-        if jump[i] >= n:
-            left[i] = CLOSED if tokens[i] > budget else total[n] - total[i]
-        else:
-            starts[i] += starts[jump[i]]
-            left[i] = left[jump[i]]
+    # From each start: the batches to the end of the range, and the start of the last of them. Each
+    # round doubles how far a start looks ahead.
+    jump = np.append(_next_start(np.arange(n), total, breaks, budget), n)
+    starts, last = np.append(np.ones(n, dtype=np.int64), 0), np.arange(n + 1)
+    while (jump[:-1] < n).any():
+        starts += np.where(jump < n, starts[np.minimum(jump, n)], 0)
+        last = np.where(jump < n, last[jump], last)
+        jump = jump[jump]
+    starts, last = starts[:-1], last[:-1]
+    left = np.where(tokens[last] > budget, CLOSED, total[n] - total[last])
+    # Room for all before i, but not for i itself.
     stop = int(breaks[0])  # the first place that is a start in any case
-    rooms, counts, lefts = [-1], [int(starts[0])], [int(left[0])]
-    for i in range(min(n, stop + 1)):
-        low = int(total[i])
-        if low > budget:
-            break
-        # Room for all before i, but not for i itself.
-        if i == stop or tokens[i] > 0:
-            rooms.append(low), counts.append(int(starts[i])), lefts.append(int(left[i]))
+    at = np.arange(min(n, stop + 1))
+    at = at[(total[at] <= budget) & ((at == stop) | (tokens[at] > 0))]
+    rooms = np.concatenate([[-1], total[at]])
+    counts, lefts = (np.concatenate([v[:1], v[at]]) for v in (starts, left))
     if stop >= n and total[n] <= budget:
-        rooms.append(int(total[n])), counts.append(0), lefts.append(int(total[n]))
-    keep = [i for i in range(len(rooms)) if i < 2 or counts[i] == 0
-            or (counts[i], lefts[i]) != (counts[i - 1], lefts[i - 1])]
-    return [rooms[i] for i in keep], [counts[i] for i in keep], [lefts[i] for i in keep]
+        rooms, counts, lefts = (np.append(v, x) for v, x in (
+            (rooms, total[n]), (counts, 0), (lefts, total[n])))
+    return _steps(rooms, counts, lefts)
+
+
+def _steps(rooms: np.ndarray, counts: np.ndarray, lefts: np.ndarray) -> tuple[list, list, list]:
+    """Steps that differ from the one before."""
+    keep = np.ones(len(rooms), dtype=bool)
+    keep[2:] = (counts[2:] == 0) | (counts[2:] != counts[1:-1]) | (lefts[2:] != lefts[1:-1])
+    return tuple(np.asarray(v)[keep].tolist() for v in (rooms, counts, lefts))
+
+
+def _compose(one: tuple[list, list, list], two: tuple[list, list, list], joined: bool,
+             budget: int) -> tuple[list, list, list]:
+    """The summary of two ranges in a row; unless ``joined`` the second begins with none open."""
+    rooms, counts, lefts = [], [], []
+
+    def step(room: int, count: int, left: int) -> None:
+        rooms.append(room), counts.append(count), lefts.append(left)
+
+    for room, count, left in zip(*one, strict=True):
+        if count > 0 or room < 0 or not joined:
+            # Whatever room there was, the first range leaves the same behind.
+            state, more = _advance(left if joined else CLOSED, two, budget)
+            step(room, count + more, state)
+            continue
+        # All of the first range fits: the second sees as much less room.
+        for k, (low, more, rest) in enumerate(zip(*two, strict=True)):
+            if k:
+                step(low + left, more, rest + left if more == 0 else rest)
+    places = [k for k, room in enumerate(rooms) if room <= budget]
+    return _steps(*(np.array(v, np.int64)[places] for v in (rooms, counts, lefts)))
 
 
 def _advance(state: int, summary: tuple[list, list, list], budget: int) -> tuple[int, int]:
@@ -111,6 +141,56 @@ def _starts(tokens: np.ndarray, first: np.ndarray, state: int, budget: int) -> t
     return flags, CLOSED if tokens[last] > budget else int(total[n] - total[last])
 
 
+_SUMMARY = ("part int, head string, tail string, room array<bigint>, starts array<bigint>, "
+            "left array<bigint>")
+
+
+def _begins(summaries: DataFrame, budget: int) -> DataFrame:
+    """``part, state, before``: the state each range begins in, and the batches started before it.
+
+    Ranges are put together in as many groups as a group has ranges, so no task sees more than the
+    square root of all. The driver receives their number.
+    """
+    ranges = summaries.agg(F.coalesce(F.max("part"), F.lit(0)) + 1).first()[0]
+    grouped = summaries.withColumn("group", F.floor(F.col("part") / (math.isqrt(ranges) + 1))
+                                   .cast("int"))
+
+    def rows(table: pd.DataFrame) -> Iterator[tuple[int, str, str, tuple]]:
+        for r in table.sort_values("part").itertuples(index=False):
+            yield r.part, r.head, r.tail, (list(r.room), list(r.starts), list(r.left))
+
+    def join(table: pd.DataFrame) -> pd.DataFrame:
+        done, head, tail = None, None, None
+        for _, first, last, summary in rows(table):
+            done = summary if done is None else _compose(done, summary, first == tail, budget)
+            head, tail = first if head is None else head, last
+        room, starts, left = done
+        return pd.DataFrame({"part": table["group"].iloc[:1].to_numpy(), "head": [head],
+                             "tail": [tail], "room": [room], "starts": [starts], "left": [left]})
+
+    def follow(table: pd.DataFrame, state: int, before: int, shard: str | None) -> pd.DataFrame:
+        out = []
+        for part, first, last, summary in rows(table):
+            state = state if first == shard else CLOSED
+            out.append((part, state, before, shard))
+            state, started = _advance(state, summary, budget)
+            before, shard = before + started, last
+        return pd.DataFrame(out, columns=["part", "state", "before", "open_shard"])
+
+    follows = "part int, state bigint, before bigint, open_shard string"
+    groups = freeze(grouped.groupBy("group").applyInPandas(join, _SUMMARY)
+                    .withColumn("all", F.lit(0)).groupBy("all").applyInPandas(
+                        lambda table: follow(table, CLOSED, 0, None), follows)
+                    .withColumnRenamed("part", "group"))
+
+    def within(state: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        begin = state.iloc[0]
+        return follow(table, int(begin["state"]), int(begin["before"]), begin["open_shard"])
+
+    return groups.groupBy("group").cogroup(grouped.groupBy("group")).applyInPandas(
+        within, follows).drop("open_shard")
+
+
 def assign_batches(files: DataFrame, budget: int = K.BATCH_TOKEN_BUDGET,
                    shard: Column | None = None) -> DataFrame:
     """``shard, path, tokens, batch_id`` of ``files(path, tokens)``.
@@ -140,19 +220,8 @@ def assign_batches(files: DataFrame, budget: int = K.BATCH_TOKEN_BUDGET,
                                 "room": [room], "starts": [starts], "left": [left]})
 
     summaries = placed.select("part", "shard", "tokens").mapInPandas(
-        summarise, "part int, head string, tail string, room array<bigint>, "
-                   "starts array<bigint>, left array<bigint>")
-    # One summary at a time comes to the driver: a few steps for a whole range of files.
-    state, before, shard_open, begins = CLOSED, 0, None, []
-    for s in summaries.orderBy("part").toLocalIterator():
-        if s["head"] != shard_open:
-            state = CLOSED
-        begins.append((s["part"], state, before))
-        state, started = _advance(state, (s["room"], s["starts"], s["left"]), budget)
-        before, shard_open = before + started, s["tail"]
-
-    spark = files.sparkSession
-    begin = spark.createDataFrame(begins or [(0, CLOSED, 0)], "part int, state bigint, before bigint")
+        summarise, _SUMMARY)
+    begin = _begins(freeze(summaries), budget)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = before = previous = None
