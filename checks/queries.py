@@ -701,7 +701,10 @@ _Q = "lower(q.query)"
 S.CTES["asked"] = ([], f"asked AS ({view_sql('queries')})")
 
 
-@register(f"""SELECT query_id, rank, filename, score FROM (SELECT *, row_number() OVER (
+# Every word of the benchmark as a query.
+S.CTES["words"] = ([], "words AS (SELECT DISTINCT w AS query_id, w AS query, NULL AS category FROM "
+                   "(SELECT unnest(regexp_extract_all(lower(text), '[^ ]+')) AS w FROM benchmark))")
+_BATCH = f"""SELECT query_id, rank, filename, score FROM (SELECT *, row_number() OVER (
     PARTITION BY query_id ORDER BY score DESC, filename) AS rank FROM (
   SELECT q.query_id, e.filename, nullif(q.category, '') AS asked_for, CAST(
     CASE WHEN contains(lower(title), {_Q}) THEN 10 ELSE 0 END
@@ -712,8 +715,18 @@ S.CTES["asked"] = ([], f"asked AS ({view_sql('queries')})")
     + 4 * len(list_filter(source_files, lambda x: contains(lower(x), {_Q})))
     + 2 * len(list_filter(related, lambda x: contains(lower(x), {_Q})))
     + CASE WHEN q.category <> '' AND e.category = lower(q.category) THEN 20 ELSE 0 END
-    AS BIGINT) AS score FROM asked q, kb e) WHERE score > 0 OR asked_for IS NULL) WHERE rank <= 5""",
-          "asked", "kb")
+    AS BIGINT) AS score FROM asked q, kb e) WHERE score > 0 OR asked_for IS NULL) WHERE rank <= 5"""
+
+
+@register(_BATCH.replace("FROM asked", "FROM words"), "words", "kb")
+def kb_query_words(spark, sf):
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[^ ]+"), F.lit(0)))
+    words = table(spark, sf, "benchmark").select(word.alias("query")).distinct()
+    return query_batch.kb_query_batch(stored_kb(spark, sf), words.select(
+        F.col("query").alias("query_id"), "query", F.lit(None).cast("string").alias("category")))
+
+
+@register(_BATCH, "asked", "kb")
 def kb_query_batch(spark, sf):
     return query_batch.kb_query_batch(stored_kb(spark, sf), view(spark, sf, "queries"))
 

@@ -1,38 +1,27 @@
-"""Many keyword queries in one pass over the knowledge base.
+"""Many keyword queries at once.
 
-Comparing every query with every entry would cost their product. Instead the texts of the
-entries are read once, by an automaton that holds all queries and reports only those it meets.
-Of the entries a task reads, it passes on the best five for each query and category, which is all
-that can be among the best five in the end. A query that matches fewer is filled up with the
-entries that sort first, and of those only five are needed.
+Comparing every query with every entry would cost their product. Instead each query is looked for by
+one run of up to three characters, the rarest it has (``grams``): entries that hold it are its
+candidates, and only those are compared with it. There is one plan, however many queries there are.
+A query that matches fewer than five entries is filled up with the entries that sort first, and of
+those only five are needed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tomewright import constants as K
+from tomewright.operators import grams
 from tomewright.operators.documents import StoredKb
+from tomewright.operators.ordering import freeze
 from tomewright.operators.query import CATEGORY_BONUS, WEIGHTS, joined_pieces
 from tomewright.operators.tables import KnowledgeBase
 
-# Query characters one automaton may hold; it needs some hundred bytes for each.
-MAX_AUTOMATON_CHARS = 2_000_000
-# Characters of entries that meet one block of queries in a task, where queries are many.
-_SHARD_CHARS = 64_000_000
-
-_SCORES = "query string, filename string, category string, score bigint"
-_HITS = "query string, filename string, points bigint, body_hit int"
-_ROW = ["filename", "category", "texts", "points"]
-_PIECE = ["filename", "points", "body", "text"]
-
 
 def searched_rows(kb: StoredKb) -> DataFrame:
     """``filename, category, texts, points``: what queries are compared with, in lower case."""
@@ -60,140 +49,74 @@ def searched_pieces(kb: KnowledgeBase, lines: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _automaton(queries: list[str]):
-    import ahocorasick
-    automaton = ahocorasick.Automaton()
-    for q in queries:
-        if q:
-            automaton.add_word(q, q)
-    if len(automaton):
-        automaton.make_automaton()
-    return automaton
-
-
-def _met(automaton, asks_all: bool, text: str) -> set[str]:
-    """Queries found in a text; the empty one is found in any."""
-    met = {q for _, q in automaton.iter(text)} if len(automaton) else set()
-    return met | {""} if asks_all else met
-
-
-def _score_rows(automaton, asks_all: bool, rows: pd.DataFrame) -> pd.DataFrame:
-    """Scores of the queries met in some entries, the best five for each query and category."""
-    found = []
-    for filename, category, texts, points in rows[_ROW].itertuples(index=False):
-        scores: dict[str, int] = {}
-        for text, worth in zip(texts, points):
-            for q in _met(automaton, asks_all, text):
-                scores[q] = scores.get(q, 0) + int(worth)
-        found.extend((q, filename, category, s) for q, s in scores.items())
-    table = pd.DataFrame(found, columns=["query", "filename", "category", "score"])
-    return (table.sort_values(["score", "filename"], ascending=[False, True])
-            .groupby(["query", "category"], sort=False).head(K.QUERY_HITS))
-
-
-def _hit_pieces(automaton, asks_all: bool, rows: pd.DataFrame) -> pd.DataFrame:
-    """Points of the queries met in some texts, summed up per entry."""
-    found = [(q, filename, points, body)
-             for filename, points, body, text in rows[_PIECE].itertuples(index=False)
-             for q in _met(automaton, asks_all, text)]
-    table = pd.DataFrame(found, columns=["query", "filename", "points", "body_hit"])
-    return table.groupby(["query", "filename"], as_index=False).agg(
-        {"points": "sum", "body_hit": "max"})
-
-
-@dataclass(frozen=True)
-class _Asked:
-    """The distinct queries, and whether one automaton can hold them."""
-
-    queries: DataFrame
-    chars: int
-    limit: int
-
-    def meet(self, rows: DataFrame, chars: Column, match: Callable, schema: str) -> DataFrame:
-        if self.chars <= self.limit:
-            return self._broadcast(rows, match, schema)
-        total = rows.agg(F.coalesce(F.sum(chars), F.lit(0))).first()[0]
-        return self._blocked(rows, match, schema, self.chars // self.limit + 1,
-                             total // _SHARD_CHARS + 1)
-
-    def _broadcast(self, rows: DataFrame, match: Callable, schema: str) -> DataFrame:
-        few = [r[0] for r in self.queries.collect()]
-        shared = rows.sparkSession.sparkContext.broadcast(few)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            automaton = _automaton(shared.value)
-            for b in batches:
-                yield match(automaton, "" in shared.value, b)
-
-        return rows.mapInPandas(scan, schema)
-
-    def _blocked(self, rows: DataFrame, match: Callable, schema: str, blocks: int,
-                 shards: int) -> DataFrame:
-        """Blocks of queries meet shards of rows, each small enough for a task."""
-        def part(c: Column, n: int) -> Column:
-            return F.pmod(c, F.lit(n)).cast("int")
-
-        def each(n: int) -> Column:
-            return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-        q = self.queries.select("query", part(F.xxhash64("query"), blocks).alias("block"),
-                                each(shards).alias("shard"))
-        r = rows.select("*", part(F.xxhash64(*[c for c in rows.columns if c in (
-            "filename", "text")]), shards).alias("shard"), each(blocks).alias("block"))
-
-        def together(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            asked = left["query"].tolist()
-            return match(_automaton(asked), "" in asked, right)
-
-        return (q.groupBy("block", "shard").cogroup(r.groupBy("block", "shard"))
-                .applyInPandas(together, schema))
-
-
-def kb_query_batch(kb: StoredKb, queries: DataFrame, *,
-                   max_automaton_chars: int = MAX_AUTOMATON_CHARS) -> DataFrame:
-    """``query_id, rank, filename, score``: the five best entries for each query.
-
-    ``queries`` has ``query_id, query, category``; a null or blank category counts as none.
-    Scores and ties are those of ``kb_query``.
-    """
-    asked = queries.select("query_id", F.lower("query").alias("query"),
-                           F.nullif(F.lower("category"), F.lit("")).alias("category"))
-    distinct = asked.select("query").distinct()
-    breaks = F.length("query") - F.length(F.replace("query", F.lit("\n"), F.lit("")))
-    size, lines = distinct.agg(F.coalesce(F.sum(F.length("query") + 1), F.lit(0)),
-                               F.coalesce(F.max(breaks), F.lit(0)) + 1).first()
-    known = _Asked(distinct, size, max_automaton_chars)
-    chars = F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.length(t))
-    found = known.meet(searched_rows(kb), chars, _score_rows, _SCORES)
+def _scored(kb: StoredKb, queries: DataFrame) -> DataFrame:
+    """``query, filename, category, score`` of all entries with a text that holds a query."""
+    rows = searched_rows(kb).withColumn("body", F.lit(0))
     entries = kb.rows.select("filename", "category")
     if kb.large is not None:
+        breaks = F.length("query") - F.length(F.replace("query", F.lit("\n"), F.lit("")))
+        lines = queries.agg(F.coalesce(F.max(breaks), F.lit(0)) + 1).first()[0]
         large = kb.large.entries.select("filename", "category")
-        hits = known.meet(searched_pieces(kb.large, lines), F.length("text"), _hit_pieces, _HITS)
-        total = hits.groupBy("query", "filename").agg(
-            (F.sum("points") + F.max("body_hit") * WEIGHTS["body"]).alias("score"))
-        found = found.unionByName(total.join(large, "filename").select(
-            "query", "filename", "category", F.col("score").cast("long").alias("score")))
-        entries = entries.unionByName(large)
+        pieces = searched_pieces(kb.large, lines).select(
+            "filename", F.lit(None).cast("string").alias("category"), F.array("text").alias("texts"),
+            F.array("points").alias("points"), "body")
+        rows, entries = rows.unionByName(pieces), entries.unionByName(large)
+    rows = freeze(rows.withColumn("id", F.monotonically_increasing_id()))
+    named = queries.where("query <> ''").select(F.col("query").alias("string"))
+    found = grams.candidates(named, rows).join(rows, "id")
+    held = F.transform("texts", lambda t: F.contains(t, F.col("string")))
+    hits = found.where(F.exists(held, lambda h: h)).select(
+        F.col("string").alias("query"), "filename", F.aggregate(
+            F.arrays_zip(held.alias("held"), F.col("points")), F.lit(0).cast("long"),
+            lambda sum_, x: sum_ + F.when(x["held"], x["points"]).otherwise(0)).alias("points"),
+        "body")
+    # The empty query is in every text.
+    asked_all = F.broadcast(queries.where("query = ''").select("query"))  # one row
+    everything = rows.select("filename", F.aggregate(
+        "points", F.lit(0).cast("long"), lambda sum_, p: sum_ + p).alias("points"), "body")
+    everything = everything.withColumn("query", F.lit("")).join(asked_all, "query", "left_semi")
+    total = hits.unionByName(everything.select(*hits.columns)).groupBy("query", "filename").agg(
+        (F.sum("points") + F.max("body") * WEIGHTS["body"]).cast("long").alias("score"))
+    return total.join(entries, "filename").select("query", "filename", "category", "score")
+
+
+def _first(df: DataFrame, n: int, keys: list[str], *order) -> DataFrame:
+    """The first ``n`` rows of each group; tasks pass on no more than that of theirs."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("rank", place.cast("long")).where(F.col("rank") <= n)
+
+
+def kb_query_batch(kb: StoredKb, queries: DataFrame) -> DataFrame:
+    """``query_id, rank, filename, score``: the five best entries for each query.
 
-    bonus = F.when(F.col("e.category") == F.col("a.category"), F.lit(CATEGORY_BONUS)).otherwise(0)
-    hits = found.alias("e").join(asked.alias("a"), F.col("e.query") == F.col("a.query")).select(
-        "a.query_id", "e.filename", (F.col("e.score") + bonus).cast("long").alias("score"))
+    ``queries`` has ``query_id, query, category``; a null or blank category counts as none, and a
+    null query asks for nothing. Scores and ties are those of ``kb_query``. Equal questions are answered once.
+    """
+    best = [F.col("score").desc(), F.col("filename")]
+    asked = queries.select("query_id", F.lower("query").alias("query"), F.coalesce(
+        F.lower("category"), F.lit("")).alias("wanted"))
+    pairs = freeze(asked.select("query", "wanted").distinct())
+    found = _first(_scored(kb, pairs.select("query").distinct()), K.QUERY_HITS,
+                   ["query", "category"], *best).drop("rank")
+    bonus = F.when(F.col("category") == F.col("wanted"), CATEGORY_BONUS).otherwise(0)
+    hits = pairs.join(found, "query").select(
+        "query", "wanted", "filename", (F.col("score") + bonus).cast("long").alias("score"))
 
     # Entries without a text match: with the right category they score the bonus, and without a
     # category asked for they score nothing but still count. The first five of each are enough.
-    place = F.row_number().over(Window.partitionBy("category").orderBy("filename"))
-    first_five = entries.withColumn("n", place).where(F.col("n") <= K.QUERY_HITS)
-    in_category = asked.join(first_five, "category").select(
-        "query_id", "filename", F.lit(CATEGORY_BONUS).cast("long").alias("score"))
+    entries = kb.rows.select("filename", "category")
+    if kb.large is not None:
+        entries = entries.unionByName(kb.large.entries.select("filename", "category"))
+    first_five = _first(entries, K.QUERY_HITS, ["category"], "filename").drop("rank")
+    in_category = pairs.join(first_five.withColumnRenamed("category", "wanted"), "wanted").select(
+        "query", "wanted", "filename", F.lit(CATEGORY_BONUS).cast("long").alias("score"))
     names = [r[0] for r in entries.select("filename").orderBy("filename")
              .limit(K.QUERY_HITS).collect()]
-    anywhere = asked.where("category IS NULL").select(
-        "query_id", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>"))
+    anywhere = pairs.where("wanted = ''").select(
+        "query", "wanted", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>"))
         .alias("filename"), F.lit(0).cast("long").alias("score"))
     # A match scores at least as much as its filler, so the larger score is the right one.
     every = (hits.unionByName(in_category).unionByName(anywhere)
-             .groupBy("query_id", "filename").agg(F.max("score").alias("score")))
-    best = F.row_number().over(Window.partitionBy("query_id")
-                               .orderBy(F.col("score").desc(), "filename"))
-    return (every.withColumn("rank", best.cast("long")).where(F.col("rank") <= K.QUERY_HITS)
-            .select("query_id", "rank", "filename", "score"))
+             .groupBy("query", "wanted", "filename").agg(F.max("score").alias("score")))
+    answers = _first(every, K.QUERY_HITS, ["query", "wanted"], *best)
+    return asked.join(answers, ["query", "wanted"]).select("query_id", "rank", "filename", "score")
