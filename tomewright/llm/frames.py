@@ -47,6 +47,11 @@ def internal(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``BATCH_ROWS`` rows at a time."""
+    return (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]],
               added: T.StructType) -> DataFrame:
     """``df`` and the columns that ``fn`` makes of each ``BATCH_ROWS`` of its rows.
@@ -58,8 +63,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]]
     kept = [f for f in df.schema if f.name.lower() not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, BATCH_ROWS) for b in batches
-                      for at in range(0, b.num_rows, BATCH_ROWS)):
+        for batch in slices(batches):
             made = fn(batch)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in kept), *(made[f.name] for f in added)],

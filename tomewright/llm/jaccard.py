@@ -16,9 +16,9 @@ component of each document, which links decide.
 
 In a list, each set is compared with the first of a size that could link: by sketches, which are
 small and rule out most pairs for certain, then by the whole sets of those left. Linked sets become
-components; then only pairs of a list that are in different components are left to compare. So a
-list of near copies costs its length, not its square, and nothing is skipped. Very frequent
-shingles are dealt over several lists first.
+components; then only pairs of a list that are in different components are left to compare, where
+they stand, again by sketches and then by whole sets. So a list of near copies costs its length, not
+its square, and nothing is skipped. Very frequent shingles are dealt over several lists first.
 
 Sets and shingles are known by 64-bit hashes; a link could only be wrong by a collision.
 
@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from tomewright.llm import arrays as A
 from tomewright.llm.components import components
-from tomewright.llm.frames import sum_vectors, vector_rows, written
+from tomewright.llm.frames import slices, sum_vectors, vector_rows, written
 
 WORDS = 5
 PERCENT = 75
@@ -52,6 +52,11 @@ CELLS = 1 << 21
 LARGEST_BOUNDARY = 14
 #: Sets of a list beyond which it is dealt over several, by the estimate of the counts.
 LIST_SETS = 1 << 15
+#: Sets from which a list is long; sets that meet in one group.
+LONG_LIST = 32
+GROUP_SETS = 1 << 11
+#: Rounds in which a set of a long list is compared with its nearest of another component only.
+NEAREST_ROUNDS = 3
 #: Bits of the filter that picks the sets to be compared.
 FILTER_BITS = 1 << 26
 
@@ -102,12 +107,12 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles in as many cells as the set has shingles, 64 at least.
+    """Parities of the numbers of shingles in eight cells a shingle, 512 at least.
 
     Every shingle that two sets do not share turns over one parity, so sketches differ in at most
-    as many places as the sets.
+    as many places as the sets; with so many cells not in many less.
     """
-    cells = 1 << max(6, (len(shingles) - 1).bit_length())
+    cells = 8 << max(6, (len(shingles) - 1).bit_length())
     counts = np.bincount((shingles % np.uint64(cells)).astype(np.int64), minlength=cells)
     return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
 
@@ -128,7 +133,7 @@ def distinct_sets(batches: Iterator[pa.RecordBatch], text: str,
                   n: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each different, not empty set of a task once."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in slices(batches):
         for _, _, words in A.block_words(batch.column(text), A.NOT_SPACE):
             for shingles in row_sets(words, n):
                 if len(shingles) and (known := set_id(shingles)) not in seen:
@@ -138,7 +143,7 @@ def distinct_sets(batches: Iterator[pa.RecordBatch], text: str,
 
 def _documents(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, ids, sketches = [], [], []
             for _, _, words in A.block_words(batch.column("text"), A.NOT_SPACE):
                 for shingles in row_sets(words, n):
@@ -233,12 +238,15 @@ def _entry_rows(waiting: list) -> pa.RecordBatch:
 def _lists(entries: DataFrame, percent: int) -> DataFrame:
     """Entries that share a list, each with the set to compare it with.
 
-    Lists come sorted by size. The first set is a hub for those after it that could link with it;
-    the first that is too large is the next hub.
+    The sets of a subset come sorted by size and are compared with the first. Those of an inverted
+    list come in an order that is the same for all lists and as good as random, so that near copies
+    meet the same few hubs everywhere: each set is compared with the first that it could link with by
+    its size, and is a hub itself if there is none.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # the entry before, not passed on yet
         hub: tuple | None = None   # its hub
+        hubs: list[tuple] = []     # of its list
         alone = True
         for batch in batches:
             out: list[tuple] = []
@@ -259,22 +267,26 @@ def _lists(entries: DataFrame, percent: int) -> DataFrame:
                     alone = False
                     if row[4] == last[4]:
                         continue  # one set from two tasks
-                    if row[2] == 0 and 100 * hub[3] < percent * row[3]:
-                        hub = row
+                    if row[2] == 0:
+                        hub = next((h for h in hubs if 100 * min(h[3], row[3])
+                                    >= percent * max(h[3], row[3])), row)
+                        if hub is row:
+                            hubs.append(row)
                     out.append(_listed(row, hub))
                 else:
                     # Parts of a dealt list are kept whatever their length.
                     if last is not None and alone and last[1] != _WHOLE:
                         out.append(_listed(last, hub))
-                    hub, alone = row, True
+                    hub, hubs, alone = row, [row], True
                 last = row
             if out:
                 yield _listed_rows(out)
         if last is not None and alone and last[1] != _WHOLE:
             yield _listed_rows([_listed(last, hub)])
 
+    order = F.when(F.col("need") > 0, F.col("size")).otherwise(F.xxhash64("set_id"))
     return (entries.repartition("list", "salt")
-            .sortWithinPartitions("list", "salt", "need", "size", "set_id")
+            .sortWithinPartitions("list", "salt", "need", order, "set_id")
             .mapInArrow(run, _LISTED))
 
 
@@ -328,10 +340,8 @@ def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return written(both.mapInArrow(run, "u long, v long"), "possible")
 
 
-def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, n: int,
-            percent: int) -> DataFrame:
-    """The pairs (u, v) that link: first by sketches, then by whole sets."""
-    pairs = _possible(pairs, members, percent)
+def _shingles(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """``id, shingles`` of the sets that ``pairs`` (u, v) name, and of few others."""
     known = docs.sparkSession.sparkContext.broadcast(_id_filter(pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,6 +356,12 @@ def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, n: int,
     sets = (docs.select("text").mapInArrow(run, "id long, shingles array<long>")
             .groupBy("id").agg(F.first("shingles").alias("shingles")))
     sets = written(sets, "sets")
+    known.destroy()
+    return sets
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that link, by whole sets."""
     one, two = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"of_{k}"))
                 for k in ("u", "v"))
     shared = F.size(F.array_intersect("of_u", "of_v"))
@@ -380,32 +396,152 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     pair = (F.col("set_id").alias("u"), F.col("hub").alias("v"))
     sure = apart.where(subsets).select(*pair).distinct()
     first = written(apart.where("need = 0").select(*pair).distinct(), "pairs")
-    links = written(sure.union(_verify(docs, members, first, n, percent)), "links")
+    first = _possible(first, members, percent)
+    links = written(sure.union(_linked(first, _shingles(docs, first, n), percent)), "links")
+    order.destroy()
+    return _named(members, _joined(docs, listed, members, links, boundary, n, percent))
+
+
+def _joined(docs: DataFrame, listed: DataFrame, members: DataFrame, links: DataFrame,
+            boundary: int, n: int, percent: int) -> DataFrame:
+    """``(node, root)`` of all links: those given, and those between their components.
+
+    First each set is compared with the nearest one, by sketches, of another component in each of
+    its lists; what links makes components larger. After some such rounds all pairs that are left
+    between components are compared.
+    """
     roots = written(components(links), "roots")
+    sets = None
+    rounds = [True] * NEAREST_ROUNDS + [False]
+    while rounds:
+        nearest = rounds.pop(0)
+        pairs = written(_rest(listed, members, roots, sets, boundary, percent, nearest), "rest")
+        if pairs.isEmpty():
+            break
+        if sets is None:  # later rounds have no other sets
+            sets = _shingles(docs, pairs, n)
+        more = written(_linked(pairs, sets, percent), "links")
+        if more.isEmpty():
+            rounds = rounds[-1:] if nearest else []
+        else:
+            links = links.union(more)
+            roots = written(components(links), "roots")
+    return roots
 
-    rest = written(_rest(listed, roots, boundary, percent), "rest")
-    if not rest.isEmpty():
-        links = links.union(_verify(docs, members, rest, n, percent))
-        roots = written(components(links), "roots")
-    return _named(members, roots)
 
+def _rest(listed: DataFrame, members: DataFrame, roots: DataFrame, only: DataFrame | None,
+          boundary: int, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of a list that could link by their sketches, are in different components and were not
+    compared with their hub; of ``only`` these sets, if they are given.
 
-def _rest(listed: DataFrame, roots: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """Pairs of a list that could link, are in different components and were not compared."""
+    A long list is dealt over blocks, and each two blocks meet in a group of their own, so no task
+    holds a list. A pair of sets in several long lists comes from the first of these only.
+    """
     roots = roots.select(F.col("node").alias("set_id"), "root")
-    rooted = (listed.where("need = 0").join(roots, "set_id", "left")
+    heavy = listed.where("need = 0")
+    if only is not None:
+        heavy = heavy.join(only.select(F.col("id").alias("set_id")), "set_id", "left_semi")
+    rooted = (heavy.join(roots, "set_id", "left")
               .withColumn("root", F.coalesce("root", "set_id")))
-    mixed = rooted.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b")) \
-        .where("a <> b").select("list")
-    rooted = written(rooted.join(mixed, "list", "left_semi"), "rooted")
-    x, y = (rooted.select("list", *[F.col(c).alias(f"{k}_{c}") for c in (
-        "set_id", "size", "root", "hub")]) for k in "xy")
-    could = ((F.col("x_set_id") < F.col("y_set_id")) & (F.col("x_root") != F.col("y_root"))
-             & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
-             & (F.col("x_hub") != F.col("y_set_id")) & (F.col("y_hub") != F.col("x_set_id"))
-             & ((F.col("x_size") > boundary) | (F.col("y_size") > boundary)))
-    return x.join(y, "list").where(could).select(
-        F.col("x_set_id").alias("u"), F.col("y_set_id").alias("v")).distinct()
+    mixed = rooted.groupBy("list").agg(
+        F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("sets")) \
+        .where("a <> b").select("list", "sets")
+    rooted = written(rooted.join(mixed, "list"), "rooted")
+    long = (rooted.where(F.col("sets") > LONG_LIST).groupBy("set_id")
+            .agg(F.sort_array(F.collect_set("list")).alias("long")))
+    sets = (members.where("set_id IS NOT NULL").groupBy("set_id")
+            .agg(F.first("sketch").alias("sketch")).join(long, "set_id", "left"))
+    blocks = F.ceil(F.col("sets") / GROUP_SETS).cast("int")
+    own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    met = (rooted.withColumn("blocks", blocks).withColumn("own", own)
+           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+           .join(sets, "set_id")
+           .select("list", F.least("own", "other").alias("one"), F.greatest("own", "other")
+                   .alias("two"), "own", "set_id", "size", "root", "hub", "sketch",
+                   F.when(F.col("sets") > LONG_LIST, F.col("long")).alias("long")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            pairs = list(_group_pairs(group, boundary, percent, nearest))
+            if pairs:
+                u, v = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return (met.repartition("list", "one", "two")
+            .sortWithinPartitions("list", "one", "two", "size", "set_id")
+            .mapInArrow(run, "u long, v long").distinct())
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows that follow each other with the same first ``keys`` values, two at least."""
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group and row[:keys] != group[0][:keys]:
+                if len(group) > 1:
+                    yield group
+                group = []
+            group.append(row)
+    if len(group) > 1:
+        yield group
+
+
+def _group_pairs(group: list[tuple], boundary: int, percent: int,
+                 nearest: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of a group, sorted by size, that could link and are this group's to name.
+
+    Of a long group with ``nearest`` only one pair for each set.
+    """
+    if len(group) > LONG_LIST:
+        near = _near_by_sketch(group, percent, nearest)
+    else:
+        near = ((x, y) for k, x in enumerate(group) for y in group[:k])
+    for x, y in near:
+        of, one, two, own_x, id_x, size_x, root_x, hub_x, sketch_x, long_x = x
+        _, _, _, own_y, id_y, size_y, root_y, hub_y, sketch_y, long_y = y
+        if (root_x == root_y or 100 * size_y < percent * size_x or hub_x == id_y or hub_y == id_x
+                or size_x <= boundary or (one != two and own_x == own_y)
+                or not could_link(size_x, sketch_x, size_y, sketch_y, percent)):
+            continue
+        if nearest or long_x is None or of == min(set(long_x).intersection(long_y)):
+            yield min(id_x, id_y), max(id_x, id_y)
+
+
+def _near_by_sketch(group: list[tuple], percent: int,
+                    nearest: bool) -> Iterator[tuple[tuple, tuple]]:
+    """Pairs to compare whose sketches, folded to the shortest length, are near."""
+    own, ids, size, root, hub = (np.array([r[k] for r in group]) for k in (3, 4, 5, 6, 7))
+    across = group[0][1] != group[0][2]
+    width = min(len(r[8]) for r in group)
+    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[8], np.uint8).reshape(-1, width), axis=0)
+                     for r in group]).view(np.uint64)
+    first = np.searchsorted(100 * size, percent * size)  # the smallest that could link with each
+    least = np.full(len(group), np.iinfo(np.int64).max)
+    partner = np.full(len(group), -1)
+    for k in range(1, len(group)):
+        others = slice(first[k], k)
+        differ = np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1).astype(np.int64)
+        both = size[others] + size[k]
+        # ``needed`` of what they have in common, as in ``could_link``.
+        near = (((both - differ) // 2 >= -(-percent * both // (100 + percent)))
+                & (root[others] != root[k]) & (hub[others] != ids[k]) & (ids[others] != hub[k]))
+        if across:
+            near &= own[others] != own[k]
+        found = np.flatnonzero(near)
+        at = found + first[k]
+        if not nearest:
+            for j in at.tolist():
+                yield group[k], group[j]
+        elif len(at):
+            best = int(np.argmin(differ[found]))
+            if differ[found[best]] < least[k]:
+                least[k], partner[k] = differ[found[best]], at[best]
+            closer = differ[found] < least[at]
+            least[at[closer]], partner[at[closer]] = differ[found[closer]], k
+    for k in np.flatnonzero(partner >= 0).tolist():
+        j = int(partner[k])
+        yield (group[k], group[j]) if k > j else (group[j], group[k])
 
 
 def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
