@@ -153,3 +153,22 @@ def test_words_made_to_share_a_hash_do_not_link(spark):
     rows = [(i, w) for i, w in enumerate(w for k in (6, 10, 12, 16) for w in thue_morse(k))]
     found = jaccard.jaccard_components(frame(spark, rows)).collect()
     assert sorted((r.doc_id, r.component_id) for r in found) == [(i, i) for i, _ in rows]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_lists_are_compared_in_blocks(spark, monkeypatch, seed):
+    """With all lists long and all groups tiny, chains of copies are still whole."""
+    monkeypatch.setattr(jaccard, "LONG_LIST", 2)
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 3)
+    monkeypatch.setattr(jaccard, "LARGEST_BOUNDARY", 0)
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(200)]
+    texts, words = [], [rng.choice(vocabulary) for _ in range(80)]
+    for _ in range(60):  # each copy differs from the first a little elsewhere
+        copy = list(words)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts + [t for _, t in near_copies(seed, 6)], 100))
+    got = jaccard.jaccard_components(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == plain_components(rows)

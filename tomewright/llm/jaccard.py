@@ -107,12 +107,12 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles in eight cells a shingle, 512 at least.
+    """Parities of the numbers of shingles in four cells a shingle, 256 at least.
 
     Every shingle that two sets do not share turns over one parity, so sketches differ in at most
     as many places as the sets; with so many cells not in many less.
     """
-    cells = 8 << max(6, (len(shingles) - 1).bit_length())
+    cells = 4 << max(6, (len(shingles) - 1).bit_length())
     counts = np.bincount((shingles % np.uint64(cells)).astype(np.int64), minlength=cells)
     return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
 
@@ -434,8 +434,9 @@ def _rest(listed: DataFrame, members: DataFrame, roots: DataFrame, only: DataFra
     """Pairs of a list that could link by their sketches, are in different components and were not
     compared with their hub; of ``only`` these sets, if they are given.
 
-    A long list is dealt over blocks, and each two blocks meet in a group of their own, so no task
-    holds a list. A pair of sets in several long lists comes from the first of these only.
+    All pairs of a short list are few. A long one is dealt over blocks, and each two blocks meet in a
+    group of their own, so no task holds a list. A pair of sets in several long lists comes from the
+    first of these only.
     """
     roots = roots.select(F.col("node").alias("set_id"), "root")
     heavy = listed.where("need = 0")
@@ -447,18 +448,38 @@ def _rest(listed: DataFrame, members: DataFrame, roots: DataFrame, only: DataFra
         F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("sets")) \
         .where("a <> b").select("list", "sets")
     rooted = written(rooted.join(mixed, "list"), "rooted")
-    long = (rooted.where(F.col("sets") > LONG_LIST).groupBy("set_id")
-            .agg(F.sort_array(F.collect_set("list")).alias("long")))
-    sets = (members.where("set_id IS NOT NULL").groupBy("set_id")
-            .agg(F.first("sketch").alias("sketch")).join(long, "set_id", "left"))
+    return _rest_of_short(rooted.where(F.col("sets") <= LONG_LIST), members, boundary, percent) \
+        .union(_rest_of_long(rooted.where(F.col("sets") > LONG_LIST), members, boundary, percent,
+                             nearest)).distinct()
+
+
+def _rest_of_short(rooted: DataFrame, members: DataFrame, boundary: int,
+                   percent: int) -> DataFrame:
+    """Such pairs of lists that have few sets: all pairs are no more than some for each set."""
+    x, y = (rooted.select("list", *[F.col(c).alias(f"{k}_{c}") for c in (
+        "set_id", "size", "root", "hub")]) for k in "xy")
+    could = ((F.col("x_set_id") < F.col("y_set_id")) & (F.col("x_root") != F.col("y_root"))
+             & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
+             & (F.col("x_hub") != F.col("y_set_id")) & (F.col("y_hub") != F.col("x_set_id"))
+             & ((F.col("x_size") > boundary) | (F.col("y_size") > boundary)))
+    pairs = x.join(y, "list").where(could).select(
+        F.col("x_set_id").alias("u"), F.col("y_set_id").alias("v")).distinct()
+    return _possible(pairs, members, percent)
+
+
+def _rest_of_long(rooted: DataFrame, members: DataFrame, boundary: int, percent: int,
+                  nearest: bool) -> DataFrame:
+    """Such pairs of lists that have many sets."""
+    long = rooted.groupBy("set_id").agg(F.sort_array(F.collect_set("list")).alias("long"))
+    sets = (members.where("set_id IS NOT NULL").join(long, "set_id").groupBy("set_id")
+            .agg(F.first("sketch").alias("sketch"), F.first("long").alias("long")))
     blocks = F.ceil(F.col("sets") / GROUP_SETS).cast("int")
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     met = (rooted.withColumn("blocks", blocks).withColumn("own", own)
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
            .join(sets, "set_id")
            .select("list", F.least("own", "other").alias("one"), F.greatest("own", "other")
-                   .alias("two"), "own", "set_id", "size", "root", "hub", "sketch",
-                   F.when(F.col("sets") > LONG_LIST, F.col("long")).alias("long")))
+                   .alias("two"), "own", "set_id", "size", "root", "hub", "sketch", "long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -470,7 +491,7 @@ def _rest(listed: DataFrame, members: DataFrame, roots: DataFrame, only: DataFra
 
     return (met.repartition("list", "one", "two")
             .sortWithinPartitions("list", "one", "two", "size", "set_id")
-            .mapInArrow(run, "u long, v long").distinct())
+            .mapInArrow(run, "u long, v long"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -491,20 +512,16 @@ def _group_pairs(group: list[tuple], boundary: int, percent: int,
                  nearest: bool) -> Iterator[tuple[int, int]]:
     """Pairs of a group, sorted by size, that could link and are this group's to name.
 
-    Of a long group with ``nearest`` only one pair for each set.
+    With ``nearest`` only one pair for each set.
     """
-    if len(group) > LONG_LIST:
-        near = _near_by_sketch(group, percent, nearest)
-    else:
-        near = ((x, y) for k, x in enumerate(group) for y in group[:k])
-    for x, y in near:
+    for x, y in _near_by_sketch(group, percent, nearest):
         of, one, two, own_x, id_x, size_x, root_x, hub_x, sketch_x, long_x = x
         _, _, _, own_y, id_y, size_y, root_y, hub_y, sketch_y, long_y = y
         if (root_x == root_y or 100 * size_y < percent * size_x or hub_x == id_y or hub_y == id_x
                 or size_x <= boundary or (one != two and own_x == own_y)
                 or not could_link(size_x, sketch_x, size_y, sketch_y, percent)):
             continue
-        if nearest or long_x is None or of == min(set(long_x).intersection(long_y)):
+        if nearest or of == min(set(long_x).intersection(long_y)):
             yield min(id_x, id_y), max(id_x, id_y)
 
 
