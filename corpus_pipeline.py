@@ -5,8 +5,9 @@ but the last return the columns of ``documents``, whatever they are; a column wh
 uses for its own keeps its values.
 
 Cases: null and empty texts pass every stage; they are toxic only if the model says so of a text
-without words, which it does not on labelled data. Documents without an id are no one's copies and
-stay. An empty table passes through. Repeated rows with one id become one row at the second stage.
+without words, which it does not on labelled data. Repeated rows and other copies become one row at
+the second stage, whatever their ids; a text that is no copy stays, also if its id repeats or is null.
+An empty table passes through. Very long texts are read whole by every stage.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tomewright.llm import bpe, decontaminate, jaccard, pii, toxicity
 from tomewright.llm.frames import remainder, written
@@ -40,15 +40,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id."""
-    kept = (jaccard.jaccard_components(docs).where("doc_id = component_id")
-            .select("doc_id").distinct())
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    """Of each group of near copies the document of the smallest id; documents without words stay.
 
+    Rows are told apart by their id and text together, so ids may repeat or be missing.
+    """
     def first(d: DataFrame) -> DataFrame:
-        stays = (d.join(kept, "doc_id", "left_semi").withColumn("n", F.row_number().over(one))
-                 .where("n = 1").drop("n"))
-        return stays.unionByName(d.where("doc_id IS NULL"))
+        d = d.withColumn("row_key", F.xxhash64("doc_id", "text"))
+        found = jaccard.jaccard_components(d.select(F.col("row_key").alias("doc_id"), "text"))
+        names = d.select("row_key", "doc_id").distinct()
+        least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")
+        kept = (found.where("n_shingles > 0").select(F.col("doc_id").alias("row_key"), "component_id")
+                .distinct().join(names, "row_key").groupBy("component_id").agg(least)
+                .select("least.row_key"))
+        words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        stays = d.where(words).join(kept, "row_key", "left_semi").dropDuplicates(["row_key"])
+        return stays.unionByName(d.where(~words)).drop("row_key")
 
     return _beside(docs, first)
 
@@ -87,7 +93,7 @@ STAGES = [
     ("byte_level_bpe", encode_tokens),
 ]
 
-#: SQL expresses neither the toxicity model nor the merges; see tests/llm/test_pipeline.py.
+#: SQL expresses neither the toxicity model nor the merges; see tests/llm/test_llm_pipeline.py.
 ORACLE_SQL = None
 
 
