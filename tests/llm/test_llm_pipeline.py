@@ -73,9 +73,29 @@ def test_pipeline(spark, planted, monkeypatch):
 
 
 def test_stage_columns(spark, planted):
+    """Columns with names that operators use come through; an empty table passes."""
     path, _, _ = planted
     docs = spark.read.parquet(f"{path}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[2:4]:
-        assert stage(spark, docs.limit(20), path).columns == docs.columns, name
+    for name in ("predicted", "row_key", "ids", "hits", "component_id", "label"):
+        docs = docs.selectExpr("*", f"'kept' AS {name}")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        done = stage(spark, docs, path)
+        assert done.columns == docs.columns, name
+        assert {r.row_key for r in done.collect()} == {"kept"}, name
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), path).collect() == [], name
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "ngram_jaccard_join", "benchmark_decontamination", "pii", "byte_level_bpe"]
+
+
+def test_unique_texts_stay_whatever_their_ids(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELLS", 1 << 12)
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 1 << 16)
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(30)) for w in "abcd")
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, c), (None, d), (3, d), (4, ""), (4, ""),
+            (5, None), (None, None), (6, b + " more"), (7, "lone"), (7, "lone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    done = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(map(tuple, done), key=str) == sorted(
+        [(1, a), (1, b), (None, c), (3, d), (4, ""), (4, ""), (5, None), (None, None), (7, "lone")],
+        key=str)
