@@ -168,3 +168,14 @@ def test_quick_tests_hide_no_entity(spark):
     assert all(r.bare for r in rows), [r.text for r in rows if not r.bare]
     found = pii.replace_entities(frame(spark, list(enumerate(reported))), "key").collect()
     assert [(r.n_entities, r.entity_types) for r in found] == [(1, ["phone"])] * 3
+
+
+def test_a_mention_of_a_million_characters(spark):
+    """The work is in proportion to the length."""
+    rows = [(1, "token=" + "aZ9_" * 250_000 + " end"), (2, "mail " + "x" * 200_000 + "@example.com")]
+    done = {r.doc_id: r for r in pii.replace_entities(frame(spark, rows), "k").collect()}
+    for i, text in rows:
+        assert len(done[i].text) == len(text) and done[i].n_entities == 1
+        assert done[i].text[:5] == text[:5] and done[i].text != text
+    assert done[1].text.endswith(" end") and done[1].text[6:].count("_") == 250_000
+    assert done[2].text.endswith(".com")

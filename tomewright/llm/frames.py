@@ -48,8 +48,11 @@ def internal(df: DataFrame, name: str) -> str:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``BATCH_ROWS`` rows at a time."""
-    return (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
+    """``BATCH_ROWS`` rows at a time; behind the last, workers give back what Arrow holds in reserve."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+    pa.default_memory_pool().release_unused()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]],

@@ -166,37 +166,33 @@ def _draw(place: Column, choices: int) -> Column:
     return F.pmod(F.conv(part, 16, 10).cast("int"), F.lit(choices))
 
 
-def _letter(place: Column, letters: str) -> Column:
-    return F.lit(letters).substr(_draw(place, len(letters)) + 1, F.lit(1))
+_SPELLED = r"[\p{L}\p{N}]"
 
 
 def _spelled() -> Column:
     """``body`` with each letter or digit replaced by another of its script and case.
 
-    The n-th letter or digit of an entity gets the same draw in all its formats.
+    The n-th letter or digit of an entity gets the same draw in all its formats. Letters, the gaps
+    between them and the draws are arrays, so the work is in proportion to the length.
     """
-    def one(x: Column) -> Column:
-        c, before, place = x["c"], x["before"], x["place"]
-        first = (F.col("kind") == "phone") & ~before.rlike(r"\d$")  # no group begins with 0
+    def one(c: Column, place: Column) -> Column:
+        number = F.conv(F.element_at("numbers", place + 1), 16, 10).cast("int")
+
+        def letter(letters: str) -> Column:
+            return F.lit(letters).substr(F.pmod(number, F.lit(len(letters))) + 1, F.lit(1))
+
+        # No group of a phone number begins with 0.
+        first = (F.col("kind") == "phone") & ((place == 0) | (F.element_at("gaps", place + 1) != ""))
         out = (F.when((F.col("kind") == "card") & (place == 0), c)
-               .when(F.col("is_hex") & c.rlike("[0-9a-f]"), _letter(place, _HEX))
-               .when(c.rlike(r"\p{Nd}") & first, _letter(place, "123456789"))
-               .when(c.rlike(r"\p{Nd}"), _letter(place, "0123456789")))
+               .when(F.col("is_hex") & c.rlike("[0-9a-f]"), letter(_HEX))
+               .when(c.rlike(r"\p{Nd}") & first, letter("123456789"))
+               .when(c.rlike(r"\p{Nd}"), letter("0123456789")))
         for script, letters in _LETTERS.items():
-            out = out.when(c.rlike(script), _letter(place, letters))
+            out = out.when(c.rlike(script), letter(letters))
         return out.otherwise(c)
 
-    return F.array_join(F.transform("characters", one), "")
-
-
-def _characters(body: Column) -> Column:
-    """Each character with what stands before it and its number among the letters and digits."""
-    def one(i: Column) -> Column:
-        before = body.substr(F.lit(1), i - 1)
-        return F.struct(body.substr(i, F.lit(1)).alias("c"), before.alias("before"), F.length(
-            F.regexp_replace(before, r"[^\p{L}\p{N}]", "")).alias("place"))
-
-    return F.transform(F.sequence(F.lit(1), F.length(body)), one)
+    return F.array_join(F.zip_with("gaps", F.array_append(F.transform("letters", one), F.lit("")),
+                                   lambda gap, c: F.concat(gap, c)), "")
 
 
 def _check_digit(digits: Column) -> Column:
@@ -249,11 +245,14 @@ def with_surrogate(mentions_of: DataFrame, key: str, name: str) -> DataFrame:
         "substring(mention, length(prefix) + 1, "
         "length(mention) - length(prefix) - length(suffix))")), "pii-draws")
     spelled = written(
-        drawn.withColumn("characters", _characters(body))
+        drawn.withColumn("letters", F.regexp_extract_all(body, F.lit(_SPELLED), F.lit(0)))
+        .withColumn("gaps", F.split(body, _SPELLED, -1))
+        .withColumn("numbers", F.regexp_extract_all("draws", F.lit("..."), F.lit(0)))
         .withColumn("is_hex", kind.isin("secret", "key") & body.rlike("^[0-9a-f]+$"))
         .withColumn("valid", (kind == "card") & (_check_digit(_without_last(
             _digits(body))) == F.substring(body, -1, 1))), "pii-characters")
-    plain = written(spelled.withColumn("plain", _spelled()).drop("characters"), "pii-plain")
+    plain = written(spelled.withColumn("plain", _spelled()).drop("letters", "gaps", "numbers"),
+                    "pii-plain")
     parts = F.array_join(F.transform(F.split(body, r"\."), lambda _, i: (
         _draw(i, 254) + 1).cast("string")), ".")
     card = F.concat(_without_last(F.col("plain")), _check_digit(_without_last(

@@ -75,8 +75,8 @@ def word_scores(words: A.Words, scores: np.ndarray, shape: Shape) -> np.ndarray:
     """Class scores of every word of a block; distinct words are worked out once."""
     places, inverse = distinct(words)
     out = np.empty((len(places), scores.shape[1]), np.float32)
-    for at in range(0, len(places), 1 << 15):  # bounds the memory of a block of odd words
-        some = places[at:at + (1 << 15)]
+    for at in range(0, len(places), 1 << 13):  # bounds the memory of a block of odd words
+        some = places[at:at + (1 << 13)]
         out[at:at + len(some)] = word_means(scores, *subwords(words, some, shape))
     return out[inverse]
 
