@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,11 +49,19 @@ def internal(df: DataFrame, name: str) -> str:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``BATCH_ROWS`` rows at a time; behind the last, workers give back what Arrow holds in reserve."""
+    """``BATCH_ROWS`` rows at a time; behind the last, workers give back the memory they hold free."""
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH_ROWS):
             yield batch.slice(at, BATCH_ROWS)
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory of this process to the system: workers are kept, and others need it."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]],
