@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from tomewright.llm import arrays as A
 from tomewright.llm.components import components
-from tomewright.llm.frames import slices, sum_vectors, vector_rows, written
+from tomewright.llm.frames import give_back, slices, sum_vectors, vector_rows, written
 
 WORDS = 5
 PERCENT = 75
@@ -399,6 +399,7 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     first = _possible(first, members, percent)
     links = written(sure.union(_linked(first, _shingles(docs, first, n), percent)), "links")
     order.destroy()
+    give_back()
     return _named(members, _joined(docs, listed, members, links, boundary, n, percent))
 
 

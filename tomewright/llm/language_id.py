@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tomewright.llm import arrays as A
-from tomewright.llm.frames import internal, map_arrow
+from tomewright.llm.frames import give_back, internal, map_arrow
 from tomewright.llm.samples import labelled_sample
 from tomewright.llm.subwords import (Corpus, Model, Shape, batch_size, min_texts,
                                       softmax, word_scores)
@@ -110,7 +110,9 @@ def train(docs: DataFrame, lang: str = "lang", max_rows: int = SAMPLE_ROWS,
     """A model from the labelled rows of ``docs`` (doc_id, text and ``lang``)."""
     sample = labelled_sample(docs.select("doc_id", "text", F.col(lang).alias("label")), None,
                              max_rows, max_chars)
-    return fit(sample)
+    model = fit(sample)
+    give_back()  # what the driver needed for the sample
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:

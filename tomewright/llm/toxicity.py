@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tomewright.llm import arrays as A
-from tomewright.llm.frames import map_arrow
+from tomewright.llm.frames import give_back, map_arrow
 from tomewright.llm.samples import labelled_sample
 from tomewright.llm.subwords import (Corpus, Model, Shape, batch_size, min_texts,
                                       word_scores)
@@ -144,8 +144,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS,
           max_chars: int = SAMPLE_CHARS) -> ToxicityModel:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
-    return fit(labelled_sample(docs, labels.select("doc_id", F.col("toxic").alias("label")),
-                               max_rows, max_chars))
+    model = fit(labelled_sample(docs, labels.select("doc_id", F.col("toxic").alias("label")),
+                                max_rows, max_chars))
+    give_back()  # what the driver needed for the sample
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
