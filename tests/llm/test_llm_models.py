@@ -146,10 +146,10 @@ def test_joined_words_give_the_same(spark, scored, monkeypatch):
 def test_chances_add_up(scored):
     _, model, _ = scored
     rows = np.random.default_rng(1).integers(0, maxent.ROWS, (3, 5))
-    classes = maxent._log_chances(model, rows, model.class_rows, model.class_bias)
-    assert np.allclose(np.exp(classes.astype(float)).sum(axis=1), 1, atol=1e-4)
-    inside = maxent._log_chances(model, rows, model.word_rows, model.word_bias[np.arange(5)])
-    assert np.allclose(np.exp(inside.astype(float)).sum(axis=1), 1, atol=1e-4)
+    for table, bias in ((model.class_rows, model.class_bias),
+                        (model.word_rows, model.word_bias[np.arange(5)])):
+        logs = [maxent._log_chances(rows, table, bias, np.full(5, k)) for k in range(table.shape[1])]
+        assert np.allclose(np.exp(logs).sum(axis=0), 1, atol=1e-4)
 
 
 def test_nothing_learned(spark):
@@ -191,12 +191,27 @@ def test_words_share_places_beyond_the_known(spark, monkeypatch):
         model.shared_total)) + 1, model.shared_total)
 
 
+def test_words_without_a_place_have_their_share_of_it(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "WIDTH", 2)
+    monkeypatch.setattr(maxent, "ROUNDS", 0)  # the counts alone
+    docs = spark.createDataFrame([(i, f"u{i % 40}z v{i % 7}z") for i in range(280)],
+                                 "doc_id long, text string")
+    model, counts = maxent.train(docs)
+    assert model.own < len(model.words) == 48
+    asked = docs.limit(40).selectExpr("doc_id", "text", "false AS held_out")
+    for r in maxent.score(asked, model, counts).collect():
+        want = sum(math.log10((c + 1) / (3 * 280 + 48 + len(model.shared_total)
+                                         + max(model.own - 48, 0))) for c in (7, 40, 280))
+        assert math.isclose(r.score, want, abs_tol=1e-3)
+
+
 def test_model_sizes_follow_the_words():
     def sized(n):
-        width = maxent.width_of(min(n, maxent.KNOWN))
-        return maxent.Model(np.arange(min(n, maxent.KNOWN), dtype=np.uint64), np.ones(min(
-            n, maxent.KNOWN), np.int64), *np.zeros((2, maxent.TAIL * width ** 2)), n, n)
-
-    small, large = sized(1000), sized(200_000)
-    assert small.width ** 3 >= 64 * 64 and len(small.class_rows) == maxent.ROWS
-    assert large.width ** 3 >= maxent.KNOWN and len(large.word_rows) == maxent.MAX_ROWS
+        known = min(n, maxent.KNOWN)
+        return maxent.Model(np.arange(known, dtype=np.uint64), np.ones(known, np.int64), *np.zeros(
+            (2, maxent.TAIL * maxent.width_of(n))), n, n)
+
+    small, large, huge = sized(1000), sized(4_000_000), sized(100_000_000)
+    assert small.width == maxent.WIDTH and len(small.class_rows) == maxent.ROWS
+    assert large.own >= 3900 and len(large.word_rows) == maxent.MAX_ROWS
+    assert huge.own >= 19_000 and len(huge.class_bias) == huge.width + maxent.TAIL
