@@ -152,6 +152,19 @@ def test_chances_add_up(scored):
         assert np.allclose(np.exp(logs).sum(axis=0), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("far", [0, 100, 5000, -5000])
+def test_chances_of_scores_far_from_zero(far):
+    rng = np.random.default_rng(3)
+    table, bias = np.full((2, 8, 6), far / 3, np.float32), rng.normal(size=(4, 6))
+    rows, target = rng.integers(0, 8, (3, 4)), np.array([0, 3, 5, 5])
+    want = bias[np.arange(4), target] - np.log(np.exp(bias).sum(axis=1))
+    got = maxent._log_chances(rows, table[0], bias.astype(np.float32), target)
+    assert np.allclose(got, want, atol=2e-3)
+    maxent._factor_step(table[1], np.zeros(8, np.float32), bias.astype(np.float32), rows, target)
+    assert np.isfinite(table[1]).all()
+    assert (maxent._log_chances(rows, table[1], bias.astype(np.float32), target) > got).mean() > 0.5
+
+
 def test_nothing_learned(spark):
     docs = frame(spark, [(1, "a b"), (2, None)]).selectExpr("doc_id", "text", "true AS held_out")
     model, counts = maxent.train(docs.where("false"))
