@@ -11,10 +11,11 @@ the same patterns read it. Which braces belong together is found with a stack, a
 
 from __future__ import annotations
 
-import bisect
 import re
 from functools import reduce
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,11 @@ OPTIONS = (r"(?:const|export\s+const)\s+(\w*(?:CONFIG|OPTIONS|SETTINGS|DEFAULTS|
 
 _TAKEN = re.compile("[:][\\s\ufeff]*[}]")
 # What stands between two braces that belong together.
-_INSIDE = reduce(lambda inner, _: rf"(?:[^{{}}]++|\{{{inner}\}})*+", range(LEVELS), "[^{}]*+")
+_INSIDES = list(accumulate(range(LEVELS), lambda inner, _: rf"(?:[^{{}}]++|\{{{inner}\}})*+",
+                           initial="[^{}]*+"))
+_INSIDE = _INSIDES[-1]
+# Braces that rise by more than LEVELS, see ``is_deep``.
+_RISE = "".join(rf"\{{{inside}" for inside in _INSIDES[LEVELS - 1::-1]) + r"\{"
 _BLOCK = rf"\{{{_INSIDE}\}}"
 # A name with its colon; the character after it belongs to it, even a brace. ``%s`` is the name.
 _PROPERTY = (rf"(?<![^;,{{{WS}])(?!(?:{'|'.join(NOT_A_PROPERTY)})\??:)"
@@ -148,82 +153,104 @@ _FAMILIES = {
 
 
 def is_deep(content: Column) -> Column:
-    """Whether braces rise by more than ``LEVELS`` anywhere in a text."""
-    signs = F.split(F.regexp_replace(content, "[^{}]++", ""), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("least"), F.lit(0).alias("rise"))
-
-    def step(s: Column, sign: Column) -> Column:
-        now = s.now + F.when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
-        return F.struct(now.alias("now"), F.least(s.least, now).alias("least"),
-                        F.greatest(s.rise, now - F.least(s.least, now)).alias("rise"))
-
-    opened = F.length(F.regexp_replace(content, "[^{]++", ""))
-    return (opened > LEVELS) & (F.aggregate(signs, start, step).rise > LEVELS)
-
-
-def _taken_apart(marked: str, from_begin: bool) -> list[str]:
-    """Each header, marked by its begin and end, with its block as a text of its own."""
-    parts, headers, at = [], [], 0
-    for part in re.split(f"([{_BEGIN}{_END}])", marked):
-        if part == _BEGIN:
-            headers.append([at, at])
-        elif part == _END:
-            headers[-1][1] = at
-        else:
-            parts.append(part)
-            at += len(part)
-    text = "".join(parts)
-    depth, level, stack, closes = {}, 0, [], {}
-    braces = [m.start() for m in re.finditer("[{}]", text)]
-    for k in braces:
-        if text[k] == "{":
-            stack.append(k)
-            depth[k] = level = len(stack)
-        else:
-            depth[k] = len(stack)
-            if stack:
-                closes[stack.pop()] = k
-    out = []
-    for begin, end in headers:
-        opened = text.find("{", begin if from_begin else end)
-        if opened < 0:
-            out.append(text[begin:end])
-            continue
-        # A block that is never closed goes to the end of the text.
-        stop = max(closes.get(opened, len(text) - 1) + 1, end)
-        if _TAKEN.search(text, opened, stop):  # a name takes a brace: the block may go on behind it
-            stop = len(text)
-        limit = depth[opened] + _KEPT_LEVELS
-        signs = list(text[begin:stop])
-        for k in braces[bisect.bisect_left(braces, opened):bisect.bisect_left(braces, stop)]:
-            if depth[k] > limit:
-                signs[k - begin] = _OPEN if text[k] == "{" else _CLOSE
-        out.append("".join(signs))
+    """Whether braces rise by more than ``LEVELS`` anywhere in a text.
+
+    Where they first do, ``LEVELS + 1`` braces are open, and between the k-th and the next are only
+    blocks of up to ``LEVELS - k`` levels. What the next one opens is deeper, so no block takes it.
+    """
+    signs = F.regexp_replace(content, "[^{}]++", "")
+    return (F.length(signs) > LEVELS) & signs.rlike(_RISE)
+
+
+class _Braces:
+    """The braces of a text: where they are, how deep each is, and which belong together."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        self.at = np.flatnonzero((self.points == ord("{")) | (self.points == ord("}")))
+        self.opens = self.points[self.at] == ord("{")
+        level = np.concatenate([[0], np.cumsum(np.where(self.opens, 1, -1))])
+        level -= np.minimum.accumulate(level)  # a brace that closes nothing lowers nothing
+        self.after = level[1:]
+        self.depth = np.where(self.opens, self.after, level[:-1])
+
+    def close(self, opened: int) -> int:
+        """Where the block that ``opened`` opens ends; the end of the text if it is never closed."""
+        n = np.searchsorted(self.at, opened)
+        below = self.after[n + 1:] < self.after[n]
+        k = int(below.argmax()) if below.size else 0
+        return int(self.at[n + 1 + k]) if below.size and below[k] else len(self.text) - 1
+
+    def piece(self, begin: int, opened: int, stop: int) -> str:
+        """A part of the text with other signs for the braces far below the one ``opened``."""
+        first, last = np.searchsorted(self.at, [opened, stop])
+        far = self.depth[first:last] > self.depth[first] + _KEPT_LEVELS
+        if not far.any():
+            return self.text[begin:stop]
+        signs = self.points[begin:stop].copy()
+        signs[self.at[first:last][far] - begin] = np.where(
+            self.opens[first:last][far], ord(_OPEN), ord(_CLOSE))
+        return signs.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _taken_apart(marked: dict[str, str]) -> dict[str, list[str]]:
+    """Each header, marked by its begin and end, with its block as a text of its own.
+
+    The texts of all families are the same but for their marks.
+    """
+    found, out = None, {}
+    for name, text in marked.items():
+        parts, headers, at = [], [], 0
+        for part in re.split(f"([{_BEGIN}{_END}])", text):
+            if part == _BEGIN:
+                headers.append([at, at])
+            elif part == _END:
+                headers[-1][1] = at
+            else:
+                parts.append(part)
+                at += len(part)
+        if found is None:
+            found = _Braces("".join(parts))
+        out[name] = [_piece(found, begin, end, begin if _FAMILIES[name][2] else end)
+                     for begin, end in headers]
     return out
 
 
+def _piece(found: _Braces, begin: int, end: int, search_from: int) -> str:
+    opened = found.text.find("{", search_from)
+    if opened < 0:
+        return found.text[begin:end]
+    # A block that is never closed goes to the end of the text.
+    stop = max(found.close(opened) + 1, end)
+    if _TAKEN.search(found.text, opened, stop):  # a name takes a brace: the block may go on behind it
+        stop = len(found.text)
+    return found.piece(begin, opened, stop)
+
+
 def _deep(content: Column) -> Column:
     """``struct(properties, methods, catches, options)`` of scripts that nest deeper."""
-    plain = F.translate(content, _BEGIN + _END + _OPEN + _CLOSE, "????")
+    plain = F.regexp_replace(content, f"[{_BEGIN}{_END}{_OPEN}{_CLOSE}]", "?")
     marked = F.when(content.isNotNull(), F.struct(*[
         F.regexp_replace(plain, jvm(header, flags), f"{_BEGIN}$0{_END}").alias(name)
         for name, (header, flags, _, _, _) in _FAMILIES.items()]))
 
     kind = "struct<" + ",".join(f"{n}:array<string>" for n in _FAMILIES) + ">"
-    begins = {name: f[2] for name, f in _FAMILIES.items()}
 
     @F.arrow_udf(kind)
     def take_apart(rows: pa.Array) -> pa.Array:
-        out = [r and {n: _taken_apart(r[n], b) for n, b in begins.items()} for r in rows.to_pylist()]
-        return pa.array(out, pa.struct([(n, pa.list_(pa.string())) for n in begins]))
+        out = [None if r is None else _taken_apart(r) for r in (x.as_py() for x in rows)]
+        return pa.array(out, pa.struct([(n, pa.list_(pa.string())) for n in _FAMILIES]))
 
     return take_apart(marked)
 
 
 def with_brace_facts(rows: DataFrame, content: Column, name: str) -> DataFrame:
     """``rows`` with ``struct(properties, methods, catches, options)`` of scripts; null stays null."""
+    # A column of its own: every header's pattern asks for it.
     deep = F.coalesce(is_deep(content), F.lit(False))
-    rows = rows.withColumn("__deep", _deep(F.when(deep, content)))
+    rows = rows.withColumn("__is_deep", deep)
+    rows = rows.withColumn("__deep", _deep(F.when(F.col("__is_deep"), content)))
 
     def of(family: str) -> Column:
         _, _, _, read, put = _FAMILIES[family]
@@ -234,4 +261,4 @@ def with_brace_facts(rows: DataFrame, content: Column, name: str) -> DataFrame:
         return F.when(F.col("__deep").isNotNull(), first).otherwise(flat).alias(family)
 
     facts = F.when(content.isNotNull(), F.struct(*[of(f) for f in _FAMILIES]))
-    return rows.withColumn(name, facts).drop("__deep")
+    return rows.withColumn(name, facts).drop("__deep", "__is_deep")
