@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 20
 LONGEST = 3
-_CHUNK_CHARS = 1 << 20
+_CHUNK_CHARS = 1 << 18
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -49,14 +50,22 @@ def cells(texts: list[str], longest_only: bool = False) -> tuple[np.ndarray, np.
         np.int32)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Numbers of texts and the texts, some at a time; a long one comes in pieces that overlap.
+
+    Only what is given out leaves Arrow's memory, and no more than twice ``_CHUNK_CHARS`` bytes of it.
+    """
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
     at = 0
     while at < len(texts):
-        to, chars = at, 0
-        while to < len(texts) and (to == at or chars + len(texts[to]) <= _CHUNK_CHARS):
-            chars += len(texts[to])
-            to += 1
-        yield at, to
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + _CHUNK_CHARS, "right")))
+        some = [t or "" for t in texts.slice(at, to - at).to_pylist()]
+        if len(some) > 1 or len(some[0]) <= _CHUNK_CHARS:
+            yield np.arange(at, to), some
+        else:
+            for begin in range(0, len(some[0]), _CHUNK_CHARS):
+                yield np.array([at]), [some[0][begin:begin + _CHUNK_CHARS + LONGEST - 1]]
         at = to
 
 
@@ -92,13 +101,16 @@ def candidates(strings: DataFrame, texts: DataFrame) -> DataFrame:
         column = batch.column("texts")
         owner = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy(
             zero_copy_only=False))
-        flat = [t or "" for t in column.flatten().to_pylist()]
-        pairs = []
-        for at, to in _chunks(flat):
-            row, cell = cells(flat[at:to])
+        both, pairs, held = np.zeros(0, np.int64), [], 0
+        for numbers, some in _chunks(column.flatten()):
+            row, cell = cells(some)
             keep = _held(bits, cell)
-            pairs.append((owner[at + row[keep]].astype(np.int64) << BITS) | cell[keep])
-        both = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
+            pairs.append(np.unique((owner[numbers[row[keep]]].astype(np.int64) << BITS)
+                                   | cell[keep]))
+            held += len(pairs[-1])
+            if held > max(_CHUNK_CHARS, len(both)):  # rows have the same runs in many chunks
+                both, pairs, held = np.unique(np.concatenate([both, *pairs])), [], 0
+        both = np.unique(np.concatenate([both, *pairs]))
         return both >> BITS, (both & ((1 << BITS) - 1)).astype(np.int32)
 
     asked = strings.mapInArrow(of_strings, "string string, cell int")
