@@ -182,12 +182,15 @@ def written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str],
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a written table, which is what a corpus is: many files, not one."""
+    """A view as a written table, which is what a corpus is: many files, not one.
+
+    Rows are dealt by a hash of all they hold: dealt in turn, Spark would sort them first.
+    """
     def write(path: str) -> None:
         source, columns, where = VIEWS[name]
-        table(spark, sf_dir, source).where(where).selectExpr(
-            *[f"{e} AS {c}" for c, e in columns.items()]).repartition(
-            2 * spark.sparkContext.defaultParallelism).write.parquet(path)
+        rows = table(spark, sf_dir, source).where(where)
+        rows.repartition(2 * spark.sparkContext.defaultParallelism, *rows.columns).selectExpr(
+            *[f"{e} AS {c}" for c, e in columns.items()]).write.parquet(path)
 
     return spark.read.parquet(written(spark, sf_dir, name, write))
 
