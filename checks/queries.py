@@ -327,10 +327,15 @@ def snapshot(spark, sf, name):
     return raw_files(spark, sf, f"snapshot_{name}")
 
 
+def files_before(spark, sf) -> DataFrame:
+    """What the previous run knew of each file, written once: redacted a single time, no text."""
+    return spark.read.parquet(written(spark, sf, "files_before", lambda p: sources.prepare_files(
+        snapshot(spark, sf, "prev")).drop("content").write.parquet(p)))
+
+
 def prior_state(spark, sf) -> DataFrame:
     """The stored state of the previous run."""
-    return spark.read.parquet(written(spark, sf, "prior", lambda p: changes.file_state(
-        sources.prepare_files(snapshot(spark, sf, "prev"))).write.parquet(p)))
+    return changes.file_state(files_before(spark, sf))
 
 
 def detected(spark, sf) -> DataFrame:
@@ -347,8 +352,8 @@ def current_changes(spark, sf) -> DataFrame:
 def kb_before(spark, sf) -> KnowledgeBase:
     """The stored knowledge base of the previous run, with one entry added by hand."""
     def write(path: str) -> None:
-        files_then = sources.prepare_files(snapshot(spark, sf, "prev"))
-        planned = assemble.resolve_collisions(directory.plan_by_directory(files_then))
+        planned = assemble.resolve_collisions(directory.plan_by_directory(
+            files_before(spark, sf)))
         note = spark.range(1).select(
             F.lit("note").alias("title"), F.lit("general").alias("category"),
             F.lit("by hand").alias("description"), F.lit("remember this").alias("text"))
