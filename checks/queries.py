@@ -1230,7 +1230,7 @@ def stream_refresh(spark, sf):
         for name in ("prev", "now"):
             arrived = snapshot(spark, sf, name).withColumn(
                 "modified", F.timestamp_seconds(F.lit(time.time())))
-            arrived.coalesce(1).write.mode("append").parquet(f"{path}/in")
+            arrived.write.mode("append").parquet(f"{path}/in")
             stream = spark.readStream.schema(arrived.schema).parquet(f"{path}/in")
             refresh.stream_refresh(stream, f"{path}/kb", f"{path}/checkpoint",
                                    lambda batch: AS_OF).awaitTermination()
