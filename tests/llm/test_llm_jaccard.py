@@ -172,3 +172,45 @@ def test_long_lists_are_compared_in_blocks(spark, monkeypatch, seed):
     rows = list(enumerate(texts + [t for _, t in near_copies(seed, 6)], 100))
     got = jaccard.jaccard_components(frame(spark, rows)).collect()
     assert sorted(map(tuple, got), key=str) == plain_components(rows)
+
+
+def test_small_tables_are_few_tasks(spark):
+    """A few links are no more tasks than cores, however many shuffle partitions there are."""
+    settings = {"spark.sql.shuffle.partitions": "64",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    links = [(k, k + 1) for k in range(30)] + [(100, 200 + k) for k in range(30)]
+    df = spark.createDataFrame(links, "u long, v long")
+    sc = spark.sparkContext
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few", "few")
+        got = components.components(df).collect()
+        tracker = sc.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few")
+                  for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["root"] for r in got if r["node"] <= 30} == {0}
+    assert len(got) == 62
+    assert max(s.numTasks for s in stages if s) <= 16
+
+
+def test_sketches_are_small_and_tell_sets_apart():
+    rng = np.random.default_rng(5)
+    one, other = (np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64)) for _ in range(2))
+    a, b = jaccard.sketch(one), jaccard.sketch(other)
+    assert len(a) == 64
+    assert not jaccard.could_link(500, a, 500, b, 75)
+
+
+def test_lists_of_two_sets_have_no_more_pairs(spark):
+    entries = [(1, jaccard._WHOLE, 0, 9, 11), (1, jaccard._WHOLE, 0, 9, 12), (2, jaccard._WHOLE, 0, 9, 11),
+               (3, jaccard._WHOLE, 0, 9, 11), (3, jaccard._WHOLE, 0, 9, 12), (3, jaccard._WHOLE, 0, 9, 13),
+               (3, jaccard._WHOLE, 0, 9, 13), (4, 1, 0, 9, 14)]
+    got = jaccard._lists(spark.createDataFrame(entries, jaccard._ENTRIES), 75, len(entries)).collect()
+    assert sorted((r["list"], r["set_id"], r["more"]) for r in got) == [
+        (1, 11, False), (1, 12, False), (3, 11, True), (3, 12, True), (3, 13, True), (4, 14, True)]

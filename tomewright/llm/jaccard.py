@@ -39,10 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tomewright.llm import arrays as A
 from tomewright.llm.components import components
-from tomewright.llm.frames import give_back, slices, sum_vectors, vector_rows, written
+from tomewright.llm.frames import (few_tasks, give_back, slices, sum_vectors, vector_rows,
+                                   written)
 
 WORDS = 5
 PERCENT = 75
@@ -66,7 +68,8 @@ _SETS = T.StructType([T.StructField("doc_id", T.LongType()),
                       T.StructField("sketch", T.BinaryType())])
 _WHOLE = -1  # the salt of a list that is not dealt over several
 _ENTRIES = "list long, salt int, need int, size int, set_id long"
-_LISTED = "list long, need int, size int, set_id long, hub_size int, hub long"
+_LISTED = "list long, need int, size int, set_id long, hub_size int, hub long, more boolean"
+_WIDE = 16  # narrow rows that one with a sketch or a set counts for
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -107,12 +110,13 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles in four cells a shingle, 256 at least.
+    """Parities of the numbers of shingles in one to two cells a shingle, 256 at least.
 
     Every shingle that two sets do not share turns over one parity, so sketches differ in at most
-    as many places as the sets; with so many cells not in many less.
+    as many places as the sets. Those of sets with nothing in common differ in nearly half of the
+    cells, while a link of 75 percent allows two sevenths of the shingles.
     """
-    cells = 4 << max(6, (len(shingles) - 1).bit_length())
+    cells = 1 << max(8, (len(shingles) - 1).bit_length())
     counts = np.bincount((shingles % np.uint64(cells)).astype(np.int64), minlength=cells)
     return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
 
@@ -235,19 +239,22 @@ def _entry_rows(waiting: list) -> pa.RecordBatch:
         names=["list", "salt", "need", "size", "set_id"])
 
 
-def _lists(entries: DataFrame, percent: int) -> DataFrame:
+def _lists(entries: DataFrame, percent: int, rows: int) -> DataFrame:
     """Entries that share a list, each with the set to compare it with.
 
+    There are about ``rows`` entries. ``more`` tells lists of three and more sets, or dealt over
+    several, from those whose only pair is a set and its hub.
+
     The sets of a subset come sorted by size and are compared with the first. Those of an inverted
     list come in an order that is the same for all lists and as good as random, so that near copies
     meet the same few hubs everywhere: each set is compared with the first that it could link with by
     its size, and is a hub itself if there is none.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # the entry before, not passed on yet
+        last: tuple | None = None  # the entry before
         hub: tuple | None = None   # its hub
         hubs: list[tuple] = []     # of its list
-        alone = True
+        begun: list[tuple] = []    # the first two of its list, until there is a third
         for batch in batches:
             out: list[tuple] = []
             columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
@@ -260,11 +267,8 @@ def _lists(entries: DataFrame, percent: int) -> DataFrame:
             joined = np.flatnonzero(same[:rows] | same[1:] | (np.arange(rows) == 0)
                                     | (np.arange(rows) == rows - 1) | (columns[1] != _WHOLE))
             picked = list(zip(*(c[joined].tolist() for c in columns), strict=True))
-            for at, row in zip(joined.tolist(), picked, strict=True):
+            for row in picked:
                 if last is not None and row[:3] == last[:3]:
-                    if alone:
-                        out.append(_listed(last, hub))
-                    alone = False
                     if row[4] == last[4]:
                         continue  # one set from two tasks
                     if row[2] == 0:
@@ -272,33 +276,45 @@ def _lists(entries: DataFrame, percent: int) -> DataFrame:
                                     >= percent * max(h[3], row[3])), row)
                         if hub is row:
                             hubs.append(row)
-                    out.append(_listed(row, hub))
+                    if len(begun) == 2:
+                        out.extend(_listed(*of, True) for of in begun)
+                        begun = []
+                    if begun:
+                        begun.append((row, hub))
+                    else:
+                        out.append(_listed(row, hub, True))
                 else:
-                    # Parts of a dealt list are kept whatever their length.
-                    if last is not None and alone and last[1] != _WHOLE:
-                        out.append(_listed(last, hub))
-                    hub, hubs, alone = row, [row], True
+                    out.extend(_short_list(begun))
+                    hub, hubs, begun = row, [row], [(row, row)]
                 last = row
             if out:
                 yield _listed_rows(out)
-        if last is not None and alone and last[1] != _WHOLE:
-            yield _listed_rows([_listed(last, hub)])
+        out = _short_list(begun)
+        if out:
+            yield _listed_rows(out)
 
     order = F.when(F.col("need") > 0, F.col("size")).otherwise(F.xxhash64("set_id"))
-    return (entries.repartition("list", "salt")
+    return (few_tasks(entries.repartition("list", "salt"), rows)
             .sortWithinPartitions("list", "salt", "need", order, "set_id")
             .mapInArrow(run, _LISTED))
 
 
-def _listed(row: tuple, hub: tuple) -> tuple:
-    return row[0], row[2], row[3], row[4], hub[3], hub[4]
+def _listed(row: tuple, hub: tuple, more: bool) -> tuple:
+    return row[0], row[2], row[3], row[4], hub[3], hub[4], more
+
+
+def _short_list(begun: list[tuple]) -> list[tuple]:
+    """A list of two sets; parts of a dealt list are kept whatever their length."""
+    if not begun or (len(begun) == 1 and begun[0][0][1] == _WHOLE):
+        return []
+    return [_listed(row, hub, row[1] != _WHOLE) for row, hub in begun]
 
 
 def _listed_rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
     return pa.RecordBatch.from_arrays(
         [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-        names=["list", "need", "size", "set_id", "hub_size", "hub"])
+        names=["list", "need", "size", "set_id", "hub_size", "hub", "more"])
 
 
 def _filter_places(ids: np.ndarray) -> np.ndarray:
@@ -322,8 +338,8 @@ def _id_filter(pairs: DataFrame) -> np.ndarray:
                        FILTER_BITS // 8, np.uint8, np.bitwise_or)
 
 
-def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that their sets' sketches, an eighth of a byte a shingle, leave possible."""
+def _possible(pairs: DataFrame, members: DataFrame, percent: int, rows: int) -> DataFrame:
+    """The about ``rows`` pairs (u, v) that their sets' sketches, some bits a shingle, leave possible."""
     sets = (members.where("set_id IS NOT NULL").groupBy("set_id")
             .agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
     one, two = (sets.select(F.col("set_id").alias(k), F.col("size").alias(f"size_{k}"),
@@ -335,13 +351,14 @@ def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             keep = pa.array([could_link(*row, percent) for row in rows], pa.bool_())
             yield batch.select([0, 1]).filter(keep)
 
-    both = pairs.join(one, "u").join(two, "v").select("u", "v", "size_u", "sketch_u", "size_v",
-                                                      "sketch_v")
+    half = few_tasks(pairs.join(one, "u"), rows, _WIDE)
+    both = few_tasks(half.join(two, "v"), rows, _WIDE).select("u", "v", "size_u", "sketch_u",
+                                                              "size_v", "sketch_v")
     return written(both.mapInArrow(run, "u long, v long"), "possible")
 
 
-def _shingles(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """``id, shingles`` of the sets that ``pairs`` (u, v) name, and of few others."""
+def _shingles(docs: DataFrame, pairs: DataFrame, n: int, rows: int) -> DataFrame:
+    """``id, shingles`` of the sets that the ``rows`` ``pairs`` (u, v) name, and of few others."""
     known = docs.sparkSession.sparkContext.broadcast(_id_filter(pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,18 +372,19 @@ def _shingles(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
 
     sets = (docs.select("text").mapInArrow(run, "id long, shingles array<long>")
             .groupBy("id").agg(F.first("shingles").alias("shingles")))
-    sets = written(sets, "sets")
+    sets = written(few_tasks(sets, 2 * rows, _WIDE), "sets")
     known.destroy()
     return sets
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that link, by whole sets."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Those of ``rows`` pairs (u, v) that link, by whole sets."""
     one, two = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"of_{k}"))
                 for k in ("u", "v"))
     shared = F.size(F.array_intersect("of_u", "of_v"))
     both = F.size("of_u") + F.size("of_v") - shared
-    return (pairs.join(one, "u").join(two, "v")
+    half = few_tasks(pairs.join(one, "u"), rows, _WIDE)
+    return (few_tasks(half.join(two, "v"), rows, _WIDE)
             .where(100 * shared >= percent * both).select("u", "v"))
 
 
@@ -389,15 +407,20 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     weight[counts > 0] = np.floor(np.log2(counts[counts > 0])).astype(np.uint8)
     order = spark.sparkContext.broadcast(weight)
 
-    listed = written(_lists(_entries(docs, n, percent, boundary, order), percent), "listed")
+    shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
+    listed = written(_lists(_entries(docs, n, percent, boundary, order), percent, shingles // 4),
+                     "listed")
+    rows = listed.count()
     apart = listed.where("set_id <> hub")
     subsets = (F.col("need") > 0) & ((100 + percent) * F.col("need")
                                      >= percent * (F.col("size") + F.col("hub_size")))
     pair = (F.col("set_id").alias("u"), F.col("hub").alias("v"))
-    sure = apart.where(subsets).select(*pair).distinct()
-    first = written(apart.where("need = 0").select(*pair).distinct(), "pairs")
-    first = _possible(first, members, percent)
-    links = written(sure.union(_linked(first, _shingles(docs, first, n), percent)), "links")
+    sure = few_tasks(apart.where(subsets).select(*pair).distinct(), rows)
+    first = written(few_tasks(apart.where("need = 0").select(*pair).distinct(), rows), "pairs")
+    first = _possible(first, members, percent, first.count())
+    rows = first.count()
+    links = written(sure.union(_linked(first, _shingles(docs, first, n, rows), percent, rows)),
+                    "links")
     order.destroy()
     give_back()
     return _named(members, _joined(docs, listed, members, links, boundary, n, percent))
@@ -417,11 +440,12 @@ def _joined(docs: DataFrame, listed: DataFrame, members: DataFrame, links: DataF
     while rounds:
         nearest = rounds.pop(0)
         pairs = written(_rest(listed, members, roots, sets, boundary, percent, nearest), "rest")
-        if pairs.isEmpty():
+        rows = pairs.count()
+        if not rows:
             break
         if sets is None:  # later rounds have no other sets
-            sets = _shingles(docs, pairs, n)
-        more = written(_linked(pairs, sets, percent), "links")
+            sets = _shingles(docs, pairs, n, rows)
+        more = written(_linked(pairs, sets, percent, rows), "links")
         if more.isEmpty():
             rounds = rounds[-1:] if nearest else []
         else:
@@ -440,18 +464,20 @@ def _rest(listed: DataFrame, members: DataFrame, roots: DataFrame, only: DataFra
     first of these only.
     """
     roots = roots.select(F.col("node").alias("set_id"), "root")
-    heavy = listed.where("need = 0")
+    heavy = listed.where("need = 0 AND more").drop("more")
+    rows = heavy.count()
     if only is not None:
         heavy = heavy.join(only.select(F.col("id").alias("set_id")), "set_id", "left_semi")
-    rooted = (heavy.join(roots, "set_id", "left")
-              .withColumn("root", F.coalesce("root", "set_id")))
-    mixed = rooted.groupBy("list").agg(
-        F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("sets")) \
-        .where("a <> b").select("list", "sets")
-    rooted = written(rooted.join(mixed, "list"), "rooted")
-    return _rest_of_short(rooted.where(F.col("sets") <= LONG_LIST), members, boundary, percent) \
-        .union(_rest_of_long(rooted.where(F.col("sets") > LONG_LIST), members, boundary, percent,
-                             nearest)).distinct()
+    rooted = few_tasks(heavy.join(roots, "set_id", "left"), rows).withColumn(
+        "root", F.coalesce("root", "set_id"))
+    of = Window.partitionBy("list")
+    mixed = (rooted.withColumn("mixed", F.min("root").over(of) != F.max("root").over(of))
+             .withColumn("sets", F.count("*").over(of)).where("mixed").drop("mixed"))
+    rooted = written(few_tasks(mixed, rows), "rooted")
+    short, long = (rooted.where(c) for c in (F.col("sets") <= LONG_LIST, F.col("sets") > LONG_LIST))
+    pairs = _rest_of_short(short, members, boundary, percent).union(
+        _rest_of_long(long, members, boundary, percent, nearest))
+    return few_tasks(pairs.distinct(), rows)
 
 
 def _rest_of_short(rooted: DataFrame, members: DataFrame, boundary: int,
@@ -463,22 +489,26 @@ def _rest_of_short(rooted: DataFrame, members: DataFrame, boundary: int,
              & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
              & (F.col("x_hub") != F.col("y_set_id")) & (F.col("y_hub") != F.col("x_set_id"))
              & ((F.col("x_size") > boundary) | (F.col("y_size") > boundary)))
-    pairs = x.join(y, "list").where(could).select(
+    rows = rooted.count() * 4  # about
+    pairs = few_tasks(x.join(y, "list"), rows).where(could).select(
         F.col("x_set_id").alias("u"), F.col("y_set_id").alias("v")).distinct()
-    return _possible(pairs, members, percent)
+    return _possible(pairs, members, percent, rows)
 
 
 def _rest_of_long(rooted: DataFrame, members: DataFrame, boundary: int, percent: int,
                   nearest: bool) -> DataFrame:
     """Such pairs of lists that have many sets."""
+    rows = rooted.count()
+    if not rows:
+        return rooted.select(F.col("set_id").alias("u"), F.col("hub").alias("v"))
     long = rooted.groupBy("set_id").agg(F.sort_array(F.collect_set("list")).alias("long"))
     sets = (members.where("set_id IS NOT NULL").join(long, "set_id").groupBy("set_id")
             .agg(F.first("sketch").alias("sketch"), F.first("long").alias("long")))
     blocks = F.ceil(F.col("sets") / GROUP_SETS).cast("int")
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    met = (rooted.withColumn("blocks", blocks).withColumn("own", own)
+    met = (few_tasks(rooted.withColumn("blocks", blocks).withColumn("own", own)
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .join(sets, "set_id")
+           .join(sets, "set_id"), rows, _WIDE)
            .select("list", F.least("own", "other").alias("one"), F.greatest("own", "other")
                    .alias("two"), "own", "set_id", "size", "root", "hub", "sketch", "long"))
 
@@ -490,7 +520,7 @@ def _rest_of_long(rooted: DataFrame, members: DataFrame, boundary: int, percent:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return (met.repartition("list", "one", "two")
+    return (few_tasks(met.repartition("list", "one", "two"), rows, _WIDE)
             .sortWithinPartitions("list", "one", "two", "size", "set_id")
             .mapInArrow(run, "u long, v long"))
 
