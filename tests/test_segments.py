@@ -102,3 +102,15 @@ def test_drop_between(spark):
     for r in got:
         done[r.k] = done.get(r.k, "") + r.text
     assert done == want
+
+
+def test_first_block_with_text_has_the_first_number(spark):
+    """``load_blocks`` knows a document's beginning by it, without a join."""
+    rows = [("a", 4, ""), ("a", 7, "one\ntwo"), ("a", 9, " more\nend"), ("b", 0, "no line end"),
+            ("c", 3, "x\n"), ("c", 5, "y\n"), ("d", 1, None), ("d", 2, "z\nz")]
+    got = segments.recut(spark.createDataFrame(rows, "filename string, block long, text string"),
+                         "filename", segments.LINES).groupBy("filename").agg(
+        F.min("block").alias("first"), F.min_by("text", "block").alias("text")).collect()
+    assert {r["filename"]: (r["first"], r["text"]) for r in got} == {
+        "a": (segments.FIRST, "one\n"), "b": (segments.FIRST, "no line end"),
+        "c": (segments.FIRST, "x\ny\n"), "d": (segments.FIRST, "z\n")}

@@ -182,8 +182,7 @@ def load_blocks(docs: DataFrame, as_of: str) -> KnowledgeBase:
     """
     lines = freeze(segments.recut(docs.select("filename", "block", F.col("document").alias("text")),
                                   "filename", segments.LINES))
-    first = lines.groupBy("filename").agg(F.min("block").alias("first"))
-    placed = lines.join(first, "filename").withColumn("opens", F.col("block") == F.col("first"))
+    placed = lines.withColumn("opens", F.col("block") == segments.FIRST)
     raw, here = F.col("text"), F.col("block")
     end = F.when(~F.col("opens"), F.locate("---", raw)).otherwise(fm.header_end(raw))
     cuts = freeze(

@@ -24,6 +24,7 @@ from tomewright.operators.ordering import freeze, with_ordinal
 
 BLOCK_PIECES = 4096
 BLOCK_CHARS = 1 << 20
+FIRST = 1  # the number that ``recut`` gives to the first block that has text
 _SHIFT = 32  # a block's number: which pieces above, which of their characters below
 
 
