@@ -114,3 +114,9 @@ def test_first_block_with_text_has_the_first_number(spark):
     assert {r["filename"]: (r["first"], r["text"]) for r in got} == {
         "a": (segments.FIRST, "one\n"), "b": (segments.FIRST, "no line end"),
         "c": (segments.FIRST, "x\ny\n"), "d": (segments.FIRST, "z\n")}
+
+
+def test_border_pattern_looks_for_the_line_end_first():
+    """Looking back for words at every character was the dear part."""
+    pattern = segments._NO_SECRET
+    assert pattern.index("(?=[") < pattern.index("(?<!")

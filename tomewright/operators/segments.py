@@ -83,9 +83,10 @@ _ENV_NAMES = re.search(r"\(([A-Z_|]+)\)", {n: p for n, p, _, _ in K.SECRET_PATTE
 # matches over that place. Patterns go over white space only next to a colon or an equals sign, after
 # the words above, and from the white space in front of an environment variable; and over all that
 # a key block encloses, which is not for ``recut`` to see. A word or name must stand in the block whole
-# to be seen, so there are some characters on both sides.
+# to be seen, so there are some characters on both sides. The line end is looked for first: the words
+# are dear to look back for and would be at every character.
 _NO_SECRET = (
-    rf"\A(?s:.){{12,}}?[^{WS}:=](?<!(?i:{'|'.join(_GOES_ON)}))(?=[{WS}&&[^{EOL}]]*+[{EOL}])"
+    rf"\A(?s:.){{12,}}?[^{WS}:=](?=[{WS}&&[^{EOL}]]*+[{EOL}])(?<!(?i:{'|'.join(_GOES_ON)}))"
     rf"[{WS}]++(?=[^{WS}:=])(?!(?i:{_ENV_NAMES}))(?=(?s:.){{20}})")
 _KEYS = ["private-key-block", "ssh-private-key"]
 _LAST = "env-var-secret"
