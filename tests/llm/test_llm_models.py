@@ -165,6 +165,47 @@ def test_chances_of_scores_far_from_zero(far):
     assert (maxent._log_chances(rows, table[1], bias.astype(np.float32), target) > got).mean() > 0.5
 
 
+def test_step_is_the_sum_of_all_gradients():
+    """Rows that occur once, twice and often in a batch, of one feature or of several."""
+    rng = np.random.default_rng(5)
+    rows, target = rng.integers(0, 40, (3, 30)), rng.integers(0, 6, 30)
+    rows[0, :12], rows[2] = 50, np.arange(100, 130)
+    table, bias = rng.normal(size=(130, 6)).astype(np.float32), rng.normal(size=(30, 6))
+    share = np.exp(table[rows].sum(axis=0) + bias)
+    share /= share.sum(axis=1, keepdims=True)
+    share[np.arange(30), target] -= 1
+    grad = np.zeros((130, 6))
+    np.add.at(grad, rows, share)
+    past = maxent._SHARE * (grad ** 2).sum(axis=1)
+    want = table - maxent._RATE * grad / np.sqrt(past + maxent._DELAY)[:, None]
+    seen = np.zeros(130, np.float32)
+    maxent._factor_step(table, seen, bias.astype(np.float32), rows.astype(np.uint16), target)
+    assert np.allclose(table, want, atol=1e-5) and np.allclose(seen, past, atol=1e-5)
+
+
+def test_features_mix_a_word_once_for_all_its_places(monkeypatch):
+    """Only the two words together are mixed place by place."""
+    texts = pa.array(["a b c " * 400, "", None, "b", "c a"])
+    (_, _, t), = maxent.blocks(texts)
+    words, mixed, mix = len(t.hash), [], maxent.A.mix
+    begin = np.array([maxent._BEGIN], np.uint64)
+
+    def counted(h):
+        mixed.append(h.size)
+        return mix(h)
+
+    monkeypatch.setattr(maxent.A, "mix", counted)
+    got = maxent.Model.features(t, t.spelling)
+    assert sum(mixed) <= len(t.token) + 3 * (words + 1)
+    for first, last in zip(t.first[:-1], t.first[1:], strict=True):
+        for at in range(first, last):
+            one, two = ([ids[t.token[at - k]:][:1] if at - k >= first else begin
+                         for ids in (t.hash, t.spelling)] for k in (1, 2))
+            want = np.stack([mix(one[0] + np.uint64(1 << 40)), mix(two[0] + np.uint64(2 << 40)),
+                             mix(mix(one[1] + np.uint64(3 << 40)) + two[1])])
+            assert np.array_equal(got[:, at], want[:, 0])
+
+
 def test_nothing_learned(spark):
     docs = frame(spark, [(1, "a b"), (2, None)]).selectExpr("doc_id", "text", "true AS held_out")
     model, counts = maxent.train(docs.where("false"))
