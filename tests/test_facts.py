@@ -1,6 +1,10 @@
+import re
+
 from pyspark.sql import functions as F
 
-from tomewright.operators.facts import extract_facts
+from tomewright.functions import text
+from tomewright.operators.facts import braces, extract_facts
+from tomewright.operators.facts import javascript as js
 from tomewright.operators.facts.merge import describe, merge_facts
 
 SCRIPT = '''import fs, { readFile as rf, stat, } from "node:fs";
@@ -140,3 +144,48 @@ def test_merge_and_describe(spark):
     groups = members.select("group_id", F.lit("api").alias("category")).distinct()
     assert dict(map(tuple, describe(merged, groups).collect())) == {
         "g": "x" * 147 + "...", "h": "Does it", "i": "Exposes: `f()`, `g()`", "j": "api module"}
+
+
+SCRIPTS = [
+    "/** a * b ** c */ x /* no */\n/** One ***/\nexport default class A extends B implements C, D {"
+    " m(a) { } }\n/** Two */ function f(a) { }\n/** Three **/class E { n() { } }",
+    "/** never closed class X {", "/***/class Y { o() { } }", "/** a */ class { } /** b */ class Z{}",
+    "a.on('x') .use( builder hook yield async", "return {} make1 new  Map([ as const",
+    "private\tconstructor() instanceof Foo", "enum K { A = 1, B }\nconst f = (a) => a",
+    "class Q extends my.OwnError { }\nimport a from 'lib'\nassert.ok(x) typeof x === 'y'",
+    "function isA(v): v is A {}\nexport type T = 1; interface  I extends J { a: b }",
+    "CONST my_Config = { one: 1 }", "nothing of it", "",
+]
+
+
+def test_patterns_find_the_same_in_what_they_need(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate([*SCRIPTS, None])], "id int, c string")
+    c = F.col("c")
+    found = {p: 0 for p in js.NEEDED}
+    rows = texts.select("id", *[F.struct(
+        text.all_matches(c, p).alias("plain"), text.all_matches(js.needed(c, p), p).alias("needed"))
+        .alias(str(k)) for k, p in enumerate(found)]).collect()
+    for r in rows:
+        for k, p in enumerate(found):
+            assert r[str(k)].plain == r[str(k)].needed
+            found[p] += len(r[str(k)].plain or [])
+    assert sum(n > 0 for n in found.values()) > 18
+
+
+def test_class_comment_goes_to_the_first_end_before_a_class(spark):
+    lazy = re.compile(r"/\*\*([\s\S]*?)\*/\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"
+                      r"(?:\s+extends\s+(\w+))?(?:\s+implements\s+([^{]+))?\s*\{")
+    texts = spark.createDataFrame([(t,) for t in SCRIPTS], "c string")
+    got = {r.c: r for r in texts.select("c", text.match_groups(
+        F.col("c"), js.DOCUMENTED_CLASS, doc=1, name=2, parent=3, interfaces=4).alias("found"),
+        braces._methods(F.col("c")).alias("methods")).collect()}
+    for t in SCRIPTS:
+        assert [tuple(f) for f in got[t].found] == [
+            tuple(g or "" for g in m.groups()) for m in lazy.finditer(t)]
+    # The braces in the second comment are those of the function it goes over.
+    assert got[SCRIPTS[0]].methods == [["`A.m(a)`"], []]
+    assert got[SCRIPTS[2]].methods == [["`Y.o()`"]]
+
+
+def test_classes_are_searched_once_for_their_methods():
+    assert braces._methods(F.col("c"))._jc.toString().count("regexp_extract_all") <= 2

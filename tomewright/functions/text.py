@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,5 +111,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def holding(c: Column, *literals: str) -> Column:
+    """The text where it holds one of ``literals``, otherwise an empty one.
+
+    For patterns that need one of them: looking for plain text is many times cheaper.
+    """
+    held = reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in literals])
+    return F.when(~held, F.lit("")).otherwise(c)
+
+
 def matches(c: Column, pattern: str, flags: str = "") -> Column:
     return c.rlike(jvm(pattern, flags))

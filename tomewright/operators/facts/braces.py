@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.functions.regex import WORD, WS, jvm
-from tomewright.functions.text import match_groups
+from tomewright.functions.text import holding, match_groups
 from tomewright.operators.facts import javascript as js
 from tomewright.operators.facts.comments import parameters
 from tomewright.operators.facts.kinds import filled, listed
@@ -86,12 +86,12 @@ def _before_brace(pattern: str) -> str:
 
 # Each family has its headers, and a function that gives one value for each header of a text.
 
-_TYPE_HEADER = _before_brace(js.TYPE)
+_TYPE_HEADER = js.TYPE_BEGIN + _before_brace(js.TYPE)
 _OPTIONS_HEADER = OPTIONS.replace(r"(?:\{|Readonly\()", r"(?:(?=\{)|Readonly\()")
 
 
 def _properties(content: Column) -> Column:
-    names, inside = _names(content, _TYPE_HEADER, _PROPERTY)
+    names, inside = _names(js.needed(content, js.TYPE), _TYPE_HEADER, _PROPERTY)
 
     def line(name: Column, props: Column) -> Column:
         more = F.when(F.size(props) > 6, F.concat(
@@ -103,7 +103,9 @@ def _properties(content: Column) -> Column:
 
 
 def _options(content: Column) -> Column:
-    names, inside = _names(content, _OPTIONS_HEADER, _OPTION, "i")
+    declared = F.contains(F.lower(content), F.lit("const"))
+    names, inside = _names(F.when(~declared, F.lit("")).otherwise(content), _OPTIONS_HEADER,
+                           _OPTION, "i")
     return F.zip_with(names, inside, lambda name, options: F.when(
         F.size(options) > 0, F.concat(F.lit("`"), name, F.lit("`: "), listed(options, 8)))
         .otherwise(""))
@@ -111,24 +113,27 @@ def _options(content: Column) -> Column:
 
 def _methods(content: Column) -> Column:
     """Methods of documented classes; a comment's own braces count as the class's, if it has any."""
-    pattern = F.lit(rf"{jvm(js.DOCUMENTED_CLASS)}(?=({_INSIDE}\}}?))")
-    heads = F.regexp_extract_all(content, pattern, F.lit(0))
-    names, rest = (F.regexp_extract_all(content, pattern, F.lit(k)) for k in (2, 5))
-    bodies = F.zip_with(heads, rest, lambda head, body: F.translate(F.regexp_extract(
-        F.concat(head, body), rf"\A[^{{]*+({_BLOCK})", 1), _OPEN + _CLOSE, "{}"))
-
-    def of_class(name: Column, body: Column) -> Column:
+    head = jvm(js.DOCUMENTED_CLASS)
+    # A text is searched once, for heads with what follows them; their parts are read from each.
+    pattern = F.lit(rf"(?=({head}{_INSIDE}\}}?)){head}")
+    classes = F.regexp_extract_all(js.needed(content, js.DOCUMENTED_CLASS), pattern, F.lit(1))
+
+    def of_class(whole: Column) -> Column:
+        name = F.regexp_extract(whole, head, 2)
+        body = F.translate(F.regexp_extract(
+            whole, rf"\A[^{{]*+({_BLOCK})", 1), _OPEN + _CLOSE, "{}")
         found = F.filter(match_groups(body, METHOD, name=1, params=2), lambda m: (
             m["name"] != "constructor") & ~F.startswith(m["name"], F.lit("_")))
         return F.transform(found, lambda m: F.concat(
             F.lit("`"), name, F.lit("."), m["name"], F.lit("("), parameters(m.params),
             F.lit(")`")))
 
-    return F.zip_with(names, bodies, of_class)
+    return F.transform(classes, of_class)
 
 
 def _catches(content: Column) -> Column:
     pattern = F.lit(rf"{jvm(CATCH)}(?=(?:({_INSIDE})\}})?)")
+    content = holding(content, "catch")
     errors, bodies = (F.regexp_extract_all(content, pattern, F.lit(k)) for k in (1, 2))
 
     def line(error: Column, body: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tomewright.functions import text
 from tomewright.functions.regex import WS, jvm
-from tomewright.functions.text import (all_matches, first_match, let, replace_all, trim,
-                                       utf16_length)
+from tomewright.functions.text import (all_matches, first_match, holding, let, replace_all,
+                                       trim, utf16_length)
 from tomewright.operators.facts.kinds import filled
 
 MEANINGFUL = 10  # a shorter comment says nothing
@@ -25,6 +25,7 @@ def comment_body(block: Column) -> Column:
 
 def doc_comments(content: Column) -> Column:
     """Bodies of ``/** */`` blocks; those on a single line come a second time, after the rest."""
+    content = holding(content, "/*")
     blocks = F.transform(all_matches(content, r"\/\*\*([\s\S]*?)\*\/", 1), comment_body)
     one_line = F.transform(all_matches(content, r"\/\*\*?\s*([^*\n]+?)\s*\*\/", 1), trim)
     return F.filter(F.concat(blocks, one_line), _long)
@@ -32,6 +33,7 @@ def doc_comments(content: Column) -> Column:
 
 def docstrings(content: Column) -> Column:
     """Docstrings of classes and functions, that of the module in front."""
+    content = holding(content, '"""')
     inner = all_matches(
         content, r'(?:^|\n)(?:class|def|async\s+def)\s+\w+[^:]*:\s*\n\s+"""([\s\S]*?)"""', 1)
     module = F.array_compact(F.array(first_match(content, r'^"""([\s\S]*?)"""', 1)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tomewright.functions import text
 from tomewright.functions.regex import jvm
-from tomewright.functions.text import (all_matches, collapse_space, first_match, let,
+from tomewright.functions.text import (all_matches, collapse_space, first_match, holding, let,
                                        match_groups, matches, replace_all, trim)
 from tomewright.operators.facts.comments import comment_body, parameters, provides
 from tomewright.operators.facts.kinds import Facts, code, filled, listed, strings, when_some
@@ -20,8 +20,11 @@ DOCUMENTED_FUNCTION = (r"\/\*\*(?>([\s\S]*?)\*\/)\n(?:\s*\n)?\s*(?:export\s+)?(?
                        r"function\s+(\w+)\s*\(([^)]*)\)")
 ARROW = (r"(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s+)?\(([^)]*)\)\s*"
          r"(?::\s*[^=]+?)?\s*=>")
-DOCUMENTED_CLASS = (r"\/\*\*([\s\S]*?)\*\/\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"
-                    r"(?:\s+extends\s+(\w+))?(?:\s+implements\s+([^{]+))?\s*\{")
+_CLASS = (r"\*\/\s*(?:export\s+)?(?:default\s+)?class\s+(%s\w+)"
+          r"(?:\s+extends\s+(%s\w+))?(?:\s+implements\s+(%s[^{]+))?\s*\{")
+# The comment goes to the first end with a class behind it; only stars are looked at closely.
+DOCUMENTED_CLASS = (rf"\/\*\*([^*]*+(?:(?!{_CLASS % (('?:',) * 3)})\*[^*]*+)*+)"
+                    + _CLASS % (("",) * 3))
 CUSTOM_ERROR = r"class\s+(\w+)\s+extends\s+(?:Error|[\w.]*Error)"
 IMPORT = r"""import\s+.*?\s+from\s+['"]([^./][^'"]*)['"]"""
 ASSERTION = r"assert(?:\.strict)?\.(?:equal|deepEqual|ok|throws)\([^)]+\)"
@@ -32,6 +35,8 @@ EXPORTS = [
     r"export\s+(?:default\s+)?function\s+(\w+)", r"export\s+(?:default\s+)?class\s+(\w+)",
     r"export\s+const\s+(\w+)", r"export\s+(?:type|interface)\s+(\w+)", r"export\s+\{([^}]+)\}",
 ]
+# First letters of ``TYPE``: what begins otherwise is passed over at once.
+TYPE_BEGIN = r"(?=[eti])"
 # (what it is called, patterns that must all occur, with their flags)
 DESIGN_PATTERNS = [
     ("Event-driven / Observer pattern",
@@ -48,17 +53,40 @@ DESIGN_PATTERNS = [
     ("Map/Record-based data structures", [(r"new\s+Map\(\[|Record<|as\s+const", "")]),
 ]
 
+# Of a pattern above, plain text of which each match holds one.
+NEEDED = {
+    DESIGN_PATTERNS[0][1][0][0]: [".on(", ".emit(", ".subscribe(", "addEventListener"],
+    DESIGN_PATTERNS[1][1][1][0]: ["return"],
+    DESIGN_PATTERNS[2][1][0][0]: ["middleware", "next()", ".use("],
+    DESIGN_PATTERNS[3][1][0][0]: ["getInstance", "private"],
+    DESIGN_PATTERNS[4][1][0][0]: ["builder", ".with", ".set"],
+    DESIGN_PATTERNS[5][1][0][0]: ["Promise", "async", "await"],
+    DESIGN_PATTERNS[6][1][0][0]: ["function", "yield"],
+    DESIGN_PATTERNS[7][1][0][0]: ["register", "plugin", "extension", "hook"],
+    DESIGN_PATTERNS[8][1][0][0]: ["Map([", "Record<", "const"],
+    TYPE: ["type", "interface"], ENUM: ["enum"], DOCUMENTED_FUNCTION: ["/**"], ARROW: ["=>"],
+    DOCUMENTED_CLASS: ["/**"], CUSTOM_ERROR: ["Error"], IMPORT: ["import"],
+    ASSERTION: ["assert"], TYPE_GUARD: ["function"], TYPEOF: ["typeof"],
+    **{p: ["export"] for p in EXPORTS},
+}
+
+
+def needed(content: Column, pattern: str) -> Column:
+    """A text in which ``pattern`` finds what it finds in ``content``; empty if that is nothing."""
+    return holding(content, *NEEDED[pattern]) if pattern in NEEDED else content
+
 
 def parsed(content: Column) -> Column:
     """What several kinds of facts are made of, found once: types, functions and classes."""
     functions = F.transform(
-        match_groups(content, DOCUMENTED_FUNCTION, doc=1, name=2, params=3),
+        match_groups(needed(content, DOCUMENTED_FUNCTION), DOCUMENTED_FUNCTION, doc=1, name=2, params=3),
         lambda f: F.struct(comment_body(f.doc).alias("doc"), f["name"].alias("name"),
                            trim(f.params).alias("params")))
     classes = F.transform(
-        match_groups(content, DOCUMENTED_CLASS, doc=1, name=2, parent=3, interfaces=4),
+        match_groups(needed(content, DOCUMENTED_CLASS), DOCUMENTED_CLASS, doc=1, name=2, parent=3, interfaces=4),
         lambda c: c.withField("doc", comment_body(c.doc)))
-    return F.struct(match_groups(content, TYPE, name=1, parent=2).alias("types"),
+    types = match_groups(needed(content, TYPE), TYPE_BEGIN + TYPE, name=1, parent=2)
+    return F.struct(types.alias("types"),
                     functions.alias("functions"), classes.alias("classes"))
 
 
@@ -69,7 +97,7 @@ def purpose(content: Column, about: Column) -> Column:
         stop = F.locate(".", s)
         return F.when(stop.between(2, 120), F.substring(s, F.lit(1), stop)).otherwise(s)
 
-    exported = F.coalesce(*[first_match(content, p, 1) for p in EXPORTS])
+    exported = F.coalesce(*[first_match(needed(content, p), p, 1) for p in EXPORTS])
     return F.coalesce(F.when(about.isNotNull(), let(line, sentence)), provides(exported))
 
 
@@ -84,7 +112,7 @@ def enums(content: Column) -> Column:
     def values(body: Column) -> Column:
         return filled(F.transform(F.split(body, ","), lambda v: trim(text.before(trim(v), "="))))
 
-    return F.transform(match_groups(content, ENUM, name=1, body=2), lambda e: F.concat(
+    return F.transform(match_groups(needed(content, ENUM), ENUM, name=1, body=2), lambda e: F.concat(
         code(e["name"]), F.lit(" enum: "), listed(values(e.body), 10)))
 
 
@@ -115,7 +143,7 @@ def documented_functions(found: Column) -> tuple[Column, Column, Column]:
 
 
 def arrow_functions(content: Column) -> Column:
-    found = F.filter(match_groups(content, ARROW, name=1, params=2),
+    found = F.filter(match_groups(needed(content, ARROW), ARROW, name=1, params=2),
                      lambda f: ~F.startswith(f["name"], F.lit("_")))
     return F.transform(found, lambda f: F.concat(
         F.lit("`"), f["name"], F.lit("("), parameters(trim(f.params)), F.lit(")`")))
@@ -134,7 +162,7 @@ def documented_classes(found: Column) -> tuple[Column, Column]:
 
 
 def custom_errors(content: Column) -> Column:
-    return F.transform(all_matches(content, CUSTOM_ERROR, 1), lambda n: F.concat(
+    return F.transform(all_matches(needed(content, CUSTOM_ERROR), CUSTOM_ERROR, 1), lambda n: F.concat(
         F.lit("Defines custom error: "), code(n)))
 
 
@@ -155,7 +183,7 @@ def imports(content: Column) -> Column:
         single = first_match(line, r"import\s+(\w+)", 1)
         return F.when(braces.isNotNull(), named).when(single.isNotNull(), strings(single))
 
-    lines = F.transform(match_groups(content, IMPORT, line=0, module=1), lambda i: F.struct(
+    lines = F.transform(match_groups(needed(content, IMPORT), IMPORT, line=0, module=1), lambda i: F.struct(
         i["module"].alias("module"), names(i.line).alias("names")))
     usable = F.filter(lines, lambda i: i.names.isNotNull())
     return let(usable, lambda all_: F.transform(
@@ -167,8 +195,8 @@ def imports(content: Column) -> Column:
 def design_patterns(content: Column) -> Column:
     def all_found(tests) -> Column:
         found = F.lit(True)
-        for p, flags in tests:
-            found = found & matches(content, p, flags)
+        for p, flags in reversed(tests):  # patterns that need plain text stand behind the rest
+            found = found & matches(needed(content, p), p, flags)
         return found
 
     return F.array_compact(F.array(*[
@@ -176,14 +204,14 @@ def design_patterns(content: Column) -> Column:
 
 
 def constraints(content: Column) -> list[Column]:
-    asserts = F.size(all_matches(content, ASSERTION))
-    checks = all_matches(content, TYPEOF)
+    asserts = F.size(all_matches(needed(content, ASSERTION), ASSERTION))
+    checks = all_matches(needed(content, TYPEOF), TYPEOF)
     return [
         when_some(asserts > 0, F.concat(F.lit("Contains "), asserts.cast("string"),
                                         F.lit(" assertion(s) for validation"))),
-        F.transform(all_matches(content, TYPE_GUARD), lambda g: F.concat(
+        F.transform(all_matches(needed(content, TYPE_GUARD), TYPE_GUARD), lambda g: F.concat(
             F.lit("Type guard: "), collapse_space(g))),
-        when_some(matches(content, VALIDATION) & (F.size(checks) > 0),
+        when_some((F.size(checks) > 0) & matches(content, VALIDATION),
                   F.concat(F.lit("Runtime type validation: "), listed(checks, 5))),
     ]
 

@@ -15,10 +15,12 @@ from tomewright.operators.facts.kinds import Facts, when_some
 HEADING = r"^#{1,3}\s+(.+)$"
 TITLE = r"^#\s+(.+)$"
 FENCE = r"```\w+"
+# Only what begins so is looked at as a line.
+MARK = r"(?=#)"
 
 
 def headings(content: Column) -> Column:
-    names = F.transform(all_matches(content, HEADING, 0, "m"),
+    names = F.transform(all_matches(content, MARK + HEADING, 0, "m"),
                         lambda h: trim(replace_all(h, r"^#+\s+", "")))
     return F.slice(F.filter(names, lambda n: utf16_length(n) > 2), 1, 15)
 
@@ -33,7 +35,7 @@ def purpose(content: Column) -> Column:
             utf16_length(p) > 10, F.concat(text.before(p, "."), F.lit("."))).otherwise(
             F.concat(F.lit("Documentation: "), named, F.lit("."))))
 
-    return let(first_match(content, TITLE, 0, "m"),
+    return let(first_match(content, MARK + TITLE, 0, "m"),
                lambda t: F.when(t.isNotNull(), from_title(t)))
 
 
