@@ -269,3 +269,18 @@ def test_model_sizes_follow_the_words():
     assert small.width == maxent.WIDTH and len(small.class_rows) == maxent.ROWS
     assert large.own >= 3900 and len(large.word_rows) == maxent.MAX_ROWS
     assert huge.own >= 19_000 and len(huge.class_bias) == huge.width + maxent.TAIL
+
+
+@pytest.mark.parametrize("size", [1, 3, 64])
+def test_steps_of_a_few_rows_at_a_time_are_the_same(monkeypatch, size):
+    rng = np.random.default_rng(4)
+    rows, target = rng.integers(0, 30, (3, 40)).astype(np.uint16), rng.integers(0, 5, 40)
+    start = rng.normal(size=(30, 5)).astype(np.float32)
+    bias = rng.normal(size=5).astype(np.float32)
+    results = []
+    for at_once in (512, size):
+        monkeypatch.setattr(maxent, "_STEP_ROWS", at_once)
+        table, seen = start.copy(), np.zeros(30, np.float32)
+        maxent._factor_step(table, seen, bias, rows, target)
+        results.append((table, seen))
+    assert all(np.array_equal(a, b) for a, b in zip(*results, strict=True))
