@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tomewright.llm import jaccard
+from tomewright.llm import bpe, jaccard
 from tests.llm.helpers import alnum, odd_documents
 
 
@@ -99,3 +101,28 @@ def test_unique_texts_stay_whatever_their_ids(spark, monkeypatch):
     assert sorted(map(tuple, done), key=str) == sorted(
         [(1, a), (1, b), (None, c), (3, d), (4, ""), (4, ""), (5, None), (None, None), (7, "lone")],
         key=str)
+
+
+@pytest.mark.parametrize("before, after", [("10000", 1000), ("0", 1000), ("300", 300)])
+def test_stages_hand_python_few_rows_at_once(spark, planted, before, after):
+    path, _, _ = planted
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    try:
+        for stage in ("encode_tokens", "drop_contaminated"):
+            spark.conf.set(name, before)
+            docs = spark.read.parquet(f"{path}/documents.parquet")
+            getattr(corpus_pipeline, stage)(spark, docs, path)
+            assert int(spark.conf.get(name)) == after
+    finally:
+        spark.conf.set(name, old)
+
+
+def test_texts_are_encoded_in_small_blocks():
+    vocabulary = bpe.Vocabulary.build({bytes([b]): b for b in range(256)}, bpe.tiktoken_classes())
+    texts = ["word " * 20_000] * 6
+    found = list(bpe.Encoder(vocabulary).column(pa.array(texts)))
+    assert [(at, to) for at, to, *_ in found] == [(0, 2), (2, 4), (4, 6)]
+    for _, _, ids, first in found:
+        assert first.tolist() == [0, 100_000, 200_000] and bytes(ids.astype(np.uint8)) == (
+            "".join(texts[:2]).encode())

@@ -100,9 +100,10 @@ def cut(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> PreTokens:
     return PreTokens(data, begin, end, np.searchsorted(at, rows), A.ByteRuns(data)(begin, end))
 
 
-def blocks(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, int, PreTokens]]:
+def blocks(column: pa.Array, table: np.ndarray,
+           limit: int = A.BLOCK_BYTES) -> Iterator[tuple[int, int, PreTokens]]:
     data, offsets = A.text_buffer(column)
-    for at, to in A.row_blocks(offsets):
+    for at, to in A.row_blocks(offsets, limit):
         yield at, to, cut(data, offsets[at:to + 1], table)
 
 
