@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomewright.functions import secrets
+from tomewright.functions.regex import EOL
 from tomewright.operators import documents, segments
 
 BODY = "filename string, part int, pos bigint, key string, text string"
@@ -120,3 +121,71 @@ def test_border_pattern_looks_for_the_line_end_first():
     """Looking back for words at every character was the dear part."""
     pattern = segments._NO_SECRET
     assert pattern.index("(?=[") < pattern.index("(?<!")
+
+
+@pytest.mark.parametrize("max_pieces,max_chars,max_text", [
+    (1, None, 0), (3, None, 0), (4096, 30, 0), (3, None, 300), (7, 100, 600)])
+def test_long_texts_are_redacted_as_short_ones(pieces, want, max_pieces, max_chars, max_text):
+    """All texts as rows of blocks, or only those above a size: the same texts come out."""
+    done = documents.redact_pieces(pieces, max_pieces, max_chars, max_text=max_text)
+    got = {}
+    for r in sorted(done.collect(), key=lambda r: (r.filename, r.pos)):
+        got[r.filename] = got.get(r.filename, "") + r.text
+    assert {k: v for k, v in want.items() if v} == got
+
+
+def test_blocks_of_a_short_text_move_once(spark, pieces):
+    """One shuffle of its pieces, whatever is in it; and what reads the result redacts nothing."""
+    rows = segments.redact_texts(pieces, "filename", ["part", "pos", "key"], max_pieces=3)
+    plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "simple")
+    assert len(re.findall(r"Exchange \w*partitioning", plan)) == 1, plan
+    done = documents.redact_pieces(pieces, 3)
+    plan = spark._jvm.PythonSQLUtils.explainString(done._jdf.queryExecution(), "simple")
+    assert "Exchange" not in plan and "regexp" not in plan, plan
+    assert done.groupBy("filename").count().where("count > 1").isEmpty()
+
+
+def test_odd_pieces(spark):
+    """Null and empty texts count for nothing, rows without a key are left out, equal rows stay."""
+    rows = [("a.md", 0, 0, "", "pass"), ("a.md", 0, 1, "", None), ("a.md", 0, 2, "", "word: x1"),
+            ("b.md", 0, 0, "", ""), ("c.md", 0, 0, "", None), (None, 0, 0, "", "text"),
+            ("d.md", 0, 0, "", "pwd=a"), ("d.md", 0, 0, "", "pwd=a"), ("e.md", 1, 0, "", "end"),
+            ("e.md", 0, None, "", "first "), ("e.md", 0, 9, "", "then ")]
+    df = spark.createDataFrame(rows, BODY)
+    for max_text in (0, 4, 1 << 20):
+        done = documents.redact_pieces(df, 1, max_text=max_text).orderBy("filename", "pos").collect()
+        got = {}
+        for r in done:
+            got[r.filename] = got.get(r.filename, "") + r.text
+        assert got == {"a.md": "password=[REDACTED]", "d.md": "pwd=[REDACTED]",
+                       "e.md": "first then end"}, max_text
+
+
+def test_texts_in_very_many_pieces_are_long(spark, monkeypatch):
+    monkeypatch.setattr(segments, "TEXT_PIECES", 3)
+    rows = [("a", 0, i, "", "") for i in range(4)] + [("b", 0, i, "", "xy") for i in range(3)]
+    df = spark.createDataFrame(rows + [("c", 0, 0, "", "0123456789")], BODY)
+    long = segments.long_texts(df, "filename", max_chars=9)
+    assert sorted(r.filename for r in long.collect()) == ["a", "c"]
+
+
+def test_border_pattern_finds_the_same_places(spark, pieces):
+    """With and without the cheap test in front."""
+    cheap = "(?!(?s:.)[!-~])"
+    assert segments._NO_SECRET.count(cheap) == 1
+    odd = [("x" * 11 + c + a + "y" * 25,) for c in "ab:= !~\u00e9\U0001f600-" for a in (
+        "\n", " \n", "\r\n", "\u2028", "\ufeff\n", "\u3000", "\n  DB_PASSWORD", " x\n", "!\n", "\n:")]
+    texts = spark.createDataFrame(odd, "text string").union(
+        segments.blocks(pieces, "filename", ["part", "pos", "key"], max_pieces=8).select("text"))
+    n = texts.select(*[F.regexp_extract("text", p, 0).alias(a) for a, p in (
+        ("new", segments._NO_SECRET), ("old", segments._NO_SECRET.replace(cheap, "")))])
+    assert n.where("new <> old").isEmpty() and n.where("new <> ''").count() > 20
+
+
+def test_line_ends_are_seen_before_the_border_pattern(spark):
+    """Blocks without a line end are not searched: every line end of the pattern must count."""
+    ends = spark.sql(f"SELECT explode(regexp_extract_all(concat_ws('', transform(sequence(1, 65535), "
+                     f"n -> IF(n BETWEEN 55296 AND 57343, '', decode(unhex(lpad(hex(n), 4, '0')), "
+                     f"'UTF-16BE')))), r'[{EOL}]', 0)) AS text")
+    assert ends.count() == 4
+    assert ends.where(~segments._has_line_end(F.col("text"))).isEmpty()

@@ -271,12 +271,24 @@ def _trimmed(rows: DataFrame) -> DataFrame:
         .otherwise(F.col("text"))).select("filename", "block", "text")
 
 
-def redact_pieces(body: DataFrame, max_pieces: int | None = None,
-                  max_chars: int | None = None) -> DataFrame:
-    """Redacted bodies in pieces: those of the whole redacted body, whatever is over their borders."""
-    joined = segments.blocks(body, "filename", ["part", "pos", "key"], max_pieces=max_pieces,
-                             max_chars=max_chars)
-    return segments.redact_blocks(joined, "filename").where("text <> ''").select(
+def redact_pieces(body: DataFrame, max_pieces: int | None = None, max_chars: int | None = None, *,
+                  max_text: int = segments.TEXT_CHARS) -> DataFrame:
+    """Redacted bodies in pieces: those of the whole redacted body, whatever is over their borders.
+
+    A body of up to ``max_text`` characters holds its blocks in one row and comes out as one piece.
+    They are written once: what reads them would otherwise redact again.
+    """
+    order = ["part", "pos", "key"]
+    most = {"max_pieces": max_pieces, "max_chars": max_chars}
+    large = segments.long_texts(body, "filename", max_chars=max_text)
+    if large.isEmpty():
+        done = segments.redact_texts(body, "filename", order, **most)
+    else:
+        few = F.broadcast(large)  # each has more than max_text of all characters, or as many pieces
+        joined = segments.blocks(body.join(few, "filename", "left_semi"), "filename", order, **most)
+        done = segments.redact_texts(body.join(few, "filename", "left_anti"), "filename", order,
+                                     **most).unionByName(segments.redact_blocks(joined, "filename"))
+    return freeze(done).where("text <> ''").select(
         "filename", F.lit(0).alias("part"), F.col("block").alias("pos"), F.lit("").alias("key"),
         "text")
 

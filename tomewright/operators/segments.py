@@ -6,11 +6,15 @@ the borders to places over which a pattern cannot match: the part of each block
 such place goes to the block before. ``drop_between`` takes out what lies between two marks, however
 many blocks apart: each block is a function of two states (inside or outside), and the functions are
 put together in order by running sums over one narrow row per block.
+
+Most texts are short. ``redact_texts`` holds the blocks of such a text as a list in one row and takes
+the same steps there, so that one shuffle brings its pieces together and no other follows.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +24,14 @@ from tomewright import constants as K
 from tomewright.functions import secrets
 from tomewright.functions.frontmatter import END
 from tomewright.functions.regex import EOL, WS, jvm
+from tomewright.functions.text import let
 from tomewright.operators.ordering import freeze, with_ordinal
 
 BLOCK_PIECES = 4096
 BLOCK_CHARS = 1 << 20
+# The blocks of a text of up to so many characters, in so many pieces, are held in one row.
+TEXT_CHARS = 1 << 20
+TEXT_PIECES = 1 << 16
 FIRST = 1  # the number that ``recut`` gives to the first block that has text
 _SHIFT = 32  # a block's number: which pieces above, which of their characters below
 
@@ -84,11 +92,13 @@ _ENV_NAMES = re.search(r"\(([A-Z_|]+)\)", {n: p for n, p, _, _ in K.SECRET_PATTE
 # the words above, and from the white space in front of an environment variable; and over all that
 # a key block encloses, which is not for ``recut`` to see. A word or name must stand in the block whole
 # to be seen, so there are some characters on both sides. The line end is looked for first: the words
-# are dear to look back for and would be at every character.
+# are dear to look back for and would be at every character. Before all, a place within a word is passed
+# over by one cheap test: no white space is between "!" and "~".
 _NO_SECRET = (
-    rf"\A(?s:.){{12,}}?[^{WS}:=](?=[{WS}&&[^{EOL}]]*+[{EOL}])(?<!(?i:{'|'.join(_GOES_ON)}))"
-    rf"[{WS}]++(?=[^{WS}:=])(?!(?i:{_ENV_NAMES}))(?=(?s:.){{20}})")
+    rf"\A(?s:.){{12,}}?(?!(?s:.)[!-~])[^{WS}:=](?=[{WS}&&[^{EOL}]]*+[{EOL}])"
+    rf"(?<!(?i:{'|'.join(_GOES_ON)}))[{WS}]++(?=[^{WS}:=])(?!(?i:{_ENV_NAMES}))(?=(?s:.){{20}})")
 _KEYS = ["private-key-block", "ssh-private-key"]
+_DASHES = "-----"  # both marks of a key block begin so
 _LAST = "env-var-secret"
 
 
@@ -104,39 +114,128 @@ def redact_blocks(df: DataFrame, key: str) -> DataFrame:
     assert names == [*first, *_KEYS, _LAST]
     out = freeze(_redacted(recut(df, key, _NO_SECRET), first))
     for name in _KEYS:
-        _, pattern, flags, gone = K.SECRET_PATTERNS[names.index(name)]
-        begin, end = (jvm(p, flags) for p in pattern.split(r"[\s\S]*?"))
+        begin, end, gone = _key_marks(name)
         # Without a beginning or an end there is no block; what follows is then spared.
         if not out.where(F.col("text").rlike(begin)).isEmpty() and not out.where(
                 F.col("text").rlike(end)).isEmpty():
             out = freeze(recut(drop_between(
-                out, key, begin, end, gone, gone.split("[REDACTED]")[1]), key, _NO_SECRET))
+                out, key, begin, end, gone, gone.split("[REDACTED]")[1], _DASHES), key, _NO_SECRET))
     return _redacted(out, [_LAST])
 
 
+def long_texts(pieces: DataFrame, key: str, text: str = "text", *,
+               max_chars: int = TEXT_CHARS) -> DataFrame:
+    """Keys of texts that are too long for one row; each has a good part of all characters or pieces."""
+    sizes = pieces.groupBy(key).agg(F.sum(F.length(text)).alias("__chars"),
+                                    F.count("*").alias("__pieces"))
+    return freeze(sizes.where((F.col("__chars") > max_chars) | (F.col("__pieces") > TEXT_PIECES))
+                  .select(key))
+
+
+def redact_texts(pieces: DataFrame, key: str, order: list[str], *, max_pieces: int | None = None,
+                 max_chars: int | None = None) -> DataFrame:
+    """``key, block, text``: what ``redact_blocks`` gives for ``blocks`` of short texts, joined.
+
+    Blocks hold as many pieces and go through the same steps, but the list of a text's blocks is one
+    row, so all of a text must fit in one. As there, rows without a key are left out.
+    """
+    mark = f"\u0001{uuid.uuid4().hex}\u0001"  # of this call, so no text holds it
+    names = [n for n, _, _, _ in K.SECRET_PATTERNS]
+    of_key = F.sort_array(F.collect_list(F.struct(*order, "text")))
+    rows = (pieces.where(F.col(key).isNotNull()).groupBy(key).agg(of_key.alias("__list"))
+            .withColumn("__list", F.transform("__list", lambda x: F.coalesce(x.text, F.lit(""))))
+            .withColumn("__list", _list_blocks(F.col("__list"), mark, max_pieces or BLOCK_PIECES,
+                                               max_chars or BLOCK_CHARS)))
+    rows = _redacted_list(rows.withColumn("__list", _list_recut(F.col("__list"), mark)),
+                          names[:names.index(_KEYS[0])])
+    for name in _KEYS:
+        begin, end, gone = _key_marks(name)
+        held = _list_holds(begin) & _list_holds(end)
+        # Borders are between two marks of a key block, but never within one.
+        kept = F.split(F.regexp_replace(F.array_join("__list", mark), _pair(begin, end), gone), mark)
+        rows = rows.withColumn("__list", F.when(
+            held, _list_recut(kept, mark)).otherwise(F.col("__list")))
+    return _redacted_list(rows, [_LAST]).select(
+        key, F.lit(FIRST).cast("long").alias("block"), F.array_join("__list", "").alias("text"))
+
+
+def _list_blocks(texts: Column, mark: str, max_pieces: int, max_chars: int) -> Column:
+    """The list of blocks of a text, of its list of pieces; see ``blocks``."""
+    def by_chars(part: Column) -> Column:
+        begins = F.aggregate(part, F.array(F.lit(0).cast("long")), lambda a, t: F.array_append(
+            a, F.element_at(a, -1) + F.length(t)))
+        return let(F.transform(begins, lambda n: F.floor(n / max_chars)), lambda sub: F.split(
+            F.array_join(F.transform(part, lambda t, i: F.when(
+                (i > 0) & (F.get(sub, i) != F.get(sub, i - 1)), F.concat(F.lit(mark), t)).otherwise(t)),
+                ""), mark))
+
+    starts = F.sequence(F.lit(1), F.size(texts), F.lit(max_pieces))
+    return F.flatten(F.transform(starts, lambda n: let(F.slice(texts, n, max_pieces), lambda part: let(
+        F.array_join(part, ""), lambda whole: F.when(F.length(whole) < max_chars, F.array(whole))
+        .otherwise(by_chars(part))))))
+
+
+def _list_recut(texts: Column, mark: str) -> Column:
+    """The list of blocks of a text with borders moved to where no secret is; see ``recut``."""
+    marked = F.transform(texts, lambda b, i: F.when(
+        (i > 0) & _has_line_end(b), F.regexp_replace(b, _NO_SECRET, f"$0{mark}")).otherwise(b))
+    return F.filter(F.split(F.array_join(marked, ""), mark), lambda b: b != "")
+
+
+def _redacted_list(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumn("__list", F.transform(
+        "__list", lambda b: secrets.redaction(b, names)["content"]))
+
+
+def _list_holds(key_mark: str) -> Column:
+    return F.exists("__list", lambda b: F.contains(b, F.lit(_DASHES)) & b.rlike(key_mark))
+
+
+def _has_line_end(text: Column) -> Column:
+    return (F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\r"))
+            | F.contains(text, F.lit("\u2028")) | F.contains(text, F.lit("\u2029")))
+
+
+def _key_marks(name: str) -> tuple[str, str, str]:
+    """Patterns of the marks around a kind of key block, and what stands for all of it."""
+    _, pattern, flags, gone = next(p for p in K.SECRET_PATTERNS if p[0] == name)
+    assert pattern.startswith(_DASHES) and f"*?{_DASHES}" in pattern
+    begin, end = (jvm(p, flags) for p in pattern.split(r"[\s\S]*?"))
+    return begin, end, gone
+
+
+def _pair(begin: str, end: str) -> str:
+    return rf"{begin}(?s:.)*?{end}"
+
+
 def _redacted(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumn("text", secrets.redaction(F.col("text"), names)["content"])
 
 
 def drop_between(df: DataFrame, key: str, begin: str, end: str, gone: str,
-                 an_end: str) -> DataFrame:
+                 an_end: str, held: str = "") -> DataFrame:
     """``key, block, text`` with ``gone`` for all from a ``begin`` to the next ``end``.
 
-    ``an_end`` is a text that ``end`` matches. Neither mark may lie over the border of two blocks. A beginning without an end stays.
+    ``an_end`` is a text that ``end`` matches; ``held`` is in both marks, and only blocks that hold it
+    are searched for them. Neither mark may lie over the border of two blocks. A beginning without an
+    end stays. ``df`` is read twice.
     """
-    pair = rf"{begin}(?s:.)*?{end}"
+    pair = _pair(begin, end)
     to_end = rf"\A(?s:.)*?{end}"
 
     def opens(text: Column) -> Column:
         return F.regexp_replace(text, pair, "\u0000").rlike(begin)
 
-    df = freeze(df)
-    text = F.col("text")
+    def where_held(value: Column, otherwise: Column, text: Column) -> Column:
+        return F.when(F.contains(text, F.lit(held)), value).otherwise(otherwise)
+
+    text, no = F.col("text"), F.lit(False)
     # What a block does to each state: how it ends if it begins outside, and inside.
     flags = freeze(df.select(
-        key, "block", text.rlike(end).alias("ends"), opens(text).alias("outside"),
-        F.when(text.rlike(end), opens(F.regexp_replace(text, to_end, ""))).otherwise(True)
-        .alias("inside")))
+        key, "block", where_held(text.rlike(end), no, text).alias("ends"),
+        where_held(opens(text), no, text).alias("outside"),
+        where_held(F.when(text.rlike(end), opens(F.regexp_replace(text, to_end, "")))
+                   .otherwise(True), F.lit(True), text).alias("inside")))
     order = Window.partitionBy(key).orderBy("block")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     # The last block that ends alike from both states, and how often the state turned over since.
@@ -163,5 +262,5 @@ def drop_between(df: DataFrame, key: str, begin: str, end: str, gone: str,
     # The end of a later block stands behind what is open here.
     closed = F.when(F.col("stays") & ~(F.col("within") & ~F.col("ends")),
                     F.concat(kept, F.lit(an_end))).otherwise(kept)
-    return df.join(states, [key, "block"]).select(
-        key, "block", F.regexp_replace(closed, pair, gone).alias("text"))
+    return df.join(states, [key, "block"]).withColumn("text", closed).select(
+        key, "block", where_held(F.regexp_replace(text, pair, gone), text, text).alias("text"))
