@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tomewright.functions import secrets
 from tomewright.functions.regex import EOL
-from tomewright.operators import documents, segments
+from tomewright.operators import documents, gather, segments
 
 BODY = "filename string, part int, pos bigint, key string, text string"
 LINES = [
@@ -189,3 +189,16 @@ def test_line_ends_are_seen_before_the_border_pattern(spark):
                      f"'UTF-16BE')))), r'[{EOL}]', 0)) AS text")
     assert ends.count() == 4
     assert ends.where(~segments._has_line_end(F.col("text"))).isEmpty()
+
+
+def test_single_pieces_are_not_moved(spark):
+    """Where nothing is to be joined, ``gather_text`` gives the pieces; else it joins them as before."""
+    rows = [("a", 0, "one"), ("b", 3, None), (None, 1, "two")]
+    single = spark.createDataFrame(rows, "k string, n int, text string")
+    got = gather.gather_text(single, "k", ["n"])
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "Exchange" not in plan and "collect_list" not in plan, plan
+    assert {tuple(r) for r in got.collect()} == {("a", 0, "one"), ("b", 0, ""), (None, 0, "two")}
+    more = single.union(spark.createDataFrame([("b", 4, "three")], single.schema))
+    assert {tuple(r) for r in gather.gather_text(more, "k", ["n"]).collect()} == {
+        ("a", 0, "one"), ("b", 0, "three"), (None, 0, "two")}
